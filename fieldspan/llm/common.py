@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import json
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ WS_CHARS = " \t\n\x0b\f\r"
 _own_dir: list[str] = []
 
 
+def ship(module: str) -> None:
+    """Send this module's functions to executors by value: they need no copy of the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only
     where the session names none (a single machine, as in tests)."""

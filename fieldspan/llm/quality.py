@@ -111,8 +111,12 @@ def judge(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES
 
 
 def keep_good(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of df that pass, in its columns."""
-    return judge(df, text_col).filter("__kept").select(*df.columns)
+    """The rows of df that pass, in its columns.
+
+    The verdict comes out of a generator: a filter on a projected column would be pushed below
+    the projection and count everything again for each mention."""
+    judged = judge(df, text_col)
+    return judged.select(*df.columns, F.explode_outer(F.array("__kept")).alias("__verdict")).filter("__verdict").select(*df.columns)
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

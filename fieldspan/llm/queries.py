@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding
+from . import decontaminate, mixing, quality, sharding, warc
+from .common import new_path
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +21,15 @@ def op1_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "size", F.crc32("text").alias("text_crc32"), "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(_read(spark, sf_dir, "pages"), new_path(spark, "warc"))
+    return warc.report(warc.read(archives))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(_read(spark, sf_dir, "documents"))
 
@@ -31,10 +41,16 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_reshard": op1_reshard,
+        "op3_decontaminate": op3_decontaminate,
+        "op4_warc": op4_warc,
         "op5_quality": op5_quality,
         "op10_mix": op10_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality": quality.oracle()}
+    return {
+        "op3_decontaminate": decontaminate.oracle(),
+        "op4_warc": warc.oracle(),
+        "op5_quality": quality.oracle(),
+    }
