@@ -176,14 +176,15 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """One row for each input row: __uid, __id, __size, source_size, target, taken."""
-        uses = self.slots().groupBy("src", "block").agg(F.count(F.lit(1)).alias("uses"))
+        # Spark takes a table that grows out of a few rows for small: the join is told to shuffle.
+        uses = self.slots().groupBy("src", "block").agg(F.count(F.lit(1)).alias("uses")).hint("merge")
         met = self.pieces().join(uses, ["src", "block"], "left")
         got = F.sum(F.col("length") * F.coalesce(F.col("uses"), F.lit(0)))
         return met.groupBy("__uid", "__id", "__size", "source_size", "target").agg(got.cast("long").alias("taken"))
 
     def passes(self) -> DataFrame:
         """One row for each input row and pass that takes words of it: __uid, __size, pass, parts."""
-        met = self.pieces().join(self.slots(), ["src", "block"])
+        met = self.pieces().join(self.slots().hint("merge"), ["src", "block"])
         return met.groupBy("__uid", "__size", "pass").agg(F.sort_array(F.collect_list(F.struct("from", "length"))).alias("parts"))
 
 
