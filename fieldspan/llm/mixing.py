@@ -166,7 +166,9 @@ class Mix:
     def slots(self) -> DataFrame:
         """The mix itself: shard, slot number within its source, pass, source, block."""
         chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK)))
-        some = self.spans.withColumn("chunk", chunk).repartition("src", "shard", "chunk")
+        # A stated number: left to itself, Spark would gather these few rows into one task.
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        some = self.spans.withColumn("chunk", chunk).repartition(parts, "src", "shard", "chunk")
         own = F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("n"), (F.col("chunk") + 1) * CHUNK) - 1))
         every = some.withColumn("q", own).withColumn("q", F.col("q") + F.col("first"))
         every = every.withColumn("pass", F.floor(F.col("q") / F.col("nb")).cast("int"))
