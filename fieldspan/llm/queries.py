@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, neardup, quality, sharding, warc
+from . import decontaminate, linededup, mixing, neardup, quality, sharding, warc
 from .common import new_path
 
 
@@ -38,6 +38,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.Join(_read(spark, sf_dir, "documents")).report()
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(_read(spark, sf_dir, "documents"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_read(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_warc": op4_warc,
         "op5_quality": op5_quality,
         "op7_jaccard_join": op7_jaccard_join,
+        "op8_line_dedup": op8_line_dedup,
         "op10_mix": op10_mix,
     }
 
