@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, mixing, neardup, quality, sharding, warc
+from . import decontaminate, linededup, mixing, neardup, pii, quality, sharding, tokencount, warc
 from .common import new_path
 
 
@@ -34,6 +34,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(_read(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count(_read(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.Join(_read(spark, sf_dir, "documents")).report()
 
@@ -42,6 +46,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(_read(spark, sf_dir, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_read(spark, sf_dir, "documents"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_read(spark, sf_dir, "documents"))
 
@@ -52,8 +60,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontaminate": op3_decontaminate,
         "op4_warc": op4_warc,
         "op5_quality": op5_quality,
+        "op6_token_counts": op6_token_counts,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_line_dedup": op8_line_dedup,
+        "op9_personal_data": op9_personal_data,
         "op10_mix": op10_mix,
     }
 
