@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_table, stage, word_count, words
+from .common import let, small_table, stage, word_count, words
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -94,8 +94,8 @@ def permuted(index: Column, size: Column, bits: Column, key: Column) -> Column:
             x = x.bitwiseXOR(F.call_function("shiftrightunsigned", x, half))
         return x
 
-    once = step(index.cast("long"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(96)), once, lambda x, _: F.when(x < size, x).otherwise(step(x)))
+    again = lambda y: F.aggregate(F.sequence(F.lit(1), F.lit(96)), y, lambda x, _: F.when(x < size, x).otherwise(step(x)))
+    return let(step(index.cast("long")), lambda y: F.when(y < size, y).otherwise(again(y)))
 
 
 def add_key(df: DataFrame, id_col: str, text_col: str, source_col: str, extra: list[str] = ()) -> DataFrame:
