@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, mixing, neardup, pii, quality, sharding, tokencount, warc
+from . import decontaminate, licence, linededup, mixing, neardup, pii, quality, sharding, tokencount, warc
 from .common import new_path
 
 
@@ -21,6 +21,10 @@ def op1_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "size", F.crc32("text").alias("text_crc32"), "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence.report(_read(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -57,6 +61,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_reshard": op1_reshard,
+        "op2_licence_scan": op2_licence_scan,
         "op3_decontaminate": op3_decontaminate,
         "op4_warc": op4_warc,
         "op5_quality": op5_quality,
