@@ -619,11 +619,11 @@ def hsv_range_stats(spark, d):
     return colours.ranges(p, ["team"])
 
 
-@query(f"WITH {TRK_SQL}, s AS (SELECT quarter, bucket // 60 AS span_id, min(frame) AS a, max(frame) AS b FROM trk GROUP BY 1, 2), g AS (SELECT quarter, span_id, unnest(range(a, b + 1, 50)) AS fr FROM s), c AS (SELECT quarter, frame AS fr, count(*) AS n, count(*) FILTER (zone = 'Perimeter') AS p FROM trk GROUP BY 1, 2) SELECT quarter, span_id, fr AS "at", coalesce(p, 0) AS n_perimeter, coalesce(n, 0) AS n_total FROM g LEFT JOIN c USING (quarter, fr)")
+@query(f"WITH {TRK_SQL}, s AS (SELECT quarter, bucket // 60 AS span_id, min(frame) AS a, max(frame) AS b FROM trk GROUP BY 1, 2), g AS (SELECT quarter, span_id, unnest(range(a, b + 1, 50)) AS fr FROM s), c AS (SELECT quarter, frame AS fr, count(*) AS n, count(*) FILTER (zone = 'Perimeter') AS p FROM trk GROUP BY 1, 2) SELECT quarter, span_id, fr AS probe, coalesce(p, 0) AS n_perimeter, coalesce(n, 0) AS n_total FROM g LEFT JOIN c USING (quarter, fr)")
 def full_zone_grid(spark, d):
     t = A.tracks(spark, d)
     spans = t.groupBy("quarter", F.expr("bucket div 60").alias("span_id")).agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
-    return diagnostics.probe(spans, t, K, 50).select("quarter", "span_id", "at", "n_perimeter", "n_total")
+    return diagnostics.probe(spans, t, K, 50).select("quarter", "span_id", F.col("at").alias("probe"), "n_perimeter", "n_total")
 
 
 @query(f"WITH {TRK_SQL}, s AS (SELECT quarter, bucket // 60 AS span_id, min(frame) AS a, max(frame) AS b FROM trk GROUP BY 1, 2), c AS (SELECT quarter, frame, count(*) FILTER (team = 'A') AS off, count(*) FILTER (team <> 'A') AS def FROM trk WHERE zone IN ('Behind Net', 'Perimeter') GROUP BY 1, 2) SELECT s.quarter, span_id, coalesce(max(off), 0) AS peak_off, coalesce(max(def), 0) AS peak_def FROM s LEFT JOIN c ON s.quarter = c.quarter AND frame BETWEEN a AND b GROUP BY 1, 2")
