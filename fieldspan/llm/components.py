@@ -30,7 +30,7 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     for _ in range(rounds):
         # A root that many nodes hang on is many edges' lower end: it is dealt over SALTS tasks.
         lower = now.groupBy("a").agg(F.min("b").alias("m"))
-        lower = lower.select(F.col("a").alias("n"), "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        lower = lower.select(F.col("a").alias("n"), "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).hint("merge")
         dealt = now.withColumn("at", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
         large = dealt.join(lower, (F.col("b") == F.col("n")) & (F.col("at") == F.col("salt")), "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
