@@ -139,8 +139,12 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("bytes"), F.sha1(payload).alias("sha1"))
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.octet_length(payload).cast("long").alias("bytes"), F.sha1(payload).alias("sha1"))
     first = slim.filter(F.col("bytes") >= min_revisit_bytes).groupBy("sha1", "bytes").agg(F.min("page_id").alias("first"))
+    # Joined by another key than it was grouped by: both sides are shuffled for the join alone, and
+    # the rows of a payload that many pages have can be split over tasks.
+    first = first.select(F.reverse("sha1").alias("key"), F.col("bytes").alias("size"), "first")
+    on = (F.col("key") == F.reverse("sha1")) & (F.col("size") == F.col("bytes"))
     refers = F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first"))
-    met = rows.join(first, ["sha1", "bytes"], "left").select("page_id", "url", "payload", "bytes", "sha1", refers.alias("refers_to"))
+    met = rows.join(first, on, "left").select("page_id", "url", "payload", "bytes", "sha1", refers.alias("refers_to"))
     return met.mapInArrow(_writer(folder, date), WRITTEN)
 
 
