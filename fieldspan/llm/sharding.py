@@ -177,12 +177,12 @@ def reshard(df: DataFrame, old: Column, *, id_col: str = "doc_id", text_col: str
         less[o, b][1] += 1
     rest = [(r["old_shard"], r["__block"], r["bytes"] - less[r["old_shard"], r["__block"]][0], r["n"] - less[r["old_shard"], r["__block"]][1]) for r in sums]
     pieces = plan_bytes(rest, large, n_new)
-    table = small_table(spark, [{"old_shard": o, "__block": b, "pieces": p} for (o, b), p in pieces.items()], "old_shard int, __block int, pieces array<struct<from:bigint,shard:int,slot:bigint>>")
+    table = small_table(spark, [{"old_shard": o, "__block": b, "__pieces": p} for (o, b), p in pieces.items()], "old_shard int, __block int, __pieces array<struct<from:bigint,shard:int,slot:bigint>>")
     # Large rows come first in their block, in the order in which the driver has them.
     rank = F.row_number().over(Window.partitionBy("old_shard", "__block").orderBy(F.when(F.col("size") > least, 0).otherwise(1), F.when(F.col("size") > least, -F.col("size")).otherwise(0), *first[1:]))
     # At most n_old * n_blocks rows: a size that the parameters bound.
     met = at.withColumn("__rank", rank).join(F.broadcast(table), ["old_shard", "__block"])
-    met = met.withColumn("__piece", F.element_at(F.filter("pieces", lambda p: p["from"] <= F.col("__rank")), -1))
+    met = met.withColumn("__piece", F.element_at(F.filter("__pieces", lambda p: p["from"] <= F.col("__rank")), -1))
     return met.select(
         *keep,
         "size",
