@@ -7,6 +7,7 @@ import json
 import sys
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,6 +62,21 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, size: int = 8 << 20, rows: int = 2000):
+    """While tables are written in this block, Python workers get batches of so many bytes and rows at
+    most, so that a worker's memory doesn't depend on how long texts are."""
+    names = {"spark.sql.execution.arrow.maxBytesPerBatch": str(size), "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def small_table(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
     """A table of control values (one row for each shard, source, rule ...) held by the driver."""
     data = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{_typed(ddl)}>>")

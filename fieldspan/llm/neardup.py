@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ship, stage
+from .common import arrow_batches, ship, stage
 from .components import components
 
 ship(__name__)
@@ -274,7 +274,8 @@ class Join:
         shift = LEVEL_BITS * (DEPTH - depth)
         kind = df.schema[id_col].dataType.simpleString()
         docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-        self.sketch = stage(docs.mapInArrow(_sketch, f"id {kind}, th bigint, d1 bigint, d2 bigint, n int, labels array<bigint>"), "sketch")
+        with arrow_batches(df.sparkSession):
+            self.sketch = stage(docs.mapInArrow(_sketch, f"id {kind}, th bigint, d1 bigint, d2 bigint, n int, labels array<bigint>"), "sketch")
         of = self.sketch.groupBy("d1", "d2").agg(F.min(_least_first("id", "th")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels"))
         classes = stage(of.withColumn("c", F.monotonically_increasing_id()), "classes")
 
@@ -294,7 +295,8 @@ class Join:
         dealt = dealt.withColumn("i", F.least("own", "k")).withColumn("j", F.greatest("own", "k"))
         key = ["tree", "prefix", "i", "j"]
         rows = dealt.join(full, "c").select(*key, "own", "c", "copies", "labels", "s").repartition(*key).sortWithinPartitions(*key)
-        found = stage(rows.mapInArrow(_tiles(shift, num, den), "c bigint, links bigint, link_docs bigint, root bigint"), "links")
+        with arrow_batches(df.sparkSession):
+            found = stage(rows.mapInArrow(_tiles(shift, num, den), "c bigint, links bigint, link_docs bigint, root bigint"), "links")
 
         root = components(found.select(F.col("c").alias("a"), F.col("root").alias("b")))
         per = found.groupBy("c").agg(F.sum("links").alias("links"), F.sum("link_docs").alias("link_docs"))
