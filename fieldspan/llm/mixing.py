@@ -26,7 +26,7 @@ from .common import let, small_table, stage, word_count, words
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-BLOCK_WORDS = 128
+BLOCK_WORDS = 64
 N_SHARDS = 64
 N_BUCKETS = 1024
 CHUNK = 4096
