@@ -70,7 +70,11 @@ def with_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
         "__n_stop_words": F.size(F.filter("__words", lambda w: w.isin(every))),
         "__n_repeat_words": F.when(F.size(F.array_distinct("__grams")) == F.size("__grams"), 0).otherwise(_covered("__grams")),
     }
-    return second.withColumns({k: v.cast("long") for k, v in out.items()}).drop("__words", "__lines", "__grams")
+    # The counts come out of a generator: a filter on a projected column would be pushed below the
+    # projection and count everything again for each mention.
+    counts = F.struct(*[v.cast("long").alias(k) for k, v in out.items()])
+    held = second.select(*df.columns, F.explode_outer(F.array(counts)).alias("__counts"))
+    return held.select(*df.columns, "__counts.*")
 
 
 def _covered(grams: str) -> Column:
@@ -111,12 +115,8 @@ def judge(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES
 
 
 def keep_good(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of df that pass, in its columns.
-
-    The verdict comes out of a generator: a filter on a projected column would be pushed below
-    the projection and count everything again for each mention."""
-    judged = judge(df, text_col)
-    return judged.select(*df.columns, F.explode_outer(F.array("__kept")).alias("__verdict")).filter("__verdict").select(*df.columns)
+    """The rows of df that pass, in its columns."""
+    return judge(df, text_col).filter("__kept").select(*df.columns)
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
