@@ -41,3 +41,15 @@ def with_last_seen(frames: DataFrame, values: DataFrame, keys: list[str], frame:
 
     met = frames.join(values, [*keys, frame], "left")
     return met.withColumn(value, sequence.carried(F.col(value), keys, frame))
+
+
+def camera_of(files: DataFrame, cameras: DataFrame, name: str = "name") -> DataFrame:
+    """files with the camera (label) whose label or video they name; null where there is none."""
+    names = cameras.select("label", F.explode(F.array_distinct(F.array("label", "video"))).alias("__name"))
+    met = files.join(names, files[name] == F.col("__name"), "left")
+    return met.groupBy(*files.columns).agg(F.min("label").alias("label"))
+
+
+def first_untagged(rows: DataFrame, tags: DataFrame, key: str, order: str) -> DataFrame:
+    """The place in the order of the first row without a tag: where tagging goes on."""
+    return rows.join(tags.select(key), key, "left_anti").agg(F.min(order).alias("resume_at"))

@@ -85,3 +85,17 @@ def audit_lines(lines: DataFrame, spans: DataFrame, keys: list[str], tolerance:
     lines: keys, seq, remaining; spans: keys, span_id, remaining_start (the larger), remaining_end."""
     near = F.col("remaining").between(F.col("remaining_end") - tolerance, F.col("remaining_start") + tolerance)
     return spans.join(lines, keys).filter(near)
+
+
+def blocks(lines: DataFrame, keys: list[str], seq: str = "seq", line: str = "line") -> DataFrame:
+    """lines with block, from 1: a line that holds the end marker, in any case, ends its block."""
+    end = F.lower(line).contains(END.lower()).cast("int")
+    w = Window.partitionBy(*keys).orderBy(seq)
+    return lines.withColumn("__end", end).withColumn("block", F.sum("__end").over(w) - F.col("__end") + 1).drop("__end")
+
+
+def goal_consistency(spans: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_possession_goals, n_goal_lines, consistent."""
+    both = spans.filter("end_reason = 'goal'").select(*keys, F.lit(1).alias("p"), F.lit(0).alias("m")).unionByName(marks.select(*keys, F.lit(0).alias("p"), F.lit(1).alias("m")))
+    got = both.groupBy(*keys).agg(F.sum("p").alias("n_possession_goals"), F.sum("m").alias("n_goal_lines"))
+    return got.withColumn("consistent", F.col("n_possession_goals") == F.col("n_goal_lines"))

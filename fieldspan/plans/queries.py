@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from ..functions import clock, spatial
 from ..operators import align, colours, diagnostics, formations, intervals, pbp, possessions, reconcile, report, sampling, sequence, tracking
 from ..params import PERIMETER
+from ..sources import tables
+from ..streaming import live
 from . import adapters as A
 from .adapters import CAL, LINES_SQL, SIX_HOURS, SPINE_SQL, TIMED_SQL, TRK_SQL, P, islands_sql
 
@@ -682,5 +684,95 @@ def clock_alignment(spark, d):
     return align.align(official, m, spans, q, K, P)
 
 
+# --- lookups, samples and streams ---------------------------------------------------------------
+@query("SELECT l_returnflag, CASE l_returnflag WHEN 'R' THEN 'Red' WHEN 'A' THEN 'Amber' ELSE l_returnflag END AS team, CASE WHEN l_returnflag = 'R' THEN 'A' ELSE 'R' END AS other, count(*) AS n FROM lineitem GROUP BY 1, 2, 3")
+def alias_normalised(spark, d):
+    f = F.col("l_returnflag")
+    return A.read(spark, d, "lineitem").groupBy("l_returnflag", clock.normalised(f, {"R": "Red", "A": "Amber"}).alias("team"), clock.other_team(f, "R", "A").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {TRK_SQL} SELECT label, frame, quarter, (frame - (quarter - 1) * 2700) / 30.0::DOUBLE AS elapsed FROM (SELECT DISTINCT 'c' AS label, frame, 1 + frame // 2700 AS quarter FROM trk WHERE frame < 8100)")
+def frame_quarter_lookup(spark, d):
+    frames = A.tracks(spark, d).select(F.lit("c").alias("label"), "frame").distinct()
+    spans = spark.range(3).select(F.lit("c").alias("camera"), (F.col("id") + 1).alias("quarter"), (F.col("id") * 2700).alias("first_frame"), (F.col("id") * 2700 + 2699).alias("last_frame"))
+    return tables.frame_quarter(frames, spans)
+
+
+@query(f"WITH {TRK_SQL}, s AS (SELECT DISTINCT quarter, bucket // 40 AS span_id, (quarter - 1) * 2700 + bucket // 40 * 600 + 100 AS a, (quarter - 1) * 2700 + bucket // 40 * 600 + 400 AS b FROM trk) SELECT s.quarter, span_id, count(*) AS n, min(frame) AS lo, max(frame) AS hi FROM trk JOIN s ON trk.quarter = s.quarter AND frame BETWEEN a AND b GROUP BY 1, 2")
+def frames_in_spans(spark, d):
+    t = A.tracks(spark, d)
+    part = F.expr("bucket div 40")
+    first = (F.col("quarter") - 1) * 2700 + part * 600
+    spans = t.select("quarter", part.alias("span_id"), (first + 100).alias("first_frame"), (first + 400).alias("last_frame")).distinct()
+    met = intervals.binned_join(t.select("quarter", "frame"), spans, K, "frame", "first_frame", "last_frame", 300)
+    return met.groupBy("quarter", "span_id").agg(F.count(F.lit(1)).alias("n"), F.min("frame").alias("lo"), F.max("frame").alias("hi"))
+
+
+@query(f"WITH {SCORE_SQL}, t AS (SELECT DISTINCT user_id, quarter, team FROM sc) SELECT t.user_id, t.quarter, t.team, min(camera) AS camera FROM t JOIN rg ON t.user_id = rg.user_id AND t.quarter = rg.quarter AND rg.dominant <> t.team GROUP BY 1, 2, 3")
+def attack_camera(spark, d):
+    r = readings(spark, d)
+    teams = r.select("user_id", "quarter", F.explode(F.array(F.when(F.col("score_a") >= 0, "A"), F.lit("B"))).alias("team")).distinct()
+    score = A.read(spark, d, "events").select("user_id", (1 + F.expr("event_id div 2") % 4).alias("quarter"), F.when(F.col("event_type").isin("click", "view"), "A").otherwise("B").alias("team")).distinct()
+    defends = r.select("user_id", "quarter", "camera", F.col("dominant").alias("def_team"), F.when(F.col("camera") == "c1", 0).otherwise(1).alias("camera_ix"))
+    return reconcile.attack_camera(defends, teams.join(score, teams.columns, "left_semi"), ["user_id", "quarter"])
+
+
+@query(f"WITH {LOG_HELD}, b AS (SELECT conv_id, 1 AS p, 0 AS m FROM held WHERE end_reason = 'goal' UNION ALL SELECT conv_id, 0, 1 FROM ev WHERE \"desc\" LIKE 'GOAL by%') SELECT conv_id, sum(p)::BIGINT AS n_possession_goals, sum(m)::BIGINT AS n_goal_lines, sum(p) = sum(m) AS consistent FROM b GROUP BY 1")
+def goal_consistency(spark, d):
+    ev = log_events(spark, d)
+    return pbp.goal_consistency(pbp.possessions(ev, ["conv_id"]), pbp.goals(ev, ["conv_id"]), ["conv_id"])
+
+
+@query(f"WITH {LINES_SQL} SELECT conv_id, seq, line, (1 + coalesce(sum(CASE WHEN lower(line) LIKE '%end-of-period%' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS block FROM lines")
+def period_blocks(spark, d):
+    return pbp.blocks(A.log_lines(spark, d), ["conv_id"])
+
+
+@query("SELECT n_name AS name, r_name AS label FROM nation LEFT JOIN region ON n_name = r_name OR n_name = 'NATION_' || r_regionkey")
+def camera_lookup(spark, d):
+    cams = A.read(spark, d, "region").select(F.col("r_name").alias("label"), F.concat(F.lit("NATION_"), F.col("r_regionkey")).alias("video"))
+    return diagnostics.camera_of(A.read(spark, d, "nation").select(F.col("n_name").alias("name")), cams)
+
+
+@query("SELECT l_returnflag AS team, median(l_linenumber * 1.0::DOUBLE) AS h, median((l_partkey % 256)::DOUBLE) AS s, median((l_orderkey % 256)::DOUBLE) AS v, count(*) AS n_clicks FROM lineitem GROUP BY 1")
+def click_medians(spark, d):
+    p = A.read(spark, d, "lineitem").select(F.col("l_returnflag").alias("team"), (F.col("l_linenumber") * 1.0).cast("double").alias("h"), (F.col("l_partkey") % 256).cast("double").alias("s"), (F.col("l_orderkey") % 256).cast("double").alias("v"))
+    return colours.click_medians(p, ["team"]).join(p.groupBy("team").agg(F.count(F.lit(1)).alias("n_clicks")), "team")
+
+
+@query(f"WITH {BOTH}, i AS (SELECT unnest(range(5)) AS i) SELECT user_id, start_sec, start_sec + (end_sec - start_sec) * i / 4.0::DOUBLE AS at_sec FROM v, i")
+def sample_times(spark, d):
+    s = sessions(spark, d, ["view"], 1)
+    return s.select("user_id", "start_sec", F.explode(sampling.sample_times(F.col("start_sec"), F.col("end_sec"), 5)).alias("at_sec"))
+
+
+@query(f"WITH {TRK_SQL}, c AS (SELECT quarter, bucket, track_id % 2 AS cam, count(*) FILTER (zone = 'Behind Net') AS near FROM trk GROUP BY 1, 2, 3) SELECT quarter, bucket, max(near) AS near, bool_or(near >= 2) AS huddled FROM c GROUP BY 1, 2")
+def cameras_combined(spark, d):
+    t = A.tracks(spark, d).groupBy("quarter", "bucket", (F.col("track_id") % 2).alias("cam")).agg(F.count_if(F.col("zone") == "Behind Net").alias("near"))
+    return align.combine_cameras(t.withColumn("huddled", F.col("near") >= 2), K, "bucket")
+
+
+@query("SELECT min(o_orderkey) AS resume_at FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def resume_index(spark, d):
+    return diagnostics.first_untagged(A.read(spark, d, "orders").select("o_orderkey"), A.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "o_orderkey")
+
+
+@query("SELECT event_type, epoch_us(ts) // 3600000000 * 3600 AS start_sec, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_bucket_counts(spark, d):
+    e = A.read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = live.bucket_counts(e, width="1 hour")
+    return got.select("event_type", F.unix_seconds("start").alias("start_sec"), "n")
+
+
+@query(
+    """WITH g AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 21600000000 THEN 0 ELSE 1 END AS nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY t) AS k FROM g) SELECT user_id, min(t) AS start_us, max(t) + 21600000000 AS end_us, count(*) AS n FROM s GROUP BY user_id, k"""
+)
+def stream_grace_sessions(spark, d):
+    e = A.read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = live.grace_sessions(e, gap="6 hours")
+    return got.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return possessions_detected(spark, "/root/testdata/sf0.001")
