@@ -205,10 +205,10 @@ def mix_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     text = F.col(copy[text_col])
     done = Mix(rows.select("__uid", "__id", "__source", "__size", "__hash"), **options).passes()
     both = rows.drop("__size").join(done, "__uid")
-    part = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(F.col("__words"), p["from"].cast("int") + 1, p["length"].cast("int")))), " ")
+    cut = lambda w: F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(w, p["from"].cast("int") + 1, p["length"].cast("int")))), " ")
     whole = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["length"]) == F.col("__size")
-    both = both.withColumn("__words", F.when(whole, F.array().cast("array<string>")).otherwise(words(text)))
-    both = both.withColumn(copy[text_col], F.when(whole, text).otherwise(part))
+    # let: as a column of its own the split text would be made again for each part.
+    both = both.withColumn(copy[text_col], F.when(whole, text).otherwise(let(words(text), cut)))
     if "n_chars" in copy:
         kind = df.schema["n_chars"].dataType
         both = both.withColumn(copy["n_chars"], F.when(whole, F.col(copy["n_chars"])).otherwise(F.length(text).cast(kind)))
