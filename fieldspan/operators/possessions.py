@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,38 +11,43 @@ from ..params import BEHIND_NET, DEEP_ZONES, DEFAULTS, GOALIE, PLAY_ZONES, Param
 from . import intervals, sequence
 
 KEYS = ["game", "camera", "quarter"]
+Team = str | Column  # a name, or a column that has it for each row
 
 
-def frame_counts(tracks: DataFrame, off: str, deff: str) -> DataFrame:
+def _is(team: Team) -> Column:
+    return F.col("team") == team
+
+
+def frame_counts(tracks: DataFrame, off: Team, deff: Team) -> DataFrame:
     """KEYS, frame, bucket, off, def (the goalie counts), deep: counts in the zones of play."""
-    zone, team = F.col("zone"), F.col("team")
+    zone = F.col("zone")
     play = zone.isin(*PLAY_ZONES)
     return tracks.groupBy(*KEYS, "frame", "bucket").agg(
-        F.count_if(play & (team == off)).alias("off"), F.count_if(play & team.isin(deff, GOALIE)).alias("def"), F.count_if(zone.isin(*DEEP_ZONES) & (team == off)).alias("deep")
+        F.count_if(play & _is(off)).alias("off"), F.count_if(play & (_is(deff) | _is(GOALIE))).alias("def"), F.count_if(zone.isin(*DEEP_ZONES) & _is(off)).alias("deep")
     )
 
 
-def huddles(tracks: DataFrame, off: str, p: Params = DEFAULTS) -> DataFrame:
+def huddles(tracks: DataFrame, off: Team, p: Params = DEFAULTS) -> DataFrame:
     """KEYS, frame, bucket, huddled: whether the offence stands close together."""
-    own = tracks.filter((F.col("team") == off) & F.col("zone").isin(*PLAY_ZONES))
+    own = tracks.filter(_is(off) & F.col("zone").isin(*PLAY_ZONES))
     got = own.groupBy(*KEYS, "frame", "bucket").agg(F.sort_array(F.collect_list(F.struct("det_ix", F.col("cx").cast("double").alias("x"), F.col("cy").cast("double").alias("y"), (F.col("r") - F.col("l")).cast("double").alias("w")))).alias("d"))
     return got.select(*KEYS, "frame", "bucket", spatial.huddled(F.col("d"), F.col("d.w"), p.huddle_players, p.huddle_ratio).alias("huddled"))
 
 
-def offscreen_credit(tracks: DataFrame, off: str, deff: str, frame_height: float, p: Params = DEFAULTS) -> DataFrame:
+def offscreen_credit(tracks: DataFrame, off: Team, deff: Team, frame_height: float, p: Params = DEFAULTS) -> DataFrame:
     """KEYS, bucket, off, def, deep: what players credit who leave at the bottom edge behind the net and
     come back in time. Every bucket from the last to the next detection counts."""
     w = Window.partitionBy(*KEYS, "track_id").orderBy("frame")
-    seen = tracks.filter(F.col("track_id").isNotNull() & F.col("team").isin(off, deff))
+    seen = tracks.filter(F.col("track_id").isNotNull() & (_is(off) | _is(deff)))
     seen = seen.withColumns({"next_frame": F.lead("frame").over(w), "next_bucket": F.lead("bucket").over(w), "n": F.row_number().over(w)})
     gap = F.col("next_frame") - F.col("frame")
     left = (F.col("zone") == BEHIND_NET) & (F.col("cy") >= p.credit_edge_share * frame_height)
     held = seen.filter((gap > 1) & (F.col("n") >= p.credit_min_detections) & left & (gap / p.fps <= p.credit_max_sec))
     each = held.withColumn("bucket", F.explode(F.sequence("bucket", "next_bucket")))
-    return each.groupBy(*KEYS, "bucket").agg(F.count_if(F.col("team") == off).alias("off"), F.count_if(F.col("team") == deff).alias("def"), F.count_if(F.col("team") == off).alias("deep"))
+    return each.groupBy(*KEYS, "bucket").agg(F.count_if(_is(off)).alias("off"), F.count_if(_is(deff)).alias("def"), F.count_if(_is(off)).alias("deep"))
 
 
-def bucket_signal(tracks: DataFrame, spine: DataFrame, off: str, deff: str, credit: DataFrame | None = None, huddle: DataFrame | None = None) -> DataFrame:
+def bucket_signal(tracks: DataFrame, spine: DataFrame, off: Team, deff: Team, credit: DataFrame | None = None, huddle: DataFrame | None = None) -> DataFrame:
     """KEYS, bucket, off, def, deep, huddled for every bucket of the spine: the largest counts of its
     frames, plus credit; a bucket without frames is 0 and false."""
     top = frame_counts(tracks, off, deff).groupBy(*KEYS, "bucket").agg(*[F.max(c).alias(c) for c in ("off", "def", "deep")])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from ..params import PERIMETER
 from ..sources import tables
 from ..streaming import live
 from . import adapters as A
+from . import analysis
 from .adapters import CAL, LINES_SQL, SIX_HOURS, SPINE_SQL, TIMED_SQL, TRK_SQL, P, islands_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -774,5 +776,31 @@ def stream_grace_sessions(spark, d):
     return got.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
+# --- the whole --------------------------------------------------------------------------------
+def records(spark: SparkSession, d: str) -> DataFrame:
+    """Invented records of both teams: a short one in every 40 buckets of the spine."""
+    s = A.spine(spark, d).filter("bucket % 40 = 7")
+    team = F.when((F.col("bucket") + F.col("quarter")) % 3 == 0, "A").otherwise("B")
+    return s.select("game", "quarter", F.struct("quarter", "bucket").alias("seq"), team.alias("team"), (F.col("bucket") * 0.5).alias("start_sec"), (F.col("bucket") * 0.5 + 3).alias("end_sec"), F.when(F.col("bucket") % 80 == 7, "goal").otherwise("turnover").alias("end_reason"))
+
+
+def whole(spark: SparkSession, d: str) -> DataFrame:
+    p = replace(P, long_block_sec=8.0, split_buffer_sec=2.0)
+    spine = A.spine(spark, d)
+    defends = spine.select("game", "camera", "quarter", F.when(F.col("quarter") % 2 == 0, "A").otherwise("B").alias("def_team")).distinct()
+    found = analysis.detect_all(A.tracks(spark, d), spine, defends, CAL, ("A", "B"), p)
+    return analysis.with_records(found, records(spark, d), p)
+
+
+@query()
+def possessions_whole(spark, d):
+    return whole(spark, d).select("quarter", "team", "start_sec", "end_sec", "duration_sec", "boundary_source", "end_reason", "long")
+
+
+@query()
+def possessions_checked(spark, d):
+    return analysis.checks(whole(spark, d), records(spark, d), P)["matched"]
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return possessions_detected(spark, "/root/testdata/sf0.001")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,3 +113,21 @@ def upsert(store: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
 def scaffold_config(team_a: str, team_b: str, cameras: list[str]) -> str:
     """A configuration to fill in, as JSON text."""
     return json.dumps({"team_a": team_a, "team_b": team_b, "team_aliases": {}, "period_length_sec": 900, "fps": 30.0, "cameras": [{"label": c, "video": f"{c}.mp4", "quarter_frames": {str(q): [0, 0] for q in range(1, 5)}} for c in cameras]}, indent=2)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df, written as Parquet and read again: what is used several times is made once, and what is
+    written outlives executors. The folder is the one that all machines share, spark.checkpoint.dir;
+    a temporary one only where the session names none, as on a single machine."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    path = f"{shared.rstrip('/')}/fieldspan-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -222,3 +222,22 @@ def test_config(spark, tmp_path):
     (tmp_path / "c.json").write_text(tables.scaffold_config("A", "B", ["c1", "c2"]).replace("[\n            0,\n            0\n          ]", "[0, 90]"))
     q = tables.quarters(tables.read_config(spark, str(tmp_path / "c.json")))
     assert q.count() == 8 and q.filter("camera = 'c2' and quarter = 4").count() == 1
+
+
+def test_whole_detection_is_that_of_both_sides(spark, data):
+    from fieldspan.operators import possessions
+    from fieldspan.plans import adapters, analysis
+
+    p = Params(strict_off=2, strict_def=2, strict_deep=1, loose_off=2, loose_def=2, grace_buckets=2, sustained_buckets=2, huddle_ratio=5.0)
+    t, spine = adapters.tracks(spark, data), adapters.spine(spark, data)
+    defends = spine.select("game", "camera", "quarter").distinct().withColumn("def_team", F.when(F.col("quarter") % 2 == 0, "A").otherwise("B"))
+    got = rows(analysis.detect_all(t, spine, defends, adapters.CAL, ("A", "B"), p), "quarter", "team", "start_sec", "end_sec")
+    want = []
+    duration = spine.groupBy("game", "camera", "quarter").agg((F.count(F.lit(1)) * 0.5).alias("duration"))
+    for odd, off, deff in ((1, "A", "B"), (0, "B", "A")):
+        own = t.filter(F.col("quarter") % 2 == odd)
+        near = own.filter(~spatial.beyond_cutoff(F.col("cy"), F.col("zone"), adapters.CAL))
+        credit = possessions.offscreen_credit(own, off, deff, float(adapters.CAL.frame_height), p)
+        s = possessions.bucket_signal(near, spine.filter(F.col("quarter") % 2 == odd), off, deff, credit, possessions.huddles(near, off, p))
+        want += rows(possessions.detect(s, off, p, duration), "quarter", "team", "start_sec", "end_sec")
+    assert got == sorted(want) and got
