@@ -36,3 +36,13 @@ def test_runs(spark, data, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 2
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_does_without_the_text_operators():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['fieldspan.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; print(*e.queries())"
+    said = subprocess.run([sys.executable, "-c", code], cwd=Path(entry.__file__).parent, capture_output=True, text=True, check=True).stdout.split()
+    assert set(said) == set(QUERIES)
