@@ -28,14 +28,16 @@ def segments(dets: DataFrame, keys: list[str], trackable: list[str], max_gap: in
     return dets.join(numbered.select(*keys, "frame", "seg"), [*keys, "frame"])
 
 
-def _assign(pdf: pd.DataFrame, trackable: frozenset, scale: float, p: Params) -> pd.DataFrame:
-    """Track numbers within one segment, from 1: of all pairs of a detection and a live track of its
-    team within reach, the closest is matched first, each to one."""
-    pdf = pdf.sort_values(["frame", "det_ix"], kind="stable").reset_index(drop=True)
-    live: dict[int, list] = {}
-    n, ids = 0, [None] * len(pdf)
+def walk(pdf: pd.DataFrame, live: dict[int, list], n: int, trackable: frozenset, scale: float, p: Params) -> tuple[list, int]:
+    """Track numbers for the rows of pdf (frames in order), and how many there are by now.
+
+    live holds the tracks seen so far, number -> team, x, y, last frame, and is brought up to date.
+    Of all pairs of a detection and a live track of its team within reach, the closest is matched
+    first, each to one; a detection that is left begins a track."""
+    ids: list = [None] * len(pdf)
     team, cx, cy = pdf["team"].tolist(), pdf["cx"].tolist(), pdf["cy"].tolist()
     for frame, rows in pdf.groupby("frame", sort=True).indices.items():
+        frame = int(frame)
         for k in [k for k, t in live.items() if frame - t[3] > p.track_max_gap]:
             del live[k]
         own = [i for i in rows if team[i] in trackable]
@@ -57,7 +59,11 @@ def _assign(pdf: pd.DataFrame, trackable: frozenset, scale: float, p: Params) ->
                 n += 1
                 ids[i] = n
             live[ids[i]] = [team[i], cx[i], cy[i], frame]
-    return pdf.assign(local_id=pd.array(ids, dtype="Int64"))
+    return ids, n
+
+
+def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pdf.sort_values(["frame", "det_ix"], kind="stable").reset_index(drop=True)
 
 
 def track(dets: DataFrame, keys: list[str], trackable: list[str], frame_width: float = DEFAULTS.track_full_width, p: Params = DEFAULTS) -> DataFrame:
@@ -69,7 +75,8 @@ def track(dets: DataFrame, keys: list[str], trackable: list[str], frame_width: f
     scale = frame_width / p.track_full_width
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _assign(pdf, held, scale, p)
+        pdf = in_order(pdf)
+        return pdf.assign(local_id=pd.array(walk(pdf, {}, 0, held, scale, p)[0], dtype="Int64"))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", local_id bigint"
     got = cut.groupBy(*keys, "seg").applyInPandas(run, schema)

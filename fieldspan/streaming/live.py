@@ -1,9 +1,20 @@
-"""Streaming variants: bucket counts, grace sessions, and sinks that write each batch once."""
+"""Streaming variants: bucket counts, grace sessions, a tracker with state, and sinks that write each batch once."""
 
 from __future__ import annotations
 
+import json
+import sys
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from ..operators import tracking
+from ..params import DEFAULTS, Params
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
 
 def bucket_counts(events: DataFrame, ts: str = "ts", key: str = "event_type", width: str = "500 milliseconds", late: str = "10 seconds") -> DataFrame:
@@ -25,3 +36,21 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str):
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+
+
+def track_stream(dets: DataFrame, keys: list[str], trackable: list[str], frame_width: float = DEFAULTS.track_full_width, p: Params = DEFAULTS) -> DataFrame:
+    """dets (keys, frame, det_ix, team, cx, cy, ...) with track_id, as operators.tracking.track gives it,
+    for frames that arrive in order. The state of a camera is its live tracks, which end after
+    track_max_gap frames, and the number of tracks so far: it doesn't grow with the stream."""
+    held, scale = frozenset(trackable), frame_width / p.track_full_width
+
+    def run(key, batches, state):
+        pdf = tracking.in_order(pd.concat(list(batches), ignore_index=True))
+        text, n = state.get if state.exists else ("{}", 0)
+        live = {int(k): v for k, v in json.loads(text).items()}
+        ids, n = tracking.walk(pdf, live, n, held, scale, p)
+        state.update((json.dumps(live), n))
+        yield pdf.assign(track_id=pd.array(ids, dtype="Int64"))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dets.schema) + ", track_id bigint"
+    return dets.groupBy(*keys).applyInPandasWithState(run, schema, "live string, n bigint", "append", GroupStateTimeout.NoTimeout)

@@ -23,6 +23,25 @@ def test_sessions_and_buckets(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
 
 
+def test_tracker_keeps_its_state(spark, tmp_path):
+    import random
+
+    from fieldspan.operators import tracking
+
+    rng = random.Random(4)
+    rows = [(c, f * 3, i, rng.choice(["A", "B", "Unknown"]), rng.randrange(400), rng.randrange(400)) for c in "xy" for f in range(40) for i in range(rng.randrange(4))]
+    df = spark.createDataFrame(rows, "camera string, frame int, det_ix int, team string, cx int, cy int")
+    for k in range(4):  # frames arrive in order, over four batches
+        df.filter(F.col("frame").between(30 * k, 30 * k + 29)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = live.track_stream(stream, ["camera"], ["A", "B"]).writeStream.format("memory").queryName("tracked").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    key = lambda r: (r.camera, r.frame, r.det_ix)
+    got = {key(r): r.track_id for r in spark.table("tracked").collect()}
+    assert got == {key(r): r.track_id for r in tracking.track(df, ["camera"], ["A", "B"]).collect()}
+
+
 def test_steps_are_kept(spark, tmp_path):
     steps = [Step("a", lambda s, _: s.range(5)), Step("b", lambda s, i: i["a"].filter("id > 2"), ["a"]), Step("c", lambda s, i: i["b"], ["b"], always=True)]
     assert run(spark, steps, str(tmp_path)) == {"a": "ran", "b": "ran", "c": "ran"}
