@@ -241,3 +241,39 @@ def test_whole_detection_is_that_of_both_sides(spark, data):
         s = possessions.bucket_signal(near, spine.filter(F.col("quarter") % 2 == odd), off, deff, credit, possessions.huddles(near, off, p))
         want += rows(possessions.detect(s, off, p, duration), "quarter", "team", "start_sec", "end_sec")
     assert got == sorted(want) and got
+
+
+def test_more_files(spark, tmp_path):
+    (tmp_path / "goalie_team_cam1.json").write_text('{"1": {"A": 0.4, "B": 0.1}, "2": null}')
+    q = tables.read_quarter_map(spark, str(tmp_path / "goalie_team_cam1.json"), "map<string,double>")
+    assert rows(q.select("label", "quarter", F.col("value")["A"].alias("a")), "label", "quarter", "a") == [("goalie_team_cam1", 1, 0.4), ("goalie_team_cam1", 2, None)]
+    (tmp_path / "log.txt").write_text("15:00 0\r\n\n14:30 A x")
+    assert rows(tables.read_lines(spark, str(tmp_path / "log.txt")), "label", "seq", "line") == [("log.txt", 0, "15:00 0"), ("log.txt", 1, ""), ("log.txt", 2, "14:30 A x")]
+    t = spark.createDataFrame([("c", 3, 0, "A"), ("c", 0, 0, "B")], "label string, frame int, det_ix int, team string")
+    tables.write_tracks(t, str(tmp_path / "tracks"))
+    assert rows(spark.read.parquet(str(tmp_path / "tracks")), "label", "frame", "team") == [("c", 0, "B"), ("c", 3, "A")]
+    assert tables.staged(t).count() == 2
+
+
+def test_calibration_from_points():
+    p = [[900, 1000], [1100, 1002], [800, 700], [1200, 700], [0, 600], [9, 610], [0, 200], [9, 200]]
+    c = spatial.Calibration.from_points(p, 2000, 1200)
+    assert (c.goal_y, c.yard8_y, c.yard30_y, c.key[2], c.frame_height) == (1001, 605, 200, (800.0, 700.0), 1200)
+    top = min(y for _, y in spatial.key_polygon(spatial.Calibration(1000.0, 600.0, 200.0, ((900.0, 1000.0), (1100.0, 1000.0), (800.0, 700.0), (1200.0, 700.0)))))
+    assert abs(top - 640) < 1e-6
+
+
+def test_sheets_and_small_ones(spark, tmp_path):
+    from fieldspan.operators import diagnostics, report
+
+    r = spark.createDataFrame([("A", 1, 10.0, "Goal scored", "(1, 2, 4)", 1, 0), ("A", 2, 20.0, "Untagged", None, 0, 0), ("B", 1, 5.0, "Turnover", "(1, 2, 4)", 2, 1)], "team string, quarter int, duration_sec double, result string, formation string, cuts_in int, cuts_out int")
+    paths = report.write_sheets(r, str(tmp_path))
+    assert len(paths) == 6 and spark.read.option("header", True).csv(paths[0]).count() == 2
+    assert rows(report.cuts_summary(r).filter("quarter is null"), "team", "n", "cuts_in") == [("A", 2, 1), ("B", 1, 2)]
+    assert rows(report.formations_by_result(r), "team", "n") == [("A", 1), ("B", 1)]
+    d = spark.range(50)
+    one, two = ([r.id for r in sampling.shuffled(d, s, "id").collect()] for s in (1, 2))
+    assert sorted(one) == sorted(two) == list(range(50)) and one != two and one == [r.id for r in sampling.shuffled(d.repartition(3), 1, "id").collect()]
+    f = spark.createDataFrame([("c", i) for i in range(4)], "k string, f int")
+    v = spark.createDataFrame([("c", 1, "x"), ("c", 3, "y")], "k string, f int, v string")
+    assert rows(diagnostics.with_last_seen(f, v, ["k"], "f", "v").filter("f > 0"), "f", "v") == [(1, "x"), (2, "x"), (3, "y")]
