@@ -22,9 +22,11 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import WS, WS_CHARS, ship, stage
 
@@ -104,15 +106,19 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lines, pa.list_(pa.int32()))], names=["id", "th", "lines"])
 
 
-def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor_words: int = ANCHOR_WORDS) -> DataFrame:
-    """id, th (hash of the text), lines: places, from 0, of the lines to delete; only where there are any."""
-    kind = df.schema[id_col].dataType.simpleString()
+def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, th (hash of the text), h and w: hash and words of each line; texts that are null have no row."""
     text = F.col(text_col)
     lines = F.transform(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(WS_CHARS)))
     count = lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, WS + "+")))
     docs = df.filter(text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), lines.alias("l"))
-    docs = docs.select("id", "th", F.transform("l", lambda x: F.xxhash64(x)).alias("h"), F.transform("l", count).alias("w"))
-    docs = stage(docs, "lines")
+    return docs.select("id", "th", F.transform("l", lambda x: F.xxhash64(x)).alias("h"), F.transform("l", count).alias("w"))
+
+
+def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor_words: int = ANCHOR_WORDS) -> DataFrame:
+    """id, th (hash of the text), lines: places, from 0, of the lines to delete; only where there are any."""
+    kind = df.schema[id_col].dataType.simpleString()
+    docs = stage(_lines(df, id_col, text_col), "lines")
     key = F.struct(F.col("id").isNull().alias("x"), F.col("id").alias("id"), F.col("th").alias("th"))
     anchors = docs.select(key.alias("key"), F.explode(F.array_distinct(F.filter("h", lambda h, i: F.get("w", i) >= anchor_words))).alias("h"))
     first = anchors.groupBy("h").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first <> last").select(F.bitwise_not("h").alias("nh"), "first")
@@ -126,8 +132,123 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor_w
     return found.groupBy("id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with the deleted lines gone from its texts, and n_lines, n_deleted, deleted (places)."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, th, h, w, lines (those deleted), ks (hashes to look at; none: all) -> id, th, k: hashes of the
+    document's runs of lines that have a line left.
+
+    A run is the shortest one from a line on, or up to a line, that has MIN_BLOCK_WORDS words: each
+    line of a block of so many words lies in a run that is within the block."""
+    base = 0x9E3779B97F4A7C15
+    back = np.uint64(pow(base, -1, 1 << 64))
+    for batch in batches:
+        for start in range(0, batch.num_rows, 512):
+            part = batch.slice(start, 512)
+            h, w, gone, ks = (part.column(k) for k in (2, 3, 4, 5))
+            sizes = h.value_lengths().to_numpy()
+            ends = np.cumsum(sizes)
+            starts, doc, n = ends - sizes, np.repeat(np.arange(len(sizes)), sizes), int(sizes.sum())
+            if not n:
+                continue
+            words = np.concatenate([[0], np.cumsum(w.flatten().to_numpy(), dtype=np.int64)])
+            left = np.ones(n, dtype=np.int64)
+            left[np.repeat(starts, gone.value_lengths().to_numpy()) + gone.flatten().to_numpy()] = 0
+            left = np.concatenate([[0], np.cumsum(left)])
+            power = np.cumprod(np.full(n, base, dtype=np.uint64))
+            sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h.flatten().to_numpy().view(np.uint64) * power)])
+            inverse = np.cumprod(np.full(n, back, dtype=np.uint64))
+            at = np.arange(n)
+            first = np.concatenate([at, np.searchsorted(words, words[1:] - MIN_BLOCK_WORDS, "right") - 1])
+            end = np.concatenate([np.searchsorted(words, words[:-1] + MIN_BLOCK_WORDS, "left"), at + 1])
+            doc = np.concatenate([doc, doc])
+            good = (end <= ends[doc]) & (first >= starts[doc])
+            first, end, doc = first[good], end[good], doc[good]
+            good = left[end] > left[first]
+            first, end, doc = first[good], end[good], doc[good]
+            k = (sums[end] - sums[first]) * inverse[first]
+            order = np.lexsort((k, doc))
+            k, doc = k[order], doc[order]
+            new = np.ones(len(k), dtype=bool)
+            new[1:] = (k[1:] != k[:-1]) | (doc[1:] != doc[:-1])
+            asked = ks.value_lengths().to_numpy()
+            if asked.sum():
+                mix = lambda a, b: a + b.astype(np.uint64) * np.uint64(base)
+                new &= np.isin(mix(k, doc), mix(ks.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(sizes)), asked)))
+            doc = pa.array(doc[new])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(doc), part.column(1).take(doc), pa.array(k[new].view(np.int64))], names=["id", "th", "k"])
+
+
+#: A round looks at so many times the holders of the round before.
+WIDER = 4
+
+
+def find_whole(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As find(), but with the lines of every aligned block that a document has with any earlier one.
+
+    Documents meet over the hashes of their runs (see _runs), so that each block of
+    MIN_BLOCK_WORDS words brings its documents together. The first round aligns with the first
+    holder of each run. Runs that still have a line left are then taken to their next holders, 1, 4,
+    16 ... of them in a round, until no run is left or has another earlier holder: a document
+    meets all earlier ones that could still delete a line of it, and lines that are gone make no
+    pairs. Of documents with the same lines the first stands for all; the others go as a whole."""
+    kind = df.schema[id_col].dataType.simpleString()
+    key = F.struct(F.col("id").isNull().alias("x"), F.col("id").alias("id"), F.col("th").alias("th"))
+    docs = stage(_lines(df, id_col, text_col).withColumn("c", F.xxhash64("h")), "lines")
+    # A document's lines are fixed by their hashes, and so are the words of each.
+    every = stage(docs.groupBy("c").agg(F.min(key).alias("key"), F.first("h").alias("h"), F.first("w").alias("w")), "each")
+    whole = docs.select(key.alias("key"), F.bitwise_not("c").alias("nc"), F.size("h").alias("n"), F.aggregate("w", F.lit(0), lambda a, x: a + x).alias("words"))
+    copies = whole.filter(F.col("words") >= MIN_BLOCK_WORDS).join(every.select(F.bitwise_not("c").alias("nc"), F.col("key").alias("own")), "nc").filter("key <> own")
+    copies = copies.select("key", F.sequence(F.lit(0), F.col("n") - 1).alias("lines")).dropDuplicates(["key"])
+    every = every.select("key", "h", "w")
+    none = F.array()
+
+    def runs_of(rows: DataFrame) -> DataFrame:
+        got = rows.select("key.id", "key.th", "h", "w", F.coalesce("lines", none.cast("array<int>")).alias("lines"), "ks").mapInArrow(_runs, f"id {kind}, th bigint, k bigint")
+        return got.select(key.alias("key"), "k")
+
+    def aligned(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(every, "key").join(every.select(F.col("key").alias("first"), F.col("h").alias("fh")), "first").select("key.id", "key.th", "fh", "h", "w")
+        found = both.mapInArrow(_aligned, f"id {kind}, th bigint, lines array<int>").filter(F.size("lines") > 0)
+        return found.select(key.alias("key"), "lines")
+
+    def merged(found: DataFrame) -> DataFrame:
+        return found.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
+
+    runs = stage(runs_of(every.select("*", none.cast("array<int>").alias("lines"), none.cast("array<bigint>").alias("ks"))), "runs")
+    held = runs.groupBy("k").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.bitwise_not("k").alias("nk"), "first", "n")
+    # Joined by another key than it was grouped by, so that both sides are shuffled for the join
+    # alone and a frequent run's rows can be split over tasks.
+    met = stage(runs.withColumn("nk", F.bitwise_not("k")).join(held, "nk").filter("key <> first").select("key", "k", "first", "n"), "met")
+    tried = stage(met.select("key", "first").distinct(), "pairs")
+    gone = stage(merged(aligned(tried)), "gone")
+
+    def left_of(rows: DataFrame) -> DataFrame:
+        ks = rows.groupBy("key").agg(F.collect_list("k").alias("ks"))
+        return runs_of(ks.join(every, "key").join(gone, "key", "left"))
+
+    left = stage(left_of(met.filter("n > 2")), "left")
+    if not left.isEmpty():
+        # Holders after the first, numbered; those of runs that nobody looks for are left out.
+        asked = left.select("k").distinct()
+        rank = F.row_number().over(Window.partitionBy("k").orderBy("key"))
+        holders = stage(met.filter("n > 2").join(asked, "k", "left_semi").select("key", "k", rank.alias("r")), "holders")
+        left = stage(left.join(holders, ["key", "k"]), "left")
+        low, high = 1, 1
+        while not left.filter(F.col("r") > low).isEmpty():
+            partners = holders.filter(F.col("r").between(low, high)).select("k", F.col("key").alias("first"), F.col("r").alias("fr"))
+            pairs = left.join(partners, "k").filter("fr < r").select("key", "first").distinct().join(tried, ["key", "first"], "left_anti")
+            pairs = stage(pairs, "pairs")
+            tried = tried.unionByName(pairs)
+            gone = stage(merged(gone.unionByName(aligned(pairs))), "gone")
+            low, high = high + 1, high + WIDER * (high - low + 1)
+            left = left.filter(F.col("r") > low)
+            left = stage(left_of(left).join(left, ["key", "k"]), "left")
+    found = gone.join(copies.select("key"), "key", "left_anti").unionByName(copies)
+    return found.select("key.id", "key.th", "lines")
+
+
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=find) -> DataFrame:
+    """df with the deleted lines gone from its texts, and n_lines, n_deleted, deleted (places).
+    find: find_whole for all blocks, find for those with first holders."""
     own = ["n_lines", "n_deleted", "deleted"]
     keep = [c for c in df.columns if c not in own]
     found = find(df, id_col, text_col).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("lines").alias("__lines"))
@@ -143,7 +264,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     )
 
 
-def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=find) -> DataFrame:
     """A row for each document: id, n_lines, n_deleted, text (what is left)."""
-    got = dedup(df.select(id_col, text_col), id_col, text_col)
+    got = dedup(df.select(id_col, text_col), id_col, text_col, find)
     return got.select(id_col, F.col("n_lines").cast("long").alias("n_lines"), F.col("n_deleted").cast("long").alias("n_deleted"), text_col)

@@ -47,7 +47,7 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.report(_read(spark, sf_dir, "documents"))
+    return linededup.report(_read(spark, sf_dir, "documents"), find=linededup.find_whole)
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,6 +198,47 @@ def test_line_dedup(spark, docs):
     assert got == plain_dedup(rows) and got != dict(rows)
 
 
+def plain_whole(rows):
+    """Aligned with every earlier document."""
+    strip = " \t\n\x0b\f\r"
+    before, out = [], {}
+    for i, t in sorted(rows):
+        ls = [x.strip(strip) for x in t.split("\n")]
+        n = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in ls]
+        gone = {p for f in before for p in linededup.deleted(f, ls, n)}
+        before.append(ls)
+        out[i] = "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone)
+    return out
+
+
+def whole(df):
+    return {r.doc_id: r.text for r in linededup.report(df, find=linededup.find_whole).collect()}
+
+
+def test_line_dedup_with_all_holders(spark, docs):
+    x, y, z = ("%s one two three four five six seven" % c for c in "xyz")
+    rows = [(1, f"{x}\na\n{x}\n{y}"), (2, f"b\n{x}\nc"), (3, f"d\n{x}\ne"), (4, f"f\n{z}\nshort"), (5, f"{z}\nshort\n{y}"), (6, f"g\n{z}\nshort\nh\n{y}\n{x}"), (7, f"i\n{x}\nj\n{x}")]
+    got = whole(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert got == plain_whole(rows) and got[3] == "d\ne" and got[6] == "g\nh"
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = whole(docs)
+    assert got == plain_whole(rows) and got != plain_dedup(rows)
+
+
+def test_line_dedup_with_all_holders_random(spark):
+    rng = np.random.Generator(np.random.PCG64(8))
+    parts = ["", "a", "b c", "d e f g", *(" ".join([c] * 8) for c in "pqrs")]
+    rows = [(k, "\n".join(rng.choice(parts, int(n)))) for k, n in enumerate(rng.integers(1, 9, 150))]
+    assert whole(spark.createDataFrame(rows, "doc_id int, text string")) == plain_whole(rows)
+
+
+def test_line_dedup_with_all_holders_messy(spark, messy):
+    rows = linededup.dedup(messy, find=linededup.find_whole).collect()
+    assert len(rows) == 11 and [(r.text, r.n_deleted) for r in rows if r.doc_id == 2] == [("", 2)]
+    assert all(r.n_deleted == 0 for r in rows if r.doc_id == 1) and all(r.text is None for r in rows if r.doc_id == 3)
+    assert linededup.report(messy.limit(0), find=linededup.find_whole).count() == 0
+
+
 def test_line_dedup_messy(spark, messy):
     got = linededup.dedup(messy)
     rows = got.collect()
