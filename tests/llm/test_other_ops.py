@@ -232,6 +232,13 @@ def test_line_dedup_with_all_holders_random(spark):
     assert whole(spark.createDataFrame(rows, "doc_id int, text string")) == plain_whole(rows)
 
 
+def test_line_dedup_of_short_lines(spark):
+    verse = "so much depends\nupon\n\na red wheel\nbarrow\nglazed with rain"
+    rows = [(1, f"one\n{verse}\ntwo"), (2, f"three\n{verse}\nfour"), (3, "a red wheel\nbarrow\nonly"), (4, f"{verse}\n{verse}")]
+    got = whole(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert got == plain_whole(rows) and got[2] == "three\nfour" and got[3] == rows[2][1]
+
+
 def test_line_dedup_with_all_holders_messy(spark, messy):
     rows = linededup.dedup(messy, find=linededup.find_whole).collect()
     assert len(rows) == 11 and [(r.text, r.n_deleted) for r in rows if r.doc_id == 2] == [("", 2)]
