@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,9 +58,10 @@ def carried(value: Column, keys: list[str], *order: str) -> Column:
     return F.last(value, ignorenulls=True).over(ordered(keys, *order).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def sibling_gaps(df: DataFrame, keys: list[str], start: str, end: str, near: float) -> DataFrame:
-    """df with gap_before, gap_after to the siblings in keys, and near (either below the limit)."""
-    w = ordered(keys, start, end)
+def sibling_gaps(df: DataFrame, keys: list[str], start: str, end: str, near: float, ties: Sequence[str] = ()) -> DataFrame:
+    """df with gap_before, gap_after to the siblings in keys, and near (either below the limit).
+    ties: columns that order siblings of the same start and end."""
+    w = ordered(keys, start, end, *ties)
     before, after = F.col(start) - F.lag(end).over(w), F.lead(start).over(w) - F.col(end)
     out = df.withColumns({"gap_before": before, "gap_after": after})
     return out.withColumn("near", F.coalesce(F.col("gap_before") < near, F.lit(False)) | F.coalesce(F.col("gap_after") < near, F.lit(False)))

@@ -270,6 +270,12 @@ def sibling_gaps(spark, d):
     return sequence.sibling_gaps(o, ["o_custkey"], "s", "e", P.sibling_gap_sec).drop("s", "e")
 
 
+@query("SELECT o_custkey, o_orderkey, s - lag(e) OVER w AS gap_before, lead(s) OVER w - e AS gap_after, coalesce(s - lag(e) OVER w < 15, false) OR coalesce(lead(s) OVER w - e < 15, false) AS near FROM (SELECT o_custkey, o_orderkey, o_orderkey % 1000 AS s, o_orderkey % 1000 + 10 AS e FROM orders) WINDOW w AS (PARTITION BY o_custkey ORDER BY s, e, o_orderkey)")
+def sibling_gaps_whole(spark, d):
+    o = A.read(spark, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 1000).alias("s"), (F.col("o_orderkey") % 1000 + 10).alias("e"))
+    return sequence.sibling_gaps(o, ["o_custkey"], "s", "e", P.sibling_gap_sec, ["o_orderkey"]).drop("s", "e")
+
+
 @query("SELECT event_id, user_id, coalesce(CASE WHEN event_id % 3 <> 0 THEN value END, first(CASE WHEN event_id % 3 <> 0 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), last(CASE WHEN event_id % 3 <> 0 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS filled FROM events")
 def next_known_fill(spark, d):
     v = F.when(F.col("event_id") % 3 != 0, F.col("value"))
