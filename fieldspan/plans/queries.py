@@ -706,6 +706,14 @@ def frame_quarter_lookup(spark, d):
     return tables.frame_quarter(frames, spans)
 
 
+@query(f"WITH {TRK_SQL} SELECT label, frame, quarter, (frame - (quarter - 1) * 2700) / 30.0::DOUBLE AS elapsed FROM (SELECT DISTINCT 'c' AS label, frame, 1 + frame // 2700 AS quarter FROM trk)")
+def frame_quarter_lookup_whole(spark, d):
+    t = A.tracks(spark, d)
+    first = (F.col("quarter") - 1) * 2700
+    spans = t.select("camera", "quarter", first.alias("first_frame"), (first + 2699).alias("last_frame")).distinct()
+    return tables.frame_quarter(t.select(F.col("camera").alias("label"), "frame").distinct(), spans, width=2700)
+
+
 @query(f"WITH {TRK_SQL}, s AS (SELECT DISTINCT quarter, bucket // 40 AS span_id, (quarter - 1) * 2700 + bucket // 40 * 600 + 100 AS a, (quarter - 1) * 2700 + bucket // 40 * 600 + 400 AS b FROM trk) SELECT s.quarter, span_id, count(*) AS n, min(frame) AS lo, max(frame) AS hi FROM trk JOIN s ON trk.quarter = s.quarter AND frame BETWEEN a AND b GROUP BY 1, 2")
 def frames_in_spans(spark, d):
     t = A.tracks(spark, d)

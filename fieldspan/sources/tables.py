@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import intervals
+
 DETECTION = "l int, t int, r int, b int, cx int, cy int, team string, zone string, track_id int, interpolated boolean"
 POSSESSION = "quarter int, team string, camera string, start_sec double, end_sec double, duration_sec double, end_reason string, boundary_source string"
 RESULT = "possession_id string, quarter int, team string, camera string, start_sec double, end_sec double, corrected_end_sec double, result string, man_situation string, notes string, tagged_at string"
@@ -70,10 +72,14 @@ def quarters(config: DataFrame) -> DataFrame:
     return each.select("camera", "camera_ix", F.col("q").cast("int").alias("quarter"), F.get("f", F.lit(0)).alias("first_frame"), F.get("f", F.lit(1)).alias("last_frame"))
 
 
-def frame_quarter(frames: DataFrame, spans: DataFrame, camera: str = "label", fps: float = 30.0) -> DataFrame:
-    """frames with quarter and elapsed: of quarters that hold the frame, the first."""
-    met = frames.join(spans.select(F.col("camera").alias(camera), "quarter", "first_frame", "last_frame"), camera)
-    met = met.filter(F.col("frame").between(F.col("first_frame"), F.col("last_frame")))
+def frame_quarter(frames: DataFrame, spans: DataFrame, camera: str = "label", fps: float = 30.0, width: int | None = None) -> DataFrame:
+    """frames with quarter and elapsed: of quarters that hold the frame, the first. With a width, frames
+    and spans meet over bins of so many frames: for cameras with many quarters."""
+    own = spans.select(F.col("camera").alias(camera), "quarter", "first_frame", "last_frame")
+    if width:
+        met = intervals.binned_join(frames, own, [camera], "frame", "first_frame", "last_frame", width)
+    else:
+        met = frames.join(own, camera).filter(F.col("frame").between(F.col("first_frame"), F.col("last_frame")))
     best = met.groupBy(*frames.columns).agg(F.min(F.struct("quarter", "first_frame")).alias("q"))
     return best.select(*frames.columns, "q.quarter", ((F.col("frame") - F.col("q.first_frame")) / fps).alias("elapsed"))
 
