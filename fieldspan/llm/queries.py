@@ -18,6 +18,9 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def op1_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     done = sharding.reshard(docs, sharding.hashed(F.col("source")))
+    path = new_path(spark, "shards")
+    sharding.rewrite(done, path, every=True)  # the old layout is a rule: there are no files to keep
+    done = spark.read.schema(done.schema).parquet(path)
     return done.select("doc_id", "size", F.crc32("text").alias("text_crc32"), "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 

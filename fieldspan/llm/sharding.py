@@ -18,6 +18,7 @@ as a column that is added, which give way to it.
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -194,14 +195,35 @@ def reshard(df: DataFrame, old: Column, *, id_col: str = "doc_id", text_col: str
     )
 
 
-def rewrite(resharded: DataFrame, path: str) -> list[int]:
+def rewrite(resharded: DataFrame, path: str, every: bool = False) -> list[int]:
     """Write the shards that rows have left or joined, as path/shard=N/; returns their numbers.
 
-    Shards whose rows stay the same keep the files that they have."""
+    Shards whose rows stay the same keep the files that they have there; every=True is for a path
+    without any, and writes those too. Changed shards are written to a folder of their own under
+    path and swapped in once all are there, so that resharded may read from path; a shard without
+    rows left is gone afterwards. old_shard and moved in a shard's files are those of its last
+    rewrite."""
+    spark = resharded.sparkSession
     moved = resharded.filter("moved")
     changed = moved.select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct()
     known = sorted(r["s"] for r in changed.collect())  # a row for each shard
-    resharded.filter(F.col("shard").isin(known)).write.mode("overwrite").partitionBy("shard").parquet(path)
+    made = f"{path.rstrip('/')}/_made-{uuid.uuid4().hex}"
+    (resharded if every else resharded.filter(F.col("shard").isin(known))).write.partitionBy("shard").parquet(f"{made}/new")
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at(f"{made}/old"))
+    fresh = {x.getPath().getName() for x in fs.listStatus(at(f"{made}/new")) if x.isDirectory()}
+
+    def rename(a: str, b: str) -> None:
+        if not fs.rename(at(a), at(b)):
+            raise OSError(f"{a} can't be renamed to {b}")
+
+    for name in sorted(fresh | {f"shard={s}" for s in known}):
+        if fs.exists(at(f"{path}/{name}")):
+            rename(f"{path}/{name}", f"{made}/old/{name}")
+        if name in fresh:
+            rename(f"{made}/new/{name}", f"{path}/{name}")
+    fs.delete(at(made), True)
     return known
 
 

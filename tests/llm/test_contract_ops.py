@@ -74,6 +74,29 @@ def test_rewrite_touches_changed_shards_only(spark, tmp_path):
     assert back.count() == got.filter(F.col("shard").isin(known)).count()
 
 
+def test_rewrite_of_a_layout_that_is_there(spark, tmp_path):
+    path = str(tmp_path / "out")
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") + 1000).alias("text"))
+    first = sharding.reshard(df, F.lit(0), n_new=6, n_blocks=64)
+    sharding.rewrite(first, path, every=True)
+    files = lambda: {k: sorted(p.name for p in (tmp_path / "out" / f"shard={k}").glob("*.parquet")) for k in range(6)}
+    before = files()
+    # Shards 4 and 5 are closed: their rows go to the others, and no files of theirs stay.
+    there = spark.read.parquet(path)
+    sharding.rewrite(sharding.reshard(there, F.col("shard"), n_new=4, n_blocks=64), path)
+    back = spark.read.parquet(path)
+    assert sorted(r.doc_id for r in back.select("doc_id").collect()) == list(range(6000))
+    assert {r.shard for r in back.select("shard").distinct().collect()} == {0, 1, 2, 3} and before[4] and not files()[4]
+    # Rows move between shards 0 and 1 alone: 2 and 3 keep their files and rows.
+    before = files()
+    part = spark.read.parquet(path).withColumn("old_shard", F.col("shard")).withColumn("shard", F.when((F.col("shard") == 0) & (F.col("doc_id") % 2 == 0), 1).otherwise(F.col("shard"))).withColumn("moved", F.col("shard") != F.col("old_shard"))
+    want = {r.doc_id: r.shard for r in part.collect()}
+    assert sharding.rewrite(part, path) == [0, 1]
+    after = files()
+    assert {r.doc_id: r.shard for r in spark.read.parquet(path).collect()} == want
+    assert before[2] == after[2] and before[3] == after[3] and before[0] != after[0] and before[1] != after[1]
+
+
 def test_reshard_messy(spark, messy):
     got = sharding.reshard(messy, sharding.hashed(F.col("source"))).toPandas()
     assert len(got) == 11 and sorted(got["size"])[:2] == [16, 16]
