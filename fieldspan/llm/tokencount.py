@@ -48,9 +48,21 @@ def read_vocabulary(path: str = VOCABULARY) -> dict[bytes, int]:
     return scores
 
 
-def counts_of(words: list[bytes], scores: dict[bytes, int], longest: int) -> dict[bytes, int]:
+def lengths_of(scores: dict[bytes, int]) -> dict[int, list[int]]:
+    """For each byte, the lengths of the pieces that end with it, rising."""
+    found: dict[int, set[int]] = {}
+    for piece in scores:
+        found.setdefault(piece[-1], set()).add(len(piece))
+    return {b: sorted(x) for b, x in found.items()}
+
+
+def counts_of(words: list[bytes], scores: dict[bytes, int], longest: int | None = None, lengths: dict[int, list[int]] | None = None) -> dict[bytes, int]:
     """Tokens of each distinct word. Words are taken in order, so that they run through the trie in
-    depth-first order; best and number of the prefix shared with the word before stay on the stack."""
+    depth-first order; best and number of the prefix shared with the word before stay on the stack.
+
+    longest: pieces above this length are not used; lengths: lengths_of(scores), if they are at hand."""
+    if lengths is None:
+        lengths = lengths_of(scores)
     out, before = {}, b""
     best, number = [0], [0]
     for w in sorted(words):
@@ -60,7 +72,10 @@ def counts_of(words: list[bytes], scores: dict[bytes, int], longest: int) -> dic
         del best[shared + 1 :], number[shared + 1 :]
         for end in range(shared + 1, len(w) + 1):
             top, n = NONE, 0
-            for start in range(max(0, end - longest), end):
+            for size in lengths.get(w[end - 1], ()):
+                if size > end or longest and size > longest:
+                    break
+                start = end - size
                 score = scores.get(w[start:end])
                 if score is not None and best[start] > NONE:
                     score += best[start]
@@ -75,10 +90,10 @@ def counts_of(words: list[bytes], scores: dict[bytes, int], longest: int) -> dic
     return out
 
 
-def _counter(path: str, piece_bytes: int):
+def _counter(path: str, piece_bytes: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = read_vocabulary(path)
-        longest = min(piece_bytes, max(map(len, scores)))
+        lengths = lengths_of(scores)
         known: dict[str, int] = {}
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
@@ -87,7 +102,7 @@ def _counter(path: str, piece_bytes: int):
                 new = {w for ws in found for w in ws if w not in known}
                 if len(known) + len(new) > CACHE:
                     known, new = {}, {w for ws in found for w in ws}
-                got = counts_of([w.encode("utf-8", "surrogatepass") for w in new], scores, longest)
+                got = counts_of([w.encode("utf-8", "surrogatepass") for w in new], scores, piece_bytes, lengths)
                 known |= {w: got[w.encode("utf-8", "surrogatepass")] for w in new}
                 pre = pa.array(list(map(len, found)), pa.int64())
                 tokens = pa.array([sum(map(known.__getitem__, ws)) for ws in found], pa.int64())
@@ -97,9 +112,9 @@ def _counter(path: str, piece_bytes: int):
     return run
 
 
-def count(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, piece_bytes: int = 32) -> DataFrame:
+def count(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, piece_bytes: int | None = None) -> DataFrame:
     """A row for each document: id, n_pre_tokens, n_distinct, n_tokens. vocabulary: a path that every
-    executor can read; piece_bytes: pieces above this length are not used."""
+    executor can read; piece_bytes: pieces above this length are not used (None: all are)."""
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_counter(vocabulary, piece_bytes), f"id {kind}, n_pre_tokens bigint, n_distinct bigint, n_tokens bigint").withColumnRenamed("id", id_col)

@@ -65,6 +65,16 @@ def test_token_counts(spark, docs):
         assert got[r.doc_id] == sum(n * plain_tokens(w.encode(), scores) for w, n in Counter(pre).items())
 
 
+def test_token_counts_long_pieces(spark):
+    scores = tokencount.read_vocabulary()
+    long = sorted(w for w in scores if len(w) > 32)
+    texts = ["-" * 64, "=" * 64, "a rule " + "_" * 70 + " and more", "-" * 48 + "\n" + "." * 130]
+    texts += [t for t in (w.decode("utf-8", "replace") for w in long) if t.encode() in scores]
+    got = {r.doc_id: r.n_tokens for r in tokencount.count(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert len(long) == 14 and got[0] == got[1] == 1
+    assert got == {k: sum(plain_tokens(w.encode(), scores) for w in tokencount.PRE_TOKEN.findall(t)) for k, t in enumerate(texts)}
+
+
 def test_token_counts_messy(spark, messy):
     small = messy.withColumn("text", F.substring("text", 1, 3000))
     got = tokencount.count(small).collect()
