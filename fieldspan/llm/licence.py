@@ -155,6 +155,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     found = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.explode_outer(held).alias("p")).filter("p is not null")
     words = F.regexp_extract_all(F.lower("p.x"), F.lit("[a-z]+"), F.lit(0))
     found = found.select("id", "th", F.col("p.i").alias("paragraph"), words.alias("t"))
+    found = found.dropDuplicates(["id", "th", "paragraph"])  # rows alike count once
     n = F.size("t")
 
     def run_of(k: int) -> Column:

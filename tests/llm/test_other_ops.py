@@ -33,6 +33,12 @@ def test_licence_held_out():
     assert licence.train()["held_out_accuracy"] > 0.9
 
 
+def test_licence_copies_of_a_row(spark):
+    rows = [(k, t) for k, (_, t) in enumerate(licence.VARIANTS)] + [(100, "Released under a license of the GNU kind"), (None, "Released under the GPL")]
+    once, thrice = (sorted(map(str, map(tuple, licence.scan(spark.createDataFrame(rows * n, "doc_id int, text string")).collect()))) for n in (1, 3))
+    assert once == thrice
+
+
 def test_licence_messy(spark, messy):
     got = licence.report(messy).collect()
     assert len(got) == 11 and [r.families for r in got if r.doc_id == 7] == ["mit"]
