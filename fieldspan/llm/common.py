@@ -26,11 +26,13 @@ def ship(module: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only
-    where the session names none (a single machine, as in tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where the session names
+    none, a temporary one on a single machine (as in tests), and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="fieldspan-"))
     return _own_dir[0]
@@ -59,7 +61,14 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def drop(staged: DataFrame) -> None:
+    """Delete the files of a table of stage() that nothing reads any more."""
+    _delete(staged.sparkSession, staged.staged_at)
 
 
 @contextmanager

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import drop, stage
 
 SALTS = 32
 
@@ -35,7 +35,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         large = dealt.join(lower, (F.col("b") == F.col("n")) & (F.col("at") == F.col("salt")), "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
-        now = stage(joined.filter("a <> b").distinct(), "edges")
+        before, now = now, stage(joined.filter("a <> b").distinct(), "edges")
+        drop(before)
         last, mark = mark, _mark(now)
         if mark == last:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

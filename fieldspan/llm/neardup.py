@@ -1,16 +1,18 @@
 """Operator 7: N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
 Each text is the set of its runs of SHINGLE words (lower case letters and digits; a text of fewer
-words is one run). Texts with equal sets are one class. A forest of TREES prefix tries holds a
-label of DEPTH levels for each class: classes whose labels agree in the first r levels of a tree
-meet there. r begins at DEPTH, where only nearly equal texts meet, and is shortened until a pair
-at the threshold meets in some tree with the target probability. Every pair that meets is then
-verified on the whole sets.
-
-Groups of classes that meet are cut into tiles of about TILE x TILE classes; a tile's pairs are
-compared in one task and only counts and a spanning star come out of it, so that the pairs of a
-large group are neither emitted nor gathered in one place. A pair that meets in several trees
-counts in the first.
+words is one run). Texts with equal sets are one class. A forest of TREES prefix tries over sorted
+labels holds DEPTH levels for each class. All tries are climbed together, from the leaves: first
+meet the classes below a common node at DEPTH, then the branches of the nodes a level higher, and
+so on. After each level the links found say how many pairs of their similarities such prefixes
+miss; prefixes are shortened until the share found reaches the target, and not beyond the depth
+at which a pair just at the threshold would reach it. A pair meets once, at its longest common
+prefix, and is verified there on the whole sets.
+
+A node's classes are cut into tiles of TILE x TILE classes at most (fewer if sets are large). Labels
+come to a tile first; sets follow only for classes that have a pair to verify there. Only counts
+and a spanning star come out of it, so that the pairs of a large group are neither emitted nor
+gathered in one place.
 
 Defined cases: a null text is a class of its own row's id; texts without words are copies if
 they are equal, and have no links; rows alike in id and text are copies; null ids come last where
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_batches, ship, stage
+from .common import arrow_batches, drop, ship, stage
 from .components import components
 
 ship(__name__)
@@ -38,7 +40,10 @@ SHINGLE = 5
 THRESHOLD = (4, 5)
 TREES, DEPTH, LEVEL_BITS = 24, 8, 8
 TARGET_RECALL = 0.9999
-TILE = 256
+#: Classes, and bytes of their sets, on a side of a tile.
+TILE, TILE_BYTES = 1024, 16 << 20
+#: Bands of similarity, from the threshold to 1, in which links are counted.
+BANDS = 40
 WORD_CACHE = 400_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -53,6 +58,19 @@ def prefix_depth(threshold: float, target: float, trees: int = TREES, depth: int
     return 1
 
 
+def estimated_recall(bands: list[int], depth: int, threshold: float, trees: int = TREES) -> float:
+    """The share of all links that prefixes of this depth find, from those that they found: a link of
+    similarity s is found with the chance p(s), so that each one found stands for 1 / p(s). A band's
+    similarity is its lower end. Without links nothing can be told: 0."""
+    seen = lambda s: 1 - (1 - s**depth) ** trees
+    every = sum(n / seen(threshold + (1 - threshold) * k / BANDS) for k, n in enumerate(bands))
+    return sum(bands) / every if every else 0.0
+
+
+def _prefix(label: str, depth: int) -> Column:
+    return F.shiftrightunsigned(label, LEVEL_BITS * (DEPTH - depth))
+
+
 def _odd_and_add(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(7))
     return rng.integers(0, _M64, n, dtype=np.uint64, endpoint=True) | np.uint64(1), rng.integers(0, _M64, n, dtype=np.uint64, endpoint=True)
@@ -140,12 +158,14 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 class _Side:
+    """Classes of one side of a tile, from rows c, copies, labels and set (or its size alone)."""
+
     def __init__(self, rows: list):
         self.c = np.array([r[0] for r in rows], dtype=np.int64)
         self.copies = np.array([r[1] for r in rows], dtype=np.int64)
         self.labels = np.array([r[2] for r in rows], dtype=np.int64).view(np.uint64)
-        self.sets = [np.frombuffer(r[3], dtype=np.uint64) for r in rows]
-        self.n = np.array([len(s) for s in self.sets], dtype=np.int64)
+        self.sets = [np.frombuffer(r[3], dtype=np.uint64) for r in rows if not isinstance(r[3], int)]
+        self.n = np.array([r[3] if isinstance(r[3], int) else len(r[3]) // 8 for r in rows], dtype=np.int64)
 
 
 def shared_counts(a: _Side, b: _Side, wanted: np.ndarray) -> np.ndarray:
@@ -188,25 +208,60 @@ def shared_counts(a: _Side, b: _Side, wanted: np.ndarray) -> np.ndarray:
     return out
 
 
-def _tile(key: tuple, rows: list, shift: int, num: int, den: int) -> list[tuple]:
-    """Rows c, links, link_docs, root of the classes that have links within the tile."""
-    tree, _, i, j = key
+def pairs_that_meet(a: _Side, b: _Side, tree: int, depth: int, num: int, den: int) -> np.ndarray:
+    """The pairs of a tile of a node of this tree whose longest prefix in any tree has just this depth,
+    and that have it in no tree before: each pair is met once, where it meets deepest. Pairs whose
+    sizes rule the threshold out are left aside."""
+    small, large = np.minimum(a.n[:, None], b.n[None, :]), np.maximum(a.n[:, None], b.n[None, :])
+    fits = small * den >= large * num
+    if a is b:
+        fits = np.triu(fits, 1)
+    i, j = np.nonzero(fits)
+    for t in range(TREES):
+        levels = depth if t < tree else depth + 1
+        if levels <= DEPTH and len(i):
+            ok = (a.labels[i, t] ^ b.labels[j, t]) >> np.uint64(LEVEL_BITS * (DEPTH - levels)) != 0
+            i, j = i[ok], j[ok]
+    out = np.zeros(fits.shape, dtype=bool)
+    out[i, j] = True
+    return out
+
+
+def _sides(key: tuple, rows: list) -> tuple[_Side, _Side] | None:
+    """The two sides of a tile; a tile on the diagonal has one."""
     seen, sides = set(), ([], [])
     for own, *row in rows:
         if row[0] not in seen:
             seen.add(row[0])
-            sides[0 if own == i else 1].append(row)
-    if not sides[0] or i != j and not sides[1]:
-        return []
+            sides[0 if own == key[2] else 1].append(row)
+    if not sides[0] or key[2] != key[3] and not sides[1]:
+        return None
     a = _Side(sides[0])
-    b = a if i == j else _Side(sides[1])
-    wanted = np.triu(np.ones((len(a.c), len(a.c)), dtype=bool), 1) if a is b else np.ones((len(a.c), len(b.c)), dtype=bool)
-    small, large = np.minimum(a.n[:, None], b.n[None, :]), np.maximum(a.n[:, None], b.n[None, :])
-    wanted &= small * den >= large * num
-    for t in range(tree):  # the pair counts in the first tree where it meets
-        wanted &= (a.labels[:, None, t] ^ b.labels[None, :, t]) >> np.uint64(shift) != 0
+    return a, a if key[2] == key[3] else _Side(sides[1])
+
+
+def _met(key: tuple, rows: list, depth: int, num: int, den: int) -> list[tuple]:
+    """The classes of a tile, by labels alone, that meet another one there: key, own, c."""
+    sides = _sides(key, rows)
+    if not sides:
+        return []
+    a, b = sides
+    wanted = pairs_that_meet(a, b, key[0], depth, num, den)
+    out = {(key[2], c) for c in a.c[wanted.any(axis=1)].tolist()} | {(key[3], c) for c in b.c[wanted.any(axis=0)].tolist()}
+    return [(*key, own, c) for own, c in sorted(out)]
+
+
+def _tile(key: tuple, rows: list, depth: int, num: int, den: int) -> list[tuple]:
+    """Rows c, links, link_docs, root of the classes that have links within the tile; with them,
+    how many links lie in each band of similarity: rows with c = -1 - band."""
+    sides = _sides(key, rows)
+    if not sides:
+        return []
+    a, b = sides
+    wanted = pairs_that_meet(a, b, key[0], depth, num, den)
     both = shared_counts(a, b, wanted)
-    linked = wanted & (both * den >= num * (a.n[:, None] + b.n[None, :] - both))
+    either = a.n[:, None] + b.n[None, :] - both
+    linked = wanted & (both * den >= num * either)
     x, y = np.nonzero(linked)
     if not len(x):
         return []
@@ -229,32 +284,41 @@ def _tile(key: tuple, rows: list, shift: int, num: int, den: int) -> list[tuple]
         u, v = root(u), root(v)
         if u != v:
             up[max(u, v)] = min(u, v)
-    return [(c, n, docs, root(c)) for c, (n, docs) in stats.items()]
+    least = num / den
+    band = np.minimum((both[x, y] / either[x, y] - least) / (1 - least) * BANDS, BANDS - 1).astype(int)
+    bands = np.bincount(band, minlength=BANDS).tolist()
+    return [(c, n, docs, root(c)) for c, (n, docs) in stats.items()] + [(-1 - k, n, 0, None) for k, n in enumerate(bands) if n]
+
+
+MET = ("tree", "prefix", "i", "j", "own", "c")
+LINKS = ("c", "links", "link_docs", "root")
+
 
+def _by_tile(work, names: tuple, depth: int, num: int, den: int):
+    """work over the rows of each tile; rows come sorted by tile."""
 
-def _tiles(shift: int, num: int, den: int):
     def flush(out: list) -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) if out else [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["c", "links", "link_docs", "root"])
+        columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=list(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, out = None, [], []
         for batch in batches:
             keys = list(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True))
-            own, c, copies = (batch.column(k).to_pylist() for k in (4, 5, 6))
-            mark, sets = batch.column(7), batch.column(8)
-            flat, width = mark.flatten().to_numpy(), TREES
+            own, c, copies, n = (batch.column(k).to_pylist() for k in (4, 5, 6, 7))
+            flat = batch.column(8).flatten().to_numpy()
+            sets = batch.column(9) if batch.num_columns > 9 else None
             for i, at in enumerate(keys):
                 if at != key:
                     if rows:
-                        out += _tile(key, rows, shift, num, den)
+                        out += work(key, rows, depth, num, den)
                     key, rows = at, []
                     if len(out) > 5000:
                         yield flush(out)
                         out = []
-                rows.append((own[i], c[i], copies[i], flat[i * width : (i + 1) * width].copy(), sets[i].as_buffer().to_pybytes()))
+                rows.append((own[i], c[i], copies[i], flat[i * TREES : (i + 1) * TREES].copy(), sets[i].as_buffer().to_pybytes() if sets else n[i]))
         if rows:
-            out += _tile(key, rows, shift, num, den)
+            out += work(key, rows, depth, num, den)
         yield flush(out)
 
     return run
@@ -266,37 +330,48 @@ def _least_first(ident: str, th: str) -> Column:
 
 class Join:
     """The join over one table: sketch (a row for each document) and classes (a row for each class:
-    c, d1, d2, rep, copies, links, link_docs, root_rep)."""
+    c, d1, d2, rep, copies, links, link_docs, root_rep); depth is the length down to which prefixes
+    were shortened, and recall what the links that were found say of those that weren't."""
 
-    def __init__(self, df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD, target_recall: float = TARGET_RECALL, tile: int = TILE):
+    def __init__(self, df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD, target_recall: float = TARGET_RECALL, tile: int = TILE, tile_bytes: int = TILE_BYTES):
         num, den = threshold
-        depth = prefix_depth(num / den, target_recall)
-        shift = LEVEL_BITS * (DEPTH - depth)
+        spark = df.sparkSession
         kind = df.schema[id_col].dataType.simpleString()
         docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-        with arrow_batches(df.sparkSession):
+        with arrow_batches(spark):
             self.sketch = stage(docs.mapInArrow(_sketch, f"id {kind}, th bigint, d1 bigint, d2 bigint, n int, labels array<bigint>"), "sketch")
-        of = self.sketch.groupBy("d1", "d2").agg(F.min(_least_first("id", "th")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels"))
+        of = self.sketch.groupBy("d1", "d2").agg(F.min(_least_first("id", "th")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("labels").alias("labels"))
         classes = stage(of.withColumn("c", F.monotonically_increasing_id()), "classes")
 
+        # No prefix gets shorter than floor: classes that are alone there in every tree meet no one.
         # explode makes no rows of empty label lists: texts without words have no links.
-        trees = classes.select("c", F.posexplode("labels").alias("tree", "label")).select("c", "tree", F.shiftrightunsigned("label", shift).alias("prefix"))
-        met = trees.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y")).filter("m > 1")
-        # The same classes often meet in several trees: the first stands for all.
-        met = met.groupBy("m", "x", "y").agg(F.min(F.struct("tree", "prefix")).alias("t")).select("t.tree", "t.prefix", "m")
-        members = stage(trees.join(met, ["tree", "prefix"]), "members")
+        floor = prefix_depth(num / den, target_recall)
+        trees = classes.select("c", "n", F.posexplode("labels").alias("tree", "label")).withColumn("prefix", _prefix("label", floor))
+        shared = trees.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+        # Joined by another key than it was grouped by, so that a hot node's rows can be split over tasks.
+        shared = shared.select("tree", F.bitwise_not("prefix").alias("np"))
+        members = stage(trees.withColumn("np", F.bitwise_not("prefix")).join(shared, ["tree", "np"], "left_semi").select("c", "n", "tree", "label"), "members")
 
         cand = members.select("c").distinct().join(classes.select("c", "rep"), "c").select("c", F.col("rep.id").alias("rid"), F.col("rep.th").alias("rth"))
         texts = docs.join(cand, docs["id"].eqNullSafe(cand["rid"]) & (docs["th"] == cand["rth"])).select("c", "text")
-        sets = texts.mapInArrow(_shingle_rows, "c bigint, s binary").groupBy("c").agg(F.first("s").alias("s"))
-        full = sets.join(classes.select("c", "copies", "labels"), "c")
-        parts = F.ceil(F.col("m") / tile)
-        dealt = members.withColumn("own", F.pmod(F.xxhash64("c", F.lit(2)), parts)).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-        dealt = dealt.withColumn("i", F.least("own", "k")).withColumn("j", F.greatest("own", "k"))
-        key = ["tree", "prefix", "i", "j"]
-        rows = dealt.join(full, "c").select(*key, "own", "c", "copies", "labels", "s").repartition(*key).sortWithinPartitions(*key)
-        with arrow_batches(df.sparkSession):
-            found = stage(rows.mapInArrow(_tiles(shift, num, den), "c bigint, links bigint, link_docs bigint, root bigint"), "links")
+        with arrow_batches(spark):
+            sets = texts.mapInArrow(_shingle_rows, "c bigint, s binary").groupBy("c").agg(F.first("s").alias("s"))
+            full = stage(sets.join(classes.select("c", "copies", "n", "labels"), "c"), "sets")
+
+        self.recall, bands, parts = 0.0, [0] * BANDS, []
+        for depth in range(DEPTH, floor - 1, -1):
+            found = self._round(members, full, depth, num, den, tile, tile_bytes)
+            for r in found.filter("c < 0").groupBy("c").agg(F.sum("links").alias("n")).collect():  # BANDS rows at most
+                bands[-1 - r["c"]] += r["n"]
+            parts.append(found.filter("c >= 0"))
+            self.depth, self.recall = depth, estimated_recall(bands, depth, num / den)
+            if self.recall >= target_recall:
+                break
+        found = parts[0]
+        for one in parts[1:]:
+            found = found.unionByName(one)
+        drop(members)
+        drop(full)
 
         root = components(found.select(F.col("c").alias("a"), F.col("root").alias("b")))
         per = found.groupBy("c").agg(F.sum("links").alias("links"), F.sum("link_docs").alias("link_docs"))
@@ -304,9 +379,38 @@ class Join:
         reps = named.join(classes.select("c", "rep"), "c")
         least = reps.groupBy("root").agg(F.min("rep").alias("root_rep"))
         linked = reps.join(least, "root").select("c", "links", "link_docs", "root_rep")
-        self.classes = classes.drop("labels").join(linked, "c", "left").withColumn("root_rep", F.coalesce("root_rep", "rep")).fillna(0, ["links", "link_docs"])
+        self.classes = classes.drop("labels", "n").join(linked, "c", "left").withColumn("root_rep", F.coalesce("root_rep", "rep")).fillna(0, ["links", "link_docs"])
         self.docs, self.df, self.names = docs, df, (id_col, text_col)
 
+    @staticmethod
+    def _round(members: DataFrame, full: DataFrame, depth: int, num: int, den: int, tile: int, tile_bytes: int) -> DataFrame:
+        """The links of all pairs that meet deepest at this depth."""
+        spark = members.sparkSession
+        rows = members.withColumn("prefix", _prefix("label", depth))
+        child = _prefix("label", depth + 1) if depth < DEPTH else F.col("c")
+        node = rows.groupBy("tree", "prefix").agg(
+            F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"), F.min(child).alias("low"), F.max(child).alias("high"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y")
+        )
+        # Nodes with one branch have no pair that parts here. Those that hold the same classes in
+        # several trees count in the first.
+        node = node.filter("low <> high").groupBy("m", "x", "y", "size").agg(F.min(F.struct("tree", "prefix")).alias("t"))
+        node = node.select("t.tree", "t.prefix", F.ceil(F.greatest(F.col("m") / tile, F.col("size") * 8 / tile_bytes)).alias("parts"))
+        met = rows.select("c", "tree", "prefix").join(node, ["tree", "prefix"])
+        dealt = met.withColumn("own", F.pmod(F.xxhash64("c", F.lit(2)), F.col("parts"))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        dealt = dealt.withColumn("i", F.least("own", "k")).withColumn("j", F.greatest("own", "k"))
+        key = ["tree", "prefix", "i", "j"]
+        kinds = lambda names: ", ".join(f"{c} bigint" for c in names)
+
+        def tiles(rows: DataFrame, *more: str) -> DataFrame:
+            return rows.join(full, "c").select(*key, "own", "c", "copies", "n", "labels", *more).repartition(*key).sortWithinPartitions(*key)
+
+        with arrow_batches(spark):
+            # Labels alone tell which classes of a tile have a pair to look at; only their sets travel.
+            wanted = stage(tiles(dealt).mapInArrow(_by_tile(_met, MET, depth, num, den), kinds(MET)), "met")
+            found = stage(tiles(wanted, "s").mapInArrow(_by_tile(_tile, LINKS, depth, num, den), kinds(LINKS)), "links")
+        drop(wanted)
+        return found
+
     def report(self) -> DataFrame:
         """A row for each document: id; class_id, the least id of those that links or copies join it
         to; copy_of, the least id with the same set; n_copies, documents with the same set (itself

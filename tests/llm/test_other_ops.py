@@ -140,6 +140,63 @@ def test_join_against_all_pairs(spark, tile):
     assert got == plain_join(rows)
 
 
+def test_join_recall_against_an_inverted_index(spark, data):
+    """All links of 1000 documents and copies of them with some words changed, by an index from shingles to documents."""
+    rng = np.random.Generator(np.random.PCG64(9))
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data.rsplit('/', 1)[0]}/sf0.01/documents.parquet").collect()]
+    for k, t in rows[:400]:
+        w = t.split()
+        for n in range(2):
+            changed = set(rng.choice(len(w), len(w) // int(rng.integers(50, 70)) + 1).tolist())
+            rows.append((10_000 * (n + 1) + k, " ".join(f"new{i}" if i in changed else x for i, x in enumerate(w))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets, index, both = {}, defaultdict(list), Counter()
+    for r in docs.collect():
+        w = TOKEN.findall(r.text.lower())
+        s = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else None
+        if s and s not in sets:
+            sets[s] = len(sets)
+            for x in s:
+                index[x].append(sets[s])
+    size = [len(s) for s in sets]
+    for held in index.values():
+        both.update((a, b) for k, a in enumerate(held) for b in held[:k])
+    want = sum(5 * n >= 4 * (size[a] + size[b] - n) for (a, b), n in both.items())
+    join = neardup.Join(docs)
+    got = sum(r.links for r in join.classes.select("links").collect()) / 2
+    assert want > 50 and 0.999 * want <= got <= want
+    assert join.recall >= neardup.TARGET_RECALL and join.depth >= neardup.prefix_depth(0.8, neardup.TARGET_RECALL)
+
+
+def test_prefixes_are_shortened_as_far_as_the_links_ask_for(spark):
+    base = [f"w{k}" for k in range(600)]
+    near = lambda k, n: (k, " ".join(["x%d" % k, *base[:n], "y%d" % k]))
+    alike = neardup.Join(spark.createDataFrame([near(k, 600) for k in range(20)], "doc_id int, text string"))
+    assert (alike.depth, alike.report().agg(F.sum("n_links")).first()[0]) == (neardup.DEPTH, 20 * 19)
+    at = neardup.Join(spark.createDataFrame([(k, f"{' '.join(base[:45])} " + " ".join(f"z{k}{j}" for j in range(4))) for k in range(60)], "doc_id int, text string"))
+    assert at.depth < neardup.DEPTH and at.report().agg(F.sum("n_links")).first()[0] == 60 * 59
+    assert neardup.Join(spark.createDataFrame([(1, "a b c d e f"), (2, "g h")], "doc_id int, text string")).recall == 0
+
+
+def test_pairs_meet_once():
+    rng = np.random.Generator(np.random.PCG64(7))
+    marks = rng.integers(0, 2, (30, neardup.TREES, neardup.DEPTH)).astype(np.uint64)
+    labels = np.zeros((30, neardup.TREES), dtype=np.uint64)
+    for k in range(neardup.DEPTH):
+        labels = (labels << np.uint64(neardup.LEVEL_BITS)) | marks[:, :, k]
+    rows = [(k, 1, x.view(np.int64), b"\0" * 80) for k, x in enumerate(labels)]
+    met = Counter()
+    for depth in range(neardup.DEPTH, 0, -1):
+        for tree in range(neardup.TREES):
+            nodes = defaultdict(list)
+            for r, x in zip(rows, labels, strict=True):
+                nodes[int(x[tree]) >> (neardup.LEVEL_BITS * (neardup.DEPTH - depth))].append(r)
+            for held in nodes.values():
+                side = neardup._Side(held)
+                met.update((int(side.c[i]), int(side.c[j])) for i, j in zip(*np.nonzero(neardup.pairs_that_meet(side, side, tree, depth, 4, 5)), strict=True))
+    assert len(met) == 30 * 29 / 2 and set(met.values()) == {1}
+
+
 def test_shared_counts_both_ways():
     rng = np.random.Generator(np.random.PCG64(2))
     sets = [np.unique(rng.integers(0, 300, int(n)).astype(np.uint64)) for n in rng.integers(1, 120, 40)]
