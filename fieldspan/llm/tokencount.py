@@ -10,8 +10,11 @@ The unigram model: each piece of a public byte-level vocabulary scores minus the
 rank, as a whole number of millionths, so that sums are exact in any order. The segmentation
 with the highest sum counts; of equal sums, the one of fewest tokens.
 
+The driver reads the vocabulary and broadcasts it; its size is the file's, whatever the corpus.
+
 Defined cases: a null text has no tokens; texts are counted as a whole; rows are looked at one by
-one; other columns are not read. Stored counts are dropped once there are CACHE of them.
+one; an empty table gives an empty result; other columns are not read. Stored counts are dropped
+once there are CACHE of them.
 """
 
 from __future__ import annotations
@@ -90,10 +93,9 @@ def counts_of(words: list[bytes], scores: dict[bytes, int], longest: int | None
     return out
 
 
-def _counter(path: str, piece_bytes: int | None):
+def _counter(vocabulary, piece_bytes: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = read_vocabulary(path)
-        lengths = lengths_of(scores)
+        scores, lengths = vocabulary.value
         known: dict[str, int] = {}
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
@@ -113,8 +115,10 @@ def _counter(path: str, piece_bytes: int | None):
 
 
 def count(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, piece_bytes: int | None = None) -> DataFrame:
-    """A row for each document: id, n_pre_tokens, n_distinct, n_tokens. vocabulary: a path that every
-    executor can read; piece_bytes: pieces above this length are not used (None: all are)."""
+    """A row for each document: id, n_pre_tokens, n_distinct, n_tokens. vocabulary: a path that the
+    driver can read; piece_bytes: pieces above this length are not used (None: all are)."""
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_counter(vocabulary, piece_bytes), f"id {kind}, n_pre_tokens bigint, n_distinct bigint, n_tokens bigint").withColumnRenamed("id", id_col)
+    scores = read_vocabulary(vocabulary)
+    shared = df.sparkSession.sparkContext.broadcast((scores, lengths_of(scores)))
+    return rows.mapInArrow(_counter(shared, piece_bytes), f"id {kind}, n_pre_tokens bigint, n_distinct bigint, n_tokens bigint").withColumnRenamed("id", id_col)

@@ -81,6 +81,30 @@ def test_token_counts_long_pieces(spark):
     assert got == {k: sum(plain_tokens(w.encode(), scores) for w in tokencount.PRE_TOKEN.findall(t)) for k, t in enumerate(texts)}
 
 
+def test_token_counts_of_whole_texts(spark, docs):
+    """Every document of the table, and texts of tens of thousands of characters, by the plain way."""
+    scores = tokencount.read_vocabulary()
+    long = max(map(len, scores))
+    known: dict = {}
+
+    def tokens(w):
+        if w not in known:
+            best = [(0, 0)] + [None] * len(w)
+            for e in range(1, len(w) + 1):
+                best[e] = max(((best[s][0] + scores[w[s:e]], best[s][1] - 1) for s in range(max(0, e - long), e) if w[s:e] in scores and best[s] is not None), default=None)
+            known[w] = -best[-1][1]
+        return known[w]
+
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(-1, "x" * 20_000), (-2, "na" * 5_000 + " " * 3_000 + "\u00e9" * 2_000)]
+    got = {r.doc_id: r.n_tokens for r in tokencount.count(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: sum(tokens(w.encode()) for w in tokencount.PRE_TOKEN.findall(t)) for k, t in rows}
+
+
+def test_token_counts_messy_whole(spark, messy):
+    got = {r.doc_id: r.n_tokens for r in tokencount.count(messy.filter("doc_id = 6 or text is null")).collect()}
+    assert got[3] == got[None] == 0 and got[6] > 40_000
+
+
 def test_token_counts_messy(spark, messy):
     small = messy.withColumn("text", F.substring("text", 1, 3000))
     got = tokencount.count(small).collect()
