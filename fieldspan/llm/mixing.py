@@ -5,8 +5,8 @@ Multinomial counts say how many slots of each output shard a source fills; the s
 source, numbered through all shards, pass over its blocks in a pseudorandom order (another
 permutation for each pass); blocks and slots meet by block index.
 
-DataFrame operations only. What the driver holds: one row for each source, and the count of
-each source in each output shard.
+DataFrame operations only. What the driver holds: one row for each source with its count in each
+output shard; more than MAX_SOURCES sources raise an error.
 
 Defined cases: a null text has no words; a null source is a source of its own, ordered last; a
 document without words is taken zero times; repeated rows count as documents of their own;
@@ -31,6 +31,7 @@ N_SHARDS = 64
 N_BUCKETS = 1024
 CHUNK = 4096
 SEED = 20240229
+MAX_SOURCES = 10_000
 
 
 def targets(sizes: list[int], weights: list[float], cap: float = CAP) -> list[float]:
@@ -116,7 +117,9 @@ class Mix:
 
     def __init__(self, rows: DataFrame, *, weights=WEIGHTS, cap: int = CAP, block_words: int = BLOCK_WORDS, n_shards: int = N_SHARDS, n_buckets: int = N_BUCKETS, seed: int = SEED):
         spark, self.block_words = rows.sparkSession, block_words
-        found = rows.groupBy("__source").agg(F.sum("__size").alias("n")).collect()  # one row a source
+        found = rows.groupBy("__source").agg(F.sum("__size").alias("n")).limit(MAX_SOURCES + 1).collect()  # one row a source
+        if len(found) > MAX_SOURCES:
+            raise ValueError(f"there are more than {MAX_SOURCES} sources")
         found.sort(key=lambda r: (r[0] is None, r[0] or ""))
         size = [r["n"] for r in found]
         target = targets(size, [weights[i % len(weights)] for i in range(len(size))], cap)
@@ -127,16 +130,9 @@ class Mix:
         first = np.cumsum(counts, axis=0) - counts
         rows_of = [{"src": i, "name": r[0], "known": r[0] is not None, "source_size": n, "target": t} for i, (r, n, t) in enumerate(zip(found, size, target, strict=True))]
         self.sources = small_table(spark, rows_of, "src int, name string, known boolean, source_size bigint, target double")
-        self.spans = small_table(
-            spark,
-            [
-                {"src": i, "shard": k, "first": int(first[k, i]), "n": int(counts[k, i]), "nb": blocks[i], "bits": (blocks[i] - 1).bit_length()}
-                for k in range(n_shards)
-                for i in range(len(size))
-                if counts[k, i]
-            ],
-            "src int, shard int, first bigint, n bigint, nb bigint, bits int",
-        )
+        per = [{"src": i, "nb": blocks[i], "bits": (blocks[i] - 1).bit_length(), "of": [{"shard": k, "first": int(first[k, i]), "n": int(counts[k, i])} for k in range(n_shards) if counts[k, i]]} for i in range(len(size))]
+        spans = small_table(spark, per, "src int, nb bigint, bits int, of array<struct<shard:int,first:bigint,n:bigint>>")
+        self.spans = spans.select("src", "nb", "bits", F.inline("of"))
         self.seed, self.n_buckets, self.spark = seed, n_buckets, spark
         named = rows.join(self.sources, F.col("__source").eqNullSafe(F.col("name")), "inner")
         self.rows = named.withColumn("bucket", F.pmod(F.xxhash64("__id", "__hash"), F.lit(n_buckets)).cast("int"))
@@ -196,19 +192,35 @@ def mix_report(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return plan.taken().select(F.col("__id").alias(id_col), F.col("__size").alias("size"), "source_size", "target", "taken")
 
 
+def pick(text: Column, parts: Column) -> Column:
+    """What a text has between the first and last word of each part, white space included. Parts
+    (from, length; sorted) that follow on each other go on as the text does; others begin a line."""
+    gaps = F.split(text, r"[^\x20\x09-\x0D]+", -1)  # what stands before each word, and after the last
+
+    def taken(w: Column, g: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            at, n, last = p["from"].cast("int"), p["length"].cast("int"), F.get(parts, i - 1)
+            lead = F.when(i == 0, "").when(last["from"] + last["length"] == p["from"], F.get(g, at)).otherwise("\n")
+            rest = F.zip_with(F.slice(g, at + 2, n - 1), F.slice(w, at + 2, n - 1), lambda x, y: F.concat(x, y))
+            return F.concat(lead, F.get(w, at), F.array_join(rest, ""))
+
+        return F.array_join(F.transform(parts, one), "")
+
+    # let: as columns of their own the arrays would be made again for each part.
+    return let(words(text), lambda w: let(gaps, lambda g: taken(w, g)))
+
+
 def mix_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed corpus in the columns of df: one row for each document and pass with the words
     of the blocks that this pass takes. Where it takes the whole document the text is as it was;
-    of others the words are joined by spaces. n_chars, if there is such a column, follows."""
+    of others it is what pick() gives. n_chars, if there is such a column, follows."""
     copy = {c: f"__in_{i}" for i, c in enumerate(df.columns)}
     rows = add_key(df, id_col, text_col, source_col, [F.col(c).alias(x) for c, x in copy.items()])
     text = F.col(copy[text_col])
     done = Mix(rows.select("__uid", "__id", "__source", "__size", "__hash"), **options).passes()
     both = rows.drop("__size").join(done, "__uid")
-    cut = lambda w: F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(w, p["from"].cast("int") + 1, p["length"].cast("int")))), " ")
     whole = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["length"]) == F.col("__size")
-    # let: as a column of its own the split text would be made again for each part.
-    both = both.withColumn(copy[text_col], F.when(whole, text).otherwise(let(words(text), cut)))
+    both = both.withColumn(copy[text_col], F.when(whole, text).otherwise(pick(text, F.col("parts"))))
     if "n_chars" in copy:
         kind = df.schema["n_chars"].dataType
         both = both.withColumn(copy["n_chars"], F.when(whole, F.col(copy["n_chars"])).otherwise(F.length(text).cast(kind)))

@@ -306,6 +306,36 @@ def test_mix_texts_are_what_was_taken(spark, docs):
     assert got == {k: v for k, v in taken.items() if v}
 
 
+def test_mix_keeps_white_space(spark, docs):
+    whole = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    out = [(r.doc_id, r.text) for r in mixing.mix_documents(docs).collect()]
+    cut = [(k, t) for k, t in out if t != whole[k]]
+    lines = lambda t: {WORD.sub("w", x) and x for x in t.split("\n")}
+    assert len(cut) > 20 and any("\n" in t for _, t in cut)
+    # Every line but the first and last of a stretch is a line of the text, as it stands there.
+    assert all(len(lines(t) - lines(whole[k])) <= 2 * (1 + len(WORD.findall(t)) // mixing.BLOCK_WORDS) for k, t in cut)
+
+
+def test_pick(spark):
+    text = "  one two\n\nthree\tfour\n five six "
+    part = "array<struct<from:bigint,length:bigint>>"
+    got = lambda *p: spark.range(1).select(mixing.pick(F.lit(text), F.from_json(F.lit(str([{"from": a, "length": n} for a, n in p]).replace("'", '"')), part))).first()[0]
+    assert got((0, 3)) == "one two\n\nthree" and got((1, 1), (2, 2)) == "two\n\nthree\tfour"
+    assert got((0, 1), (3, 3)) == "one\nfour\n five six" and got((5, 1)) == "six"
+
+
+def test_mix_of_many_sources(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), (F.col("id") % 1500).cast("string").alias("source"))
+    got = mixing.mix_report(df).agg(F.sum("taken"), F.sum("size"), F.countDistinct("target")).first()
+    assert got[1] == 12000 and got[2] == 3 and got[0] > 0
+    mixing.MAX_SOURCES, before = 100, mixing.MAX_SOURCES
+    try:
+        with pytest.raises(ValueError):
+            mixing.mix_report(df)
+    finally:
+        mixing.MAX_SOURCES = before
+
+
 def test_mix_messy(spark, messy):
     got = mixing.mix_report(messy).collect()
     assert len(got) == 11 and all(r.taken <= 3 * r["size"] for r in got)
