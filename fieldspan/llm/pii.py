@@ -14,8 +14,9 @@ features of a mention hidden at random, so that the weights of the links are lea
 numbers in pii_weights.json come from it.
 
 Defined cases: a null text counts as empty; spans are in code points, end exclusive; rows are
-looked at one by one, so that repeated rows get the same result; other columns are not read. A
-mention links to the one before it only: the work is linear in a document's mentions.
+looked at one by one, so that repeated rows get the same result; an empty table gives an empty
+result; other columns are not read. A text is read once by each pattern and once for its mentions,
+and a mention links to the one before it only: the work is linear in a text's length.
 """
 
 from __future__ import annotations
@@ -44,12 +45,15 @@ TRAIN_DOCS = 2000
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# A match can begin at the first digit of a run only, and takes runs as a whole: what fails there
+# fails at every later digit of the run as well. So each run is read once.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _OTHERS = re.compile(r"[^0-9]+")
 _MENTION = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = "()[]{}<>,;:!?\"'.|"
+_NAME = re.compile(r"[A-Za-z0-9._%+-]+")
 
 
 def luhn(digits: str) -> bool:
@@ -127,22 +131,23 @@ class Graph:
         self.spans, self.features, self.given, self.links = [], [], [], []
         found = []
         before = ""
+        locals_ = {text[s : text.index("@", s)].lower() for s, k, _ in base if k == 0}
+        locals_ = {x for x in locals_ if len(x) >= 5}
         for m in _MENTION.finditer(text):
             t = m.group()
+            core = ""
             if "@" in t or sum(map(str.isdigit, t)) >= 4:
                 core = t.strip(_EDGE)
                 if core:
                     s = m.start() + t.index(core)
                     found.append((s, s + len(core), core, before))
+            if locals_ and not core:
+                for x in _NAME.finditer(t):
+                    name = x.group().rstrip(".-")
+                    if name.lower() in locals_:
+                        s = m.start() + x.start()
+                        found.append((s, s + len(name), name, ""))
             before = t
-        taken = {x[0] for x in found}
-        for local in {text[s : text.index("@", s)].lower() for s, k, _ in base if k == 0}:
-            if len(local) >= 5:
-                for m in re.finditer(rf"(?<![^\W_]){re.escape(local)}(?![^\W_@])", text, re.IGNORECASE):
-                    if m.start() not in taken and not text.startswith("@", m.end()):
-                        taken.add(m.start())
-                        found.append((m.start(), m.end(), m.group(), ""))
-        found.sort()
         last: dict[tuple, int] = {}
         b = 0
         for s, e, core, before in found:

@@ -251,6 +251,56 @@ def test_pii_passing_is_exact_on_trees():
     assert np.allclose(pii.beliefs(unary, links, pair, rounds=60), p / p.sum(axis=1, keepdims=True), atol=1e-6)
 
 
+def test_pii_passing_is_near_exact_on_loops():
+    """Marginals of small graphs with loops, by adding up every labelling."""
+    rng = np.random.Generator(np.random.PCG64(11))
+    for _ in range(10):
+        unary, pair = rng.normal(size=(5, 3)), 0.4 * rng.normal(size=(2, 3, 3))
+        pair = pair + pair.transpose(0, 2, 1)
+        links = [(0, 1, 0), (1, 2, 0), (2, 3, 0), (3, 4, 0), (0, 3, 1), (1, 4, 1)]
+        p = np.zeros((5, 3))
+        for y in np.ndindex(*[3] * 5):
+            s = np.exp(sum(unary[k, y[k]] for k in range(5)) + sum(pair[kind, y[u], y[v]] for u, v, kind in links))
+            for k in range(5):
+                p[k, y[k]] += s
+        assert np.abs(pii.beliefs(unary, links, pair, rounds=60) - p / p.sum(axis=1, keepdims=True)).max() < 0.06
+
+
+def test_pii_long_texts_take_linear_time():
+    import time
+
+    name = lambda k: "user." + "".join("abcdefghij"[int(c)] for c in f"{k:05d}")
+    mail = "\n".join(f"{name(k)}@host{k}.example.com wrote as {name(k)}" for k in range(20_000))
+    texts = ["1" * 1_000_000, "1." * 500_000, "+1 " * 300_000, "a" * 1_000_000 + "@", "a@" + "b" * 1_000_000, "+1" + "(" * 1_000_000, mail]
+    weights, began = pii.load_weights(), time.process_time()
+    spans = [pii.base_spans(t) for t in texts]
+    added = [pii.added_spans(t, b, weights) for t, b in zip(texts, spans, strict=True)]
+    assert time.process_time() - began < 30
+    assert len(spans[6]) == 20_000 and len(spans[1]) == 125_000 and not any(spans[0] + spans[3] + spans[4] + spans[5])
+    assert len(added[6]) > 19_000
+
+
+def test_pii_recall_of_planted_repeats(docs):
+    """Later mentions of what the base finds, in other forms; and numbers that are no one's."""
+    weights, rng = pii.load_weights(), np.random.Generator(np.random.PCG64(12))
+    found = planted = wrong = clean = 0
+    for r in docs.collect():
+        base = pii.base_spans(r.text)
+        if base:
+            again, label = pii._mentioned_again(r.text, base, rng)
+            text = f"{r.text}\n{again}"
+            own = pii.base_spans(text)
+            if any(e > len(r.text) for _, _, e in own) or len(again) < 5:
+                continue  # the base finds it by itself, or it is too short for a name
+            added = pii.added_spans(text, own, weights)
+            planted += 1
+            found += any(s > len(r.text) and k + 1 == label for s, k, _ in added)
+        else:
+            clean += 1
+            wrong += len(pii.added_spans(f"{r.text}\nIn 1984 order 7654321 of item 90210 came to 4432507379035541.", pii.base_spans(r.text), weights))
+    assert planted >= 5 and found >= 0.8 * planted and clean > 50 and wrong == 0, (found, planted, wrong, clean)
+
+
 def test_pii_training_learns_consistency(docs):
     texts = [r.text for r in docs.filter(F.col("text").rlike("[0-9]{4}|@")).select("text").collect()]
     w = pii.train(texts)
