@@ -33,6 +33,58 @@ def test_licence_held_out():
     assert licence.train()["held_out_accuracy"] > 0.9
 
 
+def test_licence_calibration_is_measured_on_unseen_phrases():
+    model, again = licence.load_model(), licence.train()
+    assert abs(model["held_out_accuracy"] - again["held_out_accuracy"]) < 0.02 and max(model["calibration_error"], again["calibration_error"]) < 0.05
+    seen = set(licence.PHRASES[0]) | set(licence.PHRASES[1])
+    assert not seen & set(licence.PHRASES[2]) and not set(licence.HOUSE[0] + licence.HOUSE[1]) & set(licence.HOUSE[2])
+    assert np.argmax(model["bias"]) == len(licence.FAMILIES) - 1
+
+
+def plain_scan(text, model):
+    """Candidates of one text: paragraph, probability, family, cover."""
+    out = []
+    for i, p in enumerate(re.split(licence.BREAK, text or "")):
+        have = licence.grams(licence.tokens(p))
+        z = np.sum([model["bias"], *(model["weights"][g] for g in have if g in model["weights"])], axis=0) / licence.SCALE
+        e = np.exp(z - z.max())
+        k = int(e.argmax())
+        name = licence.FAMILIES[k]
+        if name != licence.NONE:
+            shares = [len(licence.template_grams(licence.tokens(t)) & have) / len(licence.template_grams(licence.tokens(t))) for f, t in licence.VARIANTS if f == name]
+            cover = max(shares, default=0.0)
+            q = float(e[k] / e.sum())
+            out.append((i, round(q, 9), name if q >= licence.CERTAIN and cover >= licence.COVER else licence.UNKNOWN, round(cover, 9)))
+    return out
+
+
+def test_licence_against_the_plain_version(spark, docs):
+    rng = np.random.Generator(np.random.PCG64(13))
+    parts = [t for _, t in licence.VARIANTS] + licence.OTHERS
+    made = []
+    for _ in range(300):
+        words = " ".join(rng.choice(parts, int(rng.integers(1, 5)))).split(" ")
+        made.append("".join(w + str(rng.choice([" ", " ", " ", "\n", ".\n", "\n\n", ".\r\n", "\" \n", "\n \t\n"])) for w in words))
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(10_000 + k, t) for k, t in enumerate([*parts, *made, "", None, "\n\n", "MIT License " * 4000, "İ LICENSE K GPL"])]
+    model = licence.load_model()
+    got: dict = defaultdict(list)
+    for r in licence.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.id].append((r.paragraph, round(r.probability, 9), r.family, round(r.cover, 9)))
+    assert {k: sorted(v) for k, v in got.items()} == {k: w for k, t in rows if (w := plain_scan(t, model))}
+    assert len(got) > 300
+
+
+def test_licence_of_wrapped_and_partial_notices(spark):
+    mit = licence.PARAGRAPHS["mit"]
+    wrap = lambda t: re.sub(r"((?:\S+ ){7}\S+) ", r"\1\n", t)
+    rows = [
+        (1, "Released under the MIT\nLicense"), (2, "\n\n".join(wrap(t) for t in mit)), (3, "This is free and unencumbered software released into the public domain"), (4, "Distributed under MIT terms"),
+        (5, "All rights reserved."), (6, "Licensed under CC"), (7, "This work is licensed under a house agreement 4.0 International License"), (8, wrap(licence.PARAGRAPHS["bsd"][2])), (9, wrap(licence.PARAGRAPHS["apache"][1])),
+    ]
+    got = {r.doc_id: (r.n_licences, r.n_unknown, r.families) for r in licence.report(spark.createDataFrame(rows * 2, "doc_id int, text string")).collect()}
+    assert got == {1: (1, 0, "mit"), 2: (3, 0, "mit"), 3: (1, 0, "unlicense"), 4: (1, 0, "mit"), 5: (0, 1, ""), 6: (0, 1, ""), 7: (0, 1, ""), 8: (1, 0, "bsd"), 9: (1, 0, "apache")}
+
+
 def test_licence_copies_of_a_row(spark):
     rows = [(k, t) for k, (_, t) in enumerate(licence.VARIANTS)] + [(100, "Released under a license of the GNU kind"), (None, "Released under the GPL")]
     once, thrice = (sorted(map(str, map(tuple, licence.scan(spark.createDataFrame(rows * n, "doc_id int, text string")).collect()))) for n in (1, 3))
