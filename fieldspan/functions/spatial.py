@@ -54,7 +54,8 @@ def edges(polygon: list[tuple[float, float]]) -> list[tuple[float, float, float,
 
 
 def inside(x: Column, y: Column, polygon: list[tuple[float, float]]) -> Column:
-    """Even-odd ray test; a point on an edge is inside."""
+    """Even-odd ray test; a point on an edge is inside. Points out of the polygon's box are done with
+    before any edge is looked at."""
     crossings, on = F.lit(0), F.lit(False)
     x, y = x.cast("double"), y.cast("double")
     for ax, ay, bx, by in edges(polygon):
@@ -64,7 +65,8 @@ def inside(x: Column, y: Column, polygon: list[tuple[float, float]]) -> Column:
             low, high = (ay, by) if ay < by else (by, ay)
             right = turn > 0 if by > ay else turn < 0
             crossings = crossings + F.when((y >= low) & (y < high) & right, 1).otherwise(0)
-    return on | (crossings % 2 == 1)
+    xs, ys = zip(*polygon, strict=True)
+    return x.between(min(xs), max(xs)) & y.between(min(ys), max(ys)) & (on | (crossings % 2 == 1))
 
 
 def zone(x: Column, y: Column, cal: Calibration, with_key: bool = True) -> Column:

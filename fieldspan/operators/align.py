@@ -9,24 +9,51 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..params import DEFAULTS, Params
+from ..functions import spatial
+from ..params import DEFAULTS, GOALIE, NEAR_NET_ZONES, Params
 from . import intervals, sequence
 
 for _name in (__name__, Params.__module__):  # executors need no copy of the package
     cloudpickle.register_pickle_by_value(sys.modules[_name])
 
 
+def near_net(tracks: DataFrame, frames: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """game, camera, frame, near, huddled for every row of frames: how many players are near the net, and
+    whether those of them that are no goalies stand close together; 0 and false without detections."""
+    keys = ["game", "camera", "frame"]
+    player = F.struct("det_ix", F.col("cx").cast("double").alias("x"), F.col("cy").cast("double").alias("y"), (F.col("r") - F.col("l")).cast("double").alias("w"))
+    seen = tracks.filter(F.col("zone").isin(*NEAR_NET_ZONES))
+    got = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("near"), F.sort_array(F.collect_list(F.when(~F.col("team").eqNullSafe(F.lit(GOALIE)), player))).alias("d"))
+    got = got.select(*keys, "near", spatial.huddled(F.col("d"), F.col("d.w"), p.huddle_players, p.huddle_ratio).alias("huddled"))
+    out = frames.select(*keys).join(got, keys, "left")
+    return out.select(*keys, F.coalesce("near", F.lit(0)).alias("near"), F.coalesce("huddled", F.lit(False)).alias("huddled"))
+
+
+def timeline(signals: DataFrame, quarters: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """game, quarter, bucket, near, huddled out of near_net(): each camera's nearest frame at every bucket,
+    the cameras combined. quarters: game, camera, quarter, first_frame, last_frame; of quarters that
+    hold a frame the first counts. A bucket is a whole number of frames."""
+    step = int(p.fps * p.bucket_sec)
+    own = quarters.select("game", "camera", "quarter", "first_frame", "last_frame")
+    met = signals.join(own, ["game", "camera"]).filter(F.col("frame").between(F.col("first_frame"), F.col("last_frame")))
+    first = met.groupBy("game", "camera", "frame").agg(F.min(F.struct("quarter", "first_frame")).alias("q"), F.first(F.struct("near", "huddled")).alias("v"))
+    first = first.select("game", "camera", "q.quarter", (F.col("frame") - F.col("q.first_frame")).alias("t"), "v")
+    grid = sequence.resample_nearest(first, ["game", "camera", "quarter"], "t", "v", step)
+    return combine_cameras(grid.select("game", "quarter", F.expr(f"t div {step}").alias("bucket"), "v.near", "v.huddled"), ["game", "quarter"], "bucket")
+
+
 def combine_cameras(counts: DataFrame, keys: list[str], t: str) -> DataFrame:
     """keys, t, near, huddled: the larger count and either flag of the cameras; a missing one is 0, false."""
     return counts.groupBy(*keys, t).agg(F.max("near").alias("near"), F.bool_or("huddled").alias("huddled"))
 
 
-def windows(samples: DataFrame, keys: list[str], t: str, p: Params = DEFAULTS) -> DataFrame:
-    """keys, kind (quiet, huddle), start_sec, end_sec: runs of few players near the net, or of huddles."""
+def windows(samples: DataFrame, keys: list[str], t: str, p: Params = DEFAULTS, step: float = 1) -> DataFrame:
+    """keys, kind (quiet, huddle), start_sec, end_sec: runs of few players near the net, or of huddles.
+    samples stand at t = 0, step, 2 step ...; a run ends where the sample after its last one begins."""
 
     def kind(name, flag, least):
         found = sequence.low_stretches(samples, keys, t, flag).filter(F.col("n") >= least)
-        return found.select(*keys, F.lit(name).alias("kind"), F.col("first").alias("start_sec"), F.col("last").alias("end_sec"))
+        return found.select(*keys, F.lit(name).alias("kind"), F.col("first").alias("start_sec"), (F.col("last") + step).alias("end_sec"))
 
     return kind("quiet", F.col("near") <= p.quiet_count, p.quiet_samples).unionByName(kind("huddle", F.col("huddled"), p.huddle_samples))
 
@@ -108,3 +135,16 @@ def align(official: DataFrame, markers: DataFrame, spans: DataFrame, quarters: D
     out = intervals.piecewise(out, anchors, keys, "end_sec", "__e")
     s, e = F.round("__s", 1), F.round("__e", 1)
     return out.withColumns({"start_sec": s, "end_sec": e, "duration_sec": F.round(F.col("__e") - F.col("__s"), 1)}).drop("__s", "__e")
+
+
+def align_frames(tracks: DataFrame, frames: DataFrame, quarters: DataFrame, official: DataFrame, stoppages: DataFrame, goals: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """official (game, quarter, start_sec, end_sec, ...) in video time, from tracks alone: windows out of
+    both cameras' frames, stoppages matched to quiet and goals to huddled ones. The first camera's
+    quarters (camera_ix 0) say how long a quarter is and which there are."""
+    keys = ["game", "quarter"]
+    spans = windows(timeline(near_net(tracks, frames, p), quarters, p), keys, "bucket", p)
+    spans = spans.withColumns({c: F.col(c) * p.bucket_sec for c in ("start_sec", "end_sec")})
+    kind = lambda df, k: df.select(*keys, F.lit(k).alias("kind"), "elapsed_sec")
+    marks = kind(stoppages, "quiet").unionByName(kind(goals, "huddle"))
+    length = quarters.filter("camera_ix = 0").select(*keys, ((F.col("last_frame") - F.col("first_frame")) / p.fps).alias("duration"))
+    return align(official, marks, spans, length, keys, p)

@@ -1,7 +1,9 @@
-"""Interval operators. Every join has equal keys; ranges are residual conditions or bins."""
+"""Interval operators. Every join has equal keys; ranges are running windows or bins, never all pairs of a key."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,27 +14,29 @@ def closed_overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Colum
     return (a_start <= b_end + within) & (b_start <= a_end + within)
 
 
-def strict_overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
-    return F.least(a_end, b_end) - F.greatest(a_start, b_start) > 0
-
-
-def _pair(a: DataFrame, b: DataFrame, keys: list[str]):
-    a, b = a.alias("a"), b.alias("b")
-    on = None
-    for k in keys:
-        c = F.col(f"a.{k}") == F.col(f"b.{k}")
-        on = c if on is None else on & c
-    return a, b, on
-
-
 def matched(a: DataFrame, b: DataFrame, keys: list[str], within: float = 0, strict: bool = False, how: str = "left_semi") -> DataFrame:
-    """Rows of a that some row of b with the same keys overlaps (left_semi), or none (left_anti)."""
-    a, b, on = _pair(a, b, keys)
-    cols = F.col("a.start_sec"), F.col("a.end_sec"), F.col("b.start_sec"), F.col("b.end_sec")
-    return a.join(b, on & (strict_overlap(*cols) if strict else closed_overlap(*cols, within)), how)
-
-
-def binned_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, width: int) -> DataFrame:
+    """Rows of a that some row of b with the same keys overlaps (left_semi), or none (left_anti).
+
+    Touching counts, and so does lying within so much of each other; with strict, only a common stretch
+    does. Of the rows of b that begin by the end of a row of a, the one that ends last decides. So one
+    sort of both sides does, and no pairs are made."""
+    low, high = F.col("start_sec").cast("double"), F.col("end_sec").cast("double")
+    row = F.struct(*a.columns)
+    kind = a.select(row.alias("r")).schema["r"].dataType
+    # On equal places, b comes first where touching counts and last where it doesn't.
+    own = a.select(*keys, row.alias("__row"), (high + within).alias("__at"), F.lit(0 if strict else 1).alias("__turn"), F.lit(None).cast("double").alias("__end"))
+    real = b.dropna(subset=[*keys, "start_sec", "end_sec"])
+    if strict:
+        real = real.filter("end_sec > start_sec")
+    others = real.select(*keys, F.lit(None).cast(kind).alias("__row"), low.alias("__at"), F.lit(1 if strict else 0).alias("__turn"), high.alias("__end"))
+    so_far = Window.partitionBy(*keys).orderBy("__at", "__turn").rowsBetween(Window.unboundedPreceding, 0)
+    both = own.unionByName(others).withColumn("__last", F.max("__end").over(so_far)).filter("__row is not null")
+    start, end = F.col("__row.start_sec").cast("double"), F.col("__row.end_sec").cast("double")
+    hit = F.coalesce((F.col("__last") > start) & (end > start) if strict else F.col("__last") >= start - within, F.lit(False))
+    return both.filter(hit if how == "left_semi" else ~hit).select("__row.*")
+
+
+def binned_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, width: float) -> DataFrame:
     """Points within spans (both ends included): spans are dealt over bins of a width, bins are joined
     by equality. A long span meets its own points only, and a bin no more than its own."""
     held = spans.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
@@ -40,6 +44,18 @@ def binned_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, s
     return own.join(held, [*keys, "__bin"]).filter(F.col(at).between(F.col(start), F.col(end))).drop("__bin")
 
 
+def overlaps(a: DataFrame, b: DataFrame, keys: list[str], width: float) -> DataFrame:
+    """a with other_start, other_end of each row of b that overlaps it, touching included.
+
+    Both are dealt over bins of a width; a pair counts in the first bin that both lie in."""
+    bins = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width)))
+    own = a.withColumn("__bin", bins("start_sec", "end_sec"))
+    other = b.select(*keys, F.col("start_sec").alias("other_start"), F.col("end_sec").alias("other_end")).withColumn("__bin", bins("other_start", "other_end"))
+    met = own.join(other, [*keys, "__bin"])
+    once = F.floor(F.greatest("start_sec", "other_start") / width) == F.col("__bin")
+    return met.filter(closed_overlap(F.col("start_sec"), F.col("end_sec"), F.col("other_start"), F.col("other_end")) & once).drop("__bin")
+
+
 def nearest_within(targets: DataFrame, points: DataFrame, keys: list[str], target: str, at: str, value: str, limit: int) -> DataFrame:
     """Each target with the nearest point less than limit away (the first of those as near), or null."""
     near = points.select(*keys, F.col(at).alias("__at"), F.col(value).alias("__value"), F.explode(F.array(*[F.floor(F.col(at) / limit) + d for d in (-1, 0, 1)])).alias("__bin"))
@@ -52,12 +68,20 @@ def nearest_within(targets: DataFrame, points: DataFrame, keys: list[str], targe
 
 def nearest_reason(detected: DataFrame, official: DataFrame, keys: list[str]) -> DataFrame:
     """detected with the end_reason of the official row of the same keys that ends nearest (first of
-    those as near, by seq); null where there is none."""
-    cols = [c for c in detected.columns if c != "end_reason"]
-    other = official.select(*keys, F.col("end_sec").alias("__end"), F.col("seq").alias("__seq"), F.col("end_reason").alias("__reason"))
-    met = detected.select(*cols).join(other, keys, "left")
-    best = F.min_by("__reason", F.struct(F.abs(F.col("end_sec") - F.col("__end")), F.col("__seq"))).alias("end_reason")
-    return met.groupBy(*cols).agg(best)
+    those as near, by seq); null where there is none.
+
+    In the order of their ends, that is the official row before or the one after."""
+    row = F.struct(*[c for c in detected.columns if c != "end_reason"])
+    ends = official.dropna(subset=[*keys, "end_sec"]).groupBy(*keys, F.col("end_sec").alias("__at")).agg(F.min(F.struct("seq", "end_reason")).alias("__hit"))
+    none = lambda df, c: F.lit(None).cast(df.select(F.expr(c) if isinstance(c, str) else c).schema[0].dataType)
+    own = detected.select(*keys, F.col("end_sec").alias("__at"), none(ends, "__hit").alias("__hit"), row.alias("__row"))
+    both = own.unionByName(ends.select(*keys, "__at", "__hit", none(detected, row).alias("__row")))
+    point = F.when(F.col("__hit").isNotNull(), F.struct("__at", "__hit"))
+    w = Window.partitionBy(*keys)
+    so_far = lambda order: F.last(point, ignorenulls=True).over(w.orderBy(order, F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    met = both.withColumns({"__before": so_far(F.asc("__at")), "__after": so_far(F.desc("__at"))}).filter("__row is not null")
+    far = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("__at") - F.col(f"{c}.__at")).alias("far"), F.col(f"{c}.__hit.seq").alias("seq"), F.col(f"{c}.__hit.end_reason").alias("why")))
+    return met.withColumn("__best", F.least(far("__before"), far("__after"))).select("__row.*", F.col("__best.why").alias("end_reason"))
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,33 +91,33 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return gone.unionByName(came)
 
 
-def merges(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+def merges(old: DataFrame, new: DataFrame, keys: list[str], width: float = 600.0) -> DataFrame:
     """New intervals that two old ones or more overlap: keys, start_sec, end_sec, n_old, old_starts."""
-    a, b, on = _pair(new, old, keys)
-    met = a.join(b, on & closed_overlap(F.col("a.start_sec"), F.col("a.end_sec"), F.col("b.start_sec"), F.col("b.end_sec")))
-    own = [F.col(f"a.{c}").alias(c) for c in (*keys, "start_sec", "end_sec")]
-    got = met.groupBy(*own).agg(F.count(F.lit(1)).alias("n_old"), F.array_sort(F.collect_list("b.start_sec")).alias("old_starts"))
+    met = overlaps(new.select(*keys, "start_sec", "end_sec"), old, keys, width)
+    got = met.groupBy(*keys, "start_sec", "end_sec").agg(F.count(F.lit(1)).alias("n_old"), F.array_sort(F.collect_list("other_start")).alias("old_starts"))
     return got.filter("n_old >= 2")
 
 
-def split_blocks(blocks: DataFrame, hidden: DataFrame, keys: list[str], long_sec: float, buffer_sec: float) -> DataFrame:
+def split_blocks(blocks: DataFrame, hidden: DataFrame, keys: list[str], long_sec: float, buffer_sec: float, carry: Sequence[str] = ()) -> DataFrame:
     """Cut long blocks where windows of the other team lie within them.
 
-    blocks: keys, team, other, start_sec, end_sec; hidden: keys, team, start_sec, end_sec. A block
+    blocks: keys, carry, team, other, start_sec, end_sec; hidden: keys, team, start_sec, end_sec. A block
     above long_sec that holds windows of its other team (to within buffer_sec) becomes its own
-    remainders and those windows, cut to the block; every other block stays."""
+    remainders and those windows, cut to the block; every other block stays. Pieces have the columns
+    of carry (a camera) from their block."""
     b = blocks.withColumn("__long", F.col("end_sec") - F.col("start_sec") > long_sec)
     h = hidden.select(*keys, F.col("team").alias("other"), F.col("start_sec").alias("__hs"), F.col("end_sec").alias("__he"))
     inside = (F.col("__hs") >= F.col("start_sec") - buffer_sec) & (F.col("__he") <= F.col("end_sec") + buffer_sec)
     met = b.filter("__long").join(h, [*keys, "other"]).filter(inside)
     met = met.withColumns({"__s": F.greatest("__hs", "start_sec"), "__e": F.least("__he", "end_sec")})
-    own = [*keys, "team", "other", "start_sec", "end_sec"]
+    kept = [*keys, *carry]
+    own = [*kept, "team", "other", "start_sec", "end_sec"]
     found = met.select(*own).distinct()
     met = met.filter("__e > __s")
     w = Window.partitionBy(*own).orderBy("__s", "__e")
     met = met.withColumns({"__cursor": F.coalesce(F.lag("__e").over(w), F.col("start_sec")), "__next": F.lead("__s").over(w)})
     keep, cut = F.lit("video_detected"), F.lit("official_split_within_long_video_block")
-    piece = lambda df, team, s, e, source: df.select(*keys, team.alias("team"), s.alias("start_sec"), e.alias("end_sec"), source.alias("boundary_source"))
+    piece = lambda df, team, s, e, source: df.select(*kept, team.alias("team"), s.alias("start_sec"), e.alias("end_sec"), source.alias("boundary_source"))
     before = piece(met.filter("__s > __cursor"), F.col("team"), F.col("__cursor"), F.col("__s"), keep)
     theirs = piece(met, F.col("other"), F.col("__s"), F.col("__e"), cut)
     after = piece(met.filter("__next is null and end_sec > __e"), F.col("team"), F.col("__e"), F.col("end_sec"), keep)
@@ -104,18 +128,37 @@ def split_blocks(blocks: DataFrame, hidden: DataFrame, keys: list[str], long_sec
     return before.unionByName(theirs).unionByName(after).unionByName(whole).unionByName(rest)
 
 
+def _numbered(raw: DataFrame, aligned: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    w = Window.partitionBy(*keys)
+    rank, n = F.row_number().over(w.orderBy("start_sec", "end_sec")).alias("rank"), F.count(F.lit(1)).over(w).alias("__n")
+    return raw.select(*keys, "start_sec", "end_sec", rank, n), aligned.select(*keys, F.col("start_sec").alias("aligned_start"), F.col("end_sec").alias("aligned_end"), rank, n)
+
+
 def by_rank(raw: DataFrame, aligned: DataFrame, keys: list[str]) -> DataFrame:
     """The n-th raw with the n-th aligned interval of the same keys; those left over are skipped."""
-    w = Window.partitionBy(*keys).orderBy("start_sec", "end_sec")
-    r = raw.select(*keys, "start_sec", "end_sec", F.row_number().over(w).alias("rank"))
-    a = aligned.select(*keys, F.col("start_sec").alias("aligned_start"), F.col("end_sec").alias("aligned_end"), F.row_number().over(w).alias("rank"))
-    return r.join(a, [*keys, "rank"])
+    r, a = _numbered(raw, aligned, keys)
+    return r.drop("__n").join(a.drop("__n"), [*keys, "rank"])
+
+
+def by_position(raw: DataFrame, aligned: DataFrame, keys: list[str]) -> DataFrame:
+    """As by_rank(), but only for keys of which both sides have as many; count_mismatches() has the others."""
+    r, a = _numbered(raw, aligned, keys)
+    return r.join(a, [*keys, "rank", "__n"]).drop("__n")
+
+
+def count_mismatches(raw: DataFrame, aligned: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_raw, n_aligned of the keys of raw whose numbers of intervals differ."""
+    both = raw.select(*keys, F.lit(1).alias("r"), F.lit(0).alias("a")).unionByName(aligned.select(*keys, F.lit(0).alias("r"), F.lit(1).alias("a")))
+    got = both.groupBy(*keys).agg(F.sum("r").alias("n_raw"), F.sum("a").alias("n_aligned"))
+    return got.filter("n_raw > 0 and n_raw <> n_aligned")
 
 
-def stretch(pairs: DataFrame, limit: float = 1.5) -> DataFrame:
-    """pairs with ratio (aligned over raw length, raw being 0.1 at least) and flagged."""
-    ratio = (F.col("aligned_end") - F.col("aligned_start")) / F.greatest(F.col("end_sec") - F.col("start_sec"), F.lit(0.1))
-    return pairs.withColumn("ratio", ratio).withColumn("flagged", F.col("ratio") > limit)
+def stretch(pairs: DataFrame, limit: float = 1.5, longest: float | None = None) -> DataFrame:
+    """pairs with ratio (aligned over raw length, raw being 0.1 at least) and flagged: above the limit, or,
+    where longest is given, aligned to more than that."""
+    long = F.col("aligned_end") - F.col("aligned_start")
+    out = pairs.withColumn("ratio", long / F.greatest(F.col("end_sec") - F.col("start_sec"), F.lit(0.1)))
+    return out.withColumn("flagged", (F.col("ratio") > limit) | (long > longest if longest is not None else F.lit(False)))
 
 
 def local_pace(pairs: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import clock
-from . import sequence
+from . import intervals, sequence
 
 # The log's line and event patterns.
 LINE = r"^(\d{2}:\d{2}|--)\s+(\S+)\s*(.*)$"
@@ -83,8 +83,8 @@ def audit_lines(lines: DataFrame, spans: DataFrame, keys: list[str], tolerance:
     """Lines whose remaining time lies within a span's, to within the tolerance.
 
     lines: keys, seq, remaining; spans: keys, span_id, remaining_start (the larger), remaining_end."""
-    near = F.col("remaining").between(F.col("remaining_end") - tolerance, F.col("remaining_start") + tolerance)
-    return spans.join(lines, keys).filter(near)
+    wide = spans.withColumns({"__low": F.col("remaining_end") - tolerance, "__high": F.col("remaining_start") + tolerance})
+    return intervals.binned_join(lines, wide, keys, "remaining", "__low", "__high", 60).drop("__low", "__high")
 
 
 def blocks(lines: DataFrame, keys: list[str], seq: str = "seq", line: str = "line") -> DataFrame:

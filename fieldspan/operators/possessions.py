@@ -14,6 +14,25 @@ KEYS = ["game", "camera", "quarter"]
 Team = str | Column  # a name, or a column that has it for each row
 
 
+def in_buckets(frames: DataFrame, quarters: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """frames (game, camera, frame, ...) with quarter and bucket, the number of bucket_sec steps since the
+    quarter began. quarters: KEYS, first_frame, last_frame; a frame in two of them counts in both."""
+    own = quarters.select(*KEYS, F.col("first_frame").alias("__first"), F.col("last_frame").alias("__last"))
+    met = frames.join(own, ["game", "camera"]).filter(F.col("frame").between(F.col("__first"), F.col("__last")))
+    return met.withColumn("bucket", F.floor((F.col("frame") - F.col("__first")) / p.fps / p.bucket_sec)).drop("__first", "__last")
+
+
+def durations(quarters: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """KEYS, duration: seconds from a quarter's first to its last frame."""
+    return quarters.select(*KEYS, ((F.col("last_frame") - F.col("first_frame")) / p.fps).alias("duration"))
+
+
+def bucket_spine(quarters: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """KEYS, bucket: every bucket that begins within a quarter, with frames or without."""
+    last = F.floor(F.col("duration") / p.bucket_sec)
+    return durations(quarters, p).select(*KEYS, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("bucket"))
+
+
 def _is(team: Team) -> Column:
     return F.col("team") == team
 
@@ -34,7 +53,7 @@ def huddles(tracks: DataFrame, off: Team, p: Params = DEFAULTS) -> DataFrame:
     return got.select(*KEYS, "frame", "bucket", spatial.huddled(F.col("d"), F.col("d.w"), p.huddle_players, p.huddle_ratio).alias("huddled"))
 
 
-def offscreen_credit(tracks: DataFrame, off: Team, deff: Team, frame_height: float, p: Params = DEFAULTS) -> DataFrame:
+def offscreen_credit(tracks: DataFrame, off: Team, deff: Team, frame_height: float | Column, p: Params = DEFAULTS) -> DataFrame:
     """KEYS, bucket, off, def, deep: what players credit who leave at the bottom edge behind the net and
     come back in time. Every bucket from the last to the next detection counts."""
     w = Window.partitionBy(*KEYS, "track_id").orderBy("frame")

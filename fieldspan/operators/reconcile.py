@@ -17,12 +17,12 @@ def reading(scores: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
 def alternate(readings: DataFrame, game: list[str], a: str, b: str, first: str, second: str) -> DataFrame:
     """game, quarter, camera, team. readings: game, camera, quarter, dominant (or null), gap.
 
-    Quarters of a parity have one team: that of the reading with the largest gap (of those as
-    large, the earliest). Where both cameras then name the same team, the one with the larger
+    The first and third, and the second and fourth quarter have one team each: that of the reading with
+    the largest gap (of those as large, the earliest); quarters beyond the fourth are left out. Where both cameras then name the same team, the one with the larger
     gap in that quarter keeps it (first, where equal) and the other gets the other team."""
     parity = Window.partitionBy(*game, "camera", F.col("quarter") % 2)
     best = F.max_by("dominant", F.when(F.col("dominant").isNotNull(), F.struct("gap", (-F.col("quarter")).alias("q")))).over(parity)
-    each = readings.withColumn("team", best)
+    each = readings.filter(F.col("quarter").between(1, 4)).withColumn("team", best)
     pick = lambda cam, c: F.max(F.when(F.col("camera") == cam, F.col(c)))
     gap = lambda cam: F.coalesce(F.max(F.when((F.col("camera") == cam) & F.col("dominant").isNotNull(), F.col("gap"))), F.lit(0))
     both = each.groupBy(*game, "quarter").agg(pick(first, "team").alias("t1"), pick(second, "team").alias("t2"), gap(first).alias("g1"), gap(second).alias("g2"))

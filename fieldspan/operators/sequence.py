@@ -47,10 +47,10 @@ def low_stretches(df: DataFrame, keys: list[str], order: str, low: Column) -> Da
 
 def next_known(value: Column, keys: list[str], *order: str) -> Column:
     """The value itself, else the next known one, else the last known one, else 0."""
-    w = ordered(keys, *order)
-    ahead = F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    behind = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return F.coalesce(ahead, behind, F.lit(0.0))
+    # The next known value is the last one of the order turned round: a running frame, where one that
+    # reaches to the end would be gone through anew for every row.
+    so_far = lambda w: F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return F.coalesce(so_far(ordered(keys, *[F.desc(o) for o in order])), so_far(ordered(keys, *order)), F.lit(0.0))
 
 
 def carried(value: Column, keys: list[str], *order: str) -> Column:
@@ -69,10 +69,10 @@ def sibling_gaps(df: DataFrame, keys: list[str], start: str, end: str, near: flo
 
 def resample_nearest(samples: DataFrame, keys: list[str], t: str, value: str, step: int) -> DataFrame:
     """A grid of step from 0 to the largest t in each key, with the value of the nearest sample (of
-    two as near, the later). Each sample covers the grid points up to the middle to its neighbours:
-    no sample is compared with any but those."""
+    two as near, the later; of samples at the same t, the largest value). Each sample covers the grid
+    points up to the middle to its neighbours: no sample is compared with any but those."""
     w = ordered(keys, t)
-    own = samples.groupBy(*keys, t).agg(F.first(value).alias(value))
+    own = samples.groupBy(*keys, t).agg(F.max(value).alias(value))
     own = own.withColumns({"__prev": F.lag(t).over(w), "__next": F.lead(t).over(w)})
     # A point at the middle goes to the later sample.
     low = F.when(F.col("__prev").isNull(), 0).otherwise(F.ceil((F.col("__prev") + F.col(t)) / (2 * step)))

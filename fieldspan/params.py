@@ -11,6 +11,7 @@ PLAY_ZONES = (BEHIND_NET, KEY, NET_TO_8, PERIMETER)
 DEEP_ZONES = (BEHIND_NET, KEY, NET_TO_8)
 NEAR_NET_ZONES = (KEY, BEHIND_NET)
 FORMATION_ZONES = (BEHIND_NET, NET_TO_8, PERIMETER)
+CUT_ZONES = (NET_TO_8, PERIMETER)
 DIAGNOSTIC_ZONES = (BEHIND_NET, KEY, PERIMETER)
 GOALIE, UNKNOWN = "Goalie", "Unknown"
 

@@ -39,6 +39,30 @@ def spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.select(F.lit("g").alias("game"), F.lit("c").alias("camera"), (1 + F.expr(f"k div {QUARTER}")).alias("quarter"), (F.col("k") % QUARTER).alias("bucket"))
 
 
+def quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """game, camera, camera_ix, quarter, first_frame, last_frame of the quarters that frames lie in."""
+    q = spine(spark, sf_dir).select("game", "camera", "quarter").distinct()
+    first = (F.col("quarter") - 1) * (QUARTER * 15)
+    return q.select("game", "camera", F.lit(0).alias("camera_ix"), "quarter", first.alias("first_frame"), (first + QUARTER * 15 - 1).alias("last_frame"))
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """game, camera, frame of every frame, with detections or without."""
+    k = read(spark, sf_dir, "events").select((F.expr("event_id div 14") * 15).alias("frame")).distinct()
+    return k.select(F.lit("g").alias("game"), F.lit("c").alias("camera"), "frame")
+
+
+def seen_by_two(df: DataFrame) -> DataFrame:
+    """Tracks as two cameras see them: even slots on c0, odd ones on c1."""
+    return df.withColumn("camera", F.concat(F.lit("c"), F.col("track_id") % 2))
+
+
+def for_two(df: DataFrame) -> DataFrame:
+    """Frames or quarters of one camera as those of both."""
+    out = df.drop("camera", "camera_ix").withColumn("camera_ix", F.explode(F.array(F.lit(0), F.lit(1))))
+    return out.withColumn("camera", F.concat(F.lit("c"), "camera_ix"))
+
+
 def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with t, whole seconds since 1970 (the time zone of the session being UTC)."""
     e = read(spark, sf_dir, "events")

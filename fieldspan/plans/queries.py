@@ -75,6 +75,18 @@ def long_possessions_flagged(spark, d):
     return detected(spark, d).groupBy("quarter").agg(F.count(F.lit(1)).alias("n"), F.sum(long).alias("total_sec"), F.count_if(long > 6).alias("n_flagged"))
 
 
+@query(f"WITH {DETECT_SQL} SELECT * FROM det WHERE team = 'A' AND end_sec - start_sec <= 8")
+def possessions_chosen(spark, d):
+    return report.chosen(detected(spark, d), "A", 8.0).select("quarter", "team", "start_sec", "end_sec")
+
+
+@query("WITH k AS (SELECT DISTINCT event_id // 14 AS k FROM events), q AS (SELECT DISTINCT 1 + k // 180 AS quarter FROM k), s AS (SELECT quarter, unnest(range(180)) AS bucket FROM q), n AS (SELECT 1 + k // 180 AS quarter, k % 180 AS bucket, count(*) AS n FROM k GROUP BY 1, 2) SELECT quarter, bucket, coalesce(n, 0) AS n_frames FROM s LEFT JOIN n USING (quarter, bucket)")
+def frame_buckets(spark, d):
+    q = A.quarters(spark, d)
+    n = possessions.in_buckets(A.frames(spark, d), q, P).groupBy("quarter", "bucket").agg(F.count(F.lit(1)).alias("n_frames"))
+    return possessions.bucket_spine(q, P).select("quarter", "bucket").join(n, ["quarter", "bucket"], "left").fillna(0, ["n_frames"])
+
+
 @query(
     f"""WITH {TRK_SQL}, g AS (SELECT *, lead(frame) OVER w AS nf, lead(bucket) OVER w AS nb, row_number() OVER w AS n FROM trk WHERE team IN ('A', 'B') WINDOW w AS (PARTITION BY quarter, track_id ORDER BY frame)),
 h AS (SELECT quarter, team, unnest(range(bucket, nb + 1)) AS bucket FROM g WHERE nf - frame > 1 AND n >= 5 AND zone = 'Behind Net' AND cy >= 0.95 * 1200 AND (nf - frame) / 30.0 <= 8)
@@ -159,7 +171,7 @@ def formation_frequency(spark, d):
 
 
 CUTS_SQL = f"""{TRK_SQL},
-c1 AS (SELECT *, CASE WHEN zone = lag(zone) OVER w THEN 0 ELSE 1 END AS ch FROM trk WHERE zone <> 'Beyond 30' WINDOW w AS (PARTITION BY quarter, track_id ORDER BY frame)),
+c1 AS (SELECT *, CASE WHEN zone = lag(zone) OVER w THEN 0 ELSE 1 END AS ch FROM trk WHERE zone IN ('Net-to-8', 'Perimeter') WINDOW w AS (PARTITION BY quarter, track_id ORDER BY frame)),
 c2 AS (SELECT *, sum(ch) OVER (PARTITION BY quarter, track_id ORDER BY frame) AS run FROM c1),
 c3 AS (SELECT quarter, track_id, run, zone, min(frame) AS first, count(*) AS n FROM c2 GROUP BY 1, 2, 3, 4),
 c4 AS (SELECT *, lag(zone) OVER (PARTITION BY quarter, track_id ORDER BY first) AS pz FROM c3 WHERE n >= 2),
@@ -224,7 +236,7 @@ def low_count_stretches(spark, d):
 @query(
     f"""WITH {COUNTS_SQL}, {SPINE_SQL}, n AS (SELECT quarter, bucket, coalesce(deep, 0) AS near FROM spine LEFT JOIN f USING (quarter, bucket)),
 a AS (SELECT *, CASE WHEN (near <= 1) = lag(near <= 1) OVER (PARTITION BY quarter ORDER BY bucket) THEN 0 ELSE 1 END AS ch FROM n), b AS (SELECT *, sum(ch) OVER (PARTITION BY quarter ORDER BY bucket) AS run FROM a)
-SELECT quarter, 'quiet' AS kind, min(bucket) AS start_sec, max(bucket) AS end_sec FROM b WHERE near <= 1 GROUP BY quarter, run HAVING count(*) >= 2"""
+SELECT quarter, 'quiet' AS kind, min(bucket) AS start_sec, max(bucket) + 1 AS end_sec FROM b WHERE near <= 1 GROUP BY quarter, run HAVING count(*) >= 2"""
 )
 def quiet_windows(spark, d):
     s = signal(spark, d).select("quarter", "bucket", F.col("deep").alias("near"), "huddled")
@@ -264,14 +276,8 @@ def sustained_sessions(spark, d):
     return got.select("user_id", F.col("start").alias("first_bucket"), F.col("end").alias("end_bucket"))
 
 
-@query("SELECT o_custkey, o_orderkey, o_orderkey % 1000 - lag(o_orderkey % 1000 + 10) OVER w AS gap_before, lead(o_orderkey % 1000) OVER w - (o_orderkey % 1000 + 10) AS gap_after, coalesce(o_orderkey % 1000 - lag(o_orderkey % 1000 + 10) OVER w < 15, false) OR coalesce(lead(o_orderkey % 1000) OVER w - (o_orderkey % 1000 + 10) < 15, false) AS near FROM (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey < 1000) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey % 1000, o_orderkey % 1000 + 10)")
-def sibling_gaps(spark, d):
-    o = A.read(spark, d, "orders").filter("o_orderkey < 1000").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 1000).alias("s"), (F.col("o_orderkey") % 1000 + 10).alias("e"))
-    return sequence.sibling_gaps(o, ["o_custkey"], "s", "e", P.sibling_gap_sec).drop("s", "e")
-
-
 @query("SELECT o_custkey, o_orderkey, s - lag(e) OVER w AS gap_before, lead(s) OVER w - e AS gap_after, coalesce(s - lag(e) OVER w < 15, false) OR coalesce(lead(s) OVER w - e < 15, false) AS near FROM (SELECT o_custkey, o_orderkey, o_orderkey % 1000 AS s, o_orderkey % 1000 + 10 AS e FROM orders) WINDOW w AS (PARTITION BY o_custkey ORDER BY s, e, o_orderkey)")
-def sibling_gaps_whole(spark, d):
+def sibling_gaps(spark, d):
     o = A.read(spark, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 1000).alias("s"), (F.col("o_orderkey") % 1000 + 10).alias("e"))
     return sequence.sibling_gaps(o, ["o_custkey"], "s", "e", P.sibling_gap_sec, ["o_orderkey"]).drop("s", "e")
 
@@ -336,7 +342,7 @@ def snapshot_diff(spark, d):
 
 @query(f"WITH {SESSION_SQL}, {VIEWS}, {sessions_sql('w', chr(39) + 'view' + chr(39), 6)} SELECT w.user_id, w.start_sec, w.end_sec, count(*) AS n_old, min(v.start_sec) AS first_old FROM w JOIN v ON v.user_id = w.user_id AND v.start_sec <= w.end_sec AND w.start_sec <= v.end_sec GROUP BY 1, 2, 3 HAVING count(*) >= 2")
 def interval_merges(spark, d):
-    got = intervals.merges(sessions(spark, d, ["view"], 1), sessions(spark, d, ["view"], 6), ["user_id"])
+    got = intervals.merges(sessions(spark, d, ["view"], 1), sessions(spark, d, ["view"], 6), ["user_id"], 86400.0)
     return got.withColumn("first_old", F.get("old_starts", F.lit(0))).drop("old_starts")
 
 
@@ -400,6 +406,17 @@ def local_pace(spark, d):
     return intervals.local_pace(ranked(spark, d), ["user_id"]).select("user_id", "rank", "raw_gap", "aligned_gap", "pace", "flagged")
 
 
+@query(f"WITH {RANKED}, nv AS (SELECT user_id, count(*) AS n FROM v GROUP BY 1), nc AS (SELECT user_id, count(*) AS n FROM c GROUP BY 1) SELECT rr.*, (aligned_end - aligned_start) / greatest(end_sec - start_sec, 0.1::DOUBLE) AS ratio, (aligned_end - aligned_start) / greatest(end_sec - start_sec, 0.1::DOUBLE) > 2.5 OR aligned_end - aligned_start > 200000 AS flagged FROM rr JOIN nv USING (user_id) JOIN nc USING (user_id) WHERE nv.n = nc.n")
+def stretch_guarded(spark, d):
+    pairs = longs(intervals.by_position(sessions(spark, d, ["view"], 1), sessions(spark, d, ["click"], 1), ["user_id"]), "rank")
+    return intervals.stretch(pairs, 2.5, 200000)
+
+
+@query(f"WITH {BOTH}, nv AS (SELECT user_id, count(*) AS n FROM v GROUP BY 1), nc AS (SELECT user_id, count(*) AS n FROM c GROUP BY 1) SELECT user_id, nv.n AS n_raw, coalesce(nc.n, 0) AS n_aligned FROM nv LEFT JOIN nc USING (user_id) WHERE nv.n <> coalesce(nc.n, 0)")
+def count_mismatches(spark, d):
+    return intervals.count_mismatches(sessions(spark, d, ["view"], 1), sessions(spark, d, ["click"], 1), ["user_id"])
+
+
 @query(
     """WITH t AS (SELECT o_orderkey, o_custkey % 20 AS g, (o_orderkey % 1000)::DOUBLE AS t FROM orders), s AS (SELECT 1 AS i, g, 0.0 AS t0, 0.0 AS v0, 100.0 + g AS t1, 500.0 AS v1 FROM range(20) r(g) UNION ALL SELECT 2, g, 100.0 + g, 500.0, 450.0, 600.0 + g FROM range(20) r(g) UNION ALL SELECT 3, g, 450.0, 600.0 + g, 900.0, 1000.0 FROM range(20) r(g)),
 h AS (SELECT o_orderkey, g, t, arg_min(v0::DOUBLE + (t - t0::DOUBLE) / (t1::DOUBLE - t0::DOUBLE) * (v1::DOUBLE - v0::DOUBLE), i) AS v FROM t JOIN s USING (g) WHERE t BETWEEN t0 AND t1 GROUP BY 1, 2, 3)
@@ -533,12 +550,12 @@ def cuts_summary(spark, d):
     return report.cuts_summary(report_rows(spark, d))
 
 
-@query(f"WITH {REPORT_SQL} SELECT team, result, formation, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY team, result) AS share FROM cb WHERE formation IS NOT NULL GROUP BY 1, 2, 3")
+@query(f"WITH {REPORT_SQL} SELECT team, result, formation, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY team, result) AS share FROM cb WHERE result <> 'Untagged' AND formation IS NOT NULL GROUP BY 1, 2, 3")
 def formations_by_result(spark, d):
     return report.formations_by_result(report_rows(spark, d))
 
 
-@query(f"WITH {REPORT_SQL} SELECT team, result, count(*) AS n, avg(cuts_in) AS avg_in, avg(cuts_out) AS avg_out, avg(cuts_in + cuts_out) AS avg_total, avg(duration_sec) AS avg_sec FROM cb GROUP BY 1, 2")
+@query(f"WITH {REPORT_SQL} SELECT team, result, count(*) AS n, avg(cuts_in) AS avg_in, avg(cuts_out) AS avg_out, avg(cuts_in + cuts_out) AS avg_total, avg(duration_sec) AS avg_sec FROM cb WHERE result <> 'Untagged' GROUP BY 1, 2")
 def cuts_by_result(spark, d):
     return report.cuts_by_result(report_rows(spark, d))
 
@@ -661,35 +678,92 @@ def yolo_labels(spark, d):
     return colours.yolo_labels(p, "w", "h").select("p_partkey", "line")
 
 
-# --- order-dependent steps: no SQL -------------------------------------------------------------
-def markers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Markers (quarter, kind, elapsed_sec), windows and quarters out of the bucket signal."""
-    s = signal(spark, d).select("quarter", "bucket", F.col("deep").alias("near"), "huddled")
-    spans = align.windows(s, K, "bucket", P)
-    spans = spans.withColumns({c: F.col(c) * P.bucket_sec for c in ("start_sec", "end_sec")})
-    m = A.tracks(spark, d).filter("track_id = 3 and bucket % 17 = 0").select("quarter", F.lit("quiet").alias("kind"), (F.col("bucket") * 5.0).alias("elapsed_sec"))
-    q = A.spine(spark, d).groupBy("quarter").agg((F.count(F.lit(1)) * P.bucket_sec).alias("duration"))
-    return m, spans, q
-
-
-@query()
+# --- alignment from tracks -----------------------------------------------------------------------
+#: Clocks of 90 seconds, as long as a quarter of these data; two players make a huddle.
+AP = replace(P, period_sec=90.0, anchor_radius_sec=9.0, huddle_players=2, huddle_ratio=25.0, huddle_samples=1, bad_anchor_ratio=1.2)
+
+TIMELINE_SQL = f"""{TRK_SQL}, {SPINE_SQL},
+nn AS (SELECT quarter, bucket, track_id % 2 AS cam, count(*) AS near, count(*) FILTER (team <> 'Goalie') AS n FROM trk WHERE zone = 'Behind Net' GROUP BY 1, 2, 3),
+np AS (SELECT * FROM trk WHERE zone = 'Behind Net' AND team <> 'Goalie'),
+pw AS (SELECT a.quarter, a.bucket, a.track_id % 2 AS cam, sum(sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy))) / count(*) AS m FROM np a JOIN np b ON a.quarter = b.quarter AND a.bucket = b.bucket AND a.track_id % 2 = b.track_id % 2 AND a.track_id < b.track_id GROUP BY 1, 2, 3),
+tl AS (SELECT quarter, bucket, coalesce(max(near), 0) AS near, coalesce(bool_or(n >= 2 AND m / 40 < 25), false) AS huddled FROM spine LEFT JOIN nn USING (quarter, bucket) LEFT JOIN pw USING (quarter, bucket, cam) GROUP BY 1, 2),
+qt AS (SELECT quarter, bucket FROM tl WHERE near <= 1), ht AS (SELECT quarter, bucket FROM tl WHERE huddled),
+win AS (SELECT quarter, 'quiet' AS kind, s * 0.5::DOUBLE AS start_sec, e * 0.5::DOUBLE AS end_sec FROM {islands_sql('qt', 'quarter', 'bucket', 0)} WHERE n >= 2
+  UNION ALL SELECT quarter, 'huddle', s * 0.5::DOUBLE, e * 0.5::DOUBLE FROM {islands_sql('ht', 'quarter', 'bucket', 0)})"""
+ANCHOR_SQL = f"""{TIMELINE_SQL},
+du AS (SELECT DISTINCT quarter, 2699 / 30.0::DOUBLE AS dur FROM spine),
+mk AS (SELECT quarter, kind, t, dur, (t + CASE kind WHEN 'huddle' THEN 2.5::DOUBLE ELSE 0 END) / 90.0::DOUBLE * dur AS guess, row_number() OVER (PARTITION BY quarter, kind ORDER BY t) AS k
+  FROM (SELECT quarter, 'quiet' AS kind, bucket * 0.5::DOUBLE AS t FROM spine WHERE bucket % 17 = 0 UNION ALL SELECT quarter, 'huddle', bucket * 0.5::DOUBLE FROM spine WHERE bucket % 23 = 5) JOIN du USING (quarter)),
+wn AS (SELECT quarter, kind, (start_sec + end_sec) / 2 AS mid, row_number() OVER (PARTITION BY quarter, kind ORDER BY start_sec) AS i FROM win),
+cd AS (SELECT quarter, kind, k, t, coalesce(list(i ORDER BY abs(mid - guess), i) FILTER (abs(mid - guess) < 9), []) AS c FROM mk LEFT JOIN wn USING (quarter, kind) GROUP BY 1, 2, 3, 4),
+g AS (SELECT DISTINCT quarter, kind, 0::BIGINT AS k, 0::DOUBLE AS t, []::BIGINT[] AS used, NULL::BIGINT AS hit FROM mk
+  UNION ALL SELECT quarter, kind, k, t, CASE WHEN hit IS NULL THEN used ELSE list_append(used, hit) END, hit FROM (SELECT cd.quarter, cd.kind, cd.k, cd.t, g.used, list_filter(cd.c, lambda x: NOT list_contains(g.used, x))[1] AS hit FROM g JOIN cd ON cd.quarter = g.quarter AND cd.kind = g.kind AND cd.k = g.k + 1)),
+mt AS (SELECT g.quarter, g.kind, g.t AS "at", wn.mid AS "to" FROM g JOIN wn ON wn.quarter = g.quarter AND wn.kind = g.kind AND wn.i = g.hit),
+an AS (SELECT quarter, "at", "to" FROM mt UNION SELECT quarter, 0, 0 FROM du UNION SELECT quarter, 90, dur FROM du),
+ap AS (SELECT quarter, list(struct_pack(a := "at", v := "to") ORDER BY "at", "to") AS p, dur / 90 AS sc FROM an JOIN du USING (quarter) GROUP BY quarter, dur),
+fl AS (SELECT quarter, 0 AS step, p, sc FROM ap
+  UNION ALL SELECT quarter, step + 1, p[:i - 1] || p[i + 1:], sc FROM (SELECT *, list_filter(range(2, len(p)), lambda i: p[i].a > p[i - 1].a AND p[i + 1].a > p[i].a
+    AND ((p[i].v - p[i - 1].v) / (p[i].a - p[i - 1].a) > sc * 1.2 OR (p[i].v - p[i - 1].v) / (p[i].a - p[i - 1].a) < sc / 1.2)
+    AND ((p[i + 1].v - p[i].v) / (p[i + 1].a - p[i].a) > sc * 1.2 OR (p[i + 1].v - p[i].v) / (p[i + 1].a - p[i].a) < sc / 1.2))[1] AS i FROM fl) WHERE i IS NOT NULL),
+kp AS (SELECT quarter, unnest(arg_max(p, step)) AS x FROM fl GROUP BY 1),
+fa AS (SELECT quarter, x.a AS "at", x.v AS "to" FROM kp)"""
+
+
+def two_cameras(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return A.seen_by_two(A.tracks(spark, d)), A.for_two(A.frames(spark, d)), A.for_two(A.quarters(spark, d))
+
+
+def marks(spark: SparkSession, d: str, every: int, at: int) -> DataFrame:
+    """Markers of a log: one in so many buckets."""
+    return A.spine(spark, d).filter(F.col("bucket") % every == at).select("game", "quarter", (F.col("bucket") * 0.5).alias("elapsed_sec"))
+
+
+def matched_markers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    t, f, q = two_cameras(spark, d)
+    spans = align.windows(align.timeline(align.near_net(t, f, AP), q, AP), K, "bucket", AP).withColumns({c: F.col(c) * 0.5 for c in ("start_sec", "end_sec")})
+    kind = lambda df, k, delay: df.select("quarter", F.lit(k).alias("kind"), "elapsed_sec", F.lit(delay).alias("delay"))
+    length = q.filter("camera_ix = 0").select("quarter", ((F.col("last_frame") - F.col("first_frame")) / 30.0).alias("duration"))
+    m = kind(marks(spark, d, 17, 0), "quiet", 0.0).unionByName(kind(marks(spark, d, 23, 5), "huddle", AP.goal_delay_sec))
+    return align.match_markers(m.join(length, K), spans, [*K, "kind"], p=AP), length
+
+
+@query(f"WITH {TIMELINE_SQL} SELECT * FROM tl")
+def near_net_timeline(spark, d):
+    t, f, q = two_cameras(spark, d)
+    return align.timeline(align.near_net(t, f, AP), q, AP).select("quarter", "bucket", "near", "huddled")
+
+
+@query(f"WITH {TIMELINE_SQL} SELECT * FROM win")
+def alignment_windows(spark, d):
+    t, f, q = two_cameras(spark, d)
+    got = align.windows(align.timeline(align.near_net(t, f, AP), q, AP), K, "bucket", AP)
+    return got.withColumns({c: F.col(c) * 0.5 for c in ("start_sec", "end_sec")})
+
+
+@query(f"WITH RECURSIVE {ANCHOR_SQL} SELECT * FROM mt")
 def greedy_marker_match(spark, d):
-    m, spans, q = markers(spark, d)
-    return align.match_markers(m.join(q, K).withColumn("delay", F.lit(0.0)), spans, [*K, "kind"], p=P)
+    return matched_markers(spark, d)[0]
 
 
-@query()
+@query(f"WITH RECURSIVE {ANCHOR_SQL} SELECT * FROM fa")
 def anchor_filter(spark, d):
-    _, _, q = markers(spark, d)
-    got = greedy_marker_match(spark, d).join(q, K).select("quarter", "at", "to", "duration")
-    return align.filter_anchors(got, K, p=P)
+    found, length = matched_markers(spark, d)
+    ends = length.select("quarter", F.inline(F.array(F.struct(F.lit(0.0).alias("at"), F.lit(0.0).alias("to")), F.struct(F.lit(90.0).alias("at"), F.col("duration").alias("to")))))
+    return align.filter_anchors(found.select("quarter", "at", "to").unionByName(ends).join(length, K), K, p=AP)
 
 
-@query()
+ALIGN_SQL = """
+of AS (SELECT quarter, bucket, bucket * 0.5::DOUBLE AS s, bucket * 0.5::DOUBLE + 3 AS e FROM spine WHERE bucket % 40 = 7),
+lk AS (SELECT quarter, p, len(p) AS n FROM (SELECT quarter, arg_max(p, step) AS p FROM fl GROUP BY 1)),
+pt AS (SELECT quarter, bucket, w, t, p, n, list_filter(range(1, n), lambda i: t BETWEEN p[i].a AND p[i + 1].a)[1] AS i FROM (SELECT quarter, bucket, 's' AS w, s AS t FROM of UNION ALL SELECT quarter, bucket, 'e', e FROM of) JOIN lk USING (quarter)),
+vt AS (SELECT quarter, bucket, w, CASE WHEN i IS NULL THEN CASE WHEN t < p[1].a THEN p[1].v ELSE p[n].v END WHEN p[i + 1].a = p[i].a THEN p[i].v ELSE p[i].v + (t - p[i].a) / (p[i + 1].a - p[i].a) * (p[i + 1].v - p[i].v) END AS v FROM pt)"""
+
+
+@query(f"WITH RECURSIVE {ANCHOR_SQL}, {ALIGN_SQL} SELECT quarter, bucket, round(s.v, 1) AS start_sec, round(e.v, 1) AS end_sec, round(e.v - s.v, 1) AS duration_sec FROM (SELECT * FROM vt WHERE w = 's') s JOIN (SELECT * FROM vt WHERE w = 'e') e USING (quarter, bucket)")
 def clock_alignment(spark, d):
-    m, spans, q = markers(spark, d)
-    official = m.select("quarter", F.col("elapsed_sec").alias("start_sec"), (F.col("elapsed_sec") + 30).alias("end_sec"))
-    return align.align(official, m, spans, q, K, P)
+    t, f, q = two_cameras(spark, d)
+    official = records(spark, d).select("game", "quarter", "seq.bucket", "start_sec", "end_sec")
+    return align.align_frames(t, f, q, official, marks(spark, d, 17, 0), marks(spark, d, 23, 5), AP).select("quarter", "bucket", "start_sec", "end_sec", "duration_sec")
 
 
 # --- lookups, samples and streams ---------------------------------------------------------------
@@ -699,15 +773,8 @@ def alias_normalised(spark, d):
     return A.read(spark, d, "lineitem").groupBy("l_returnflag", clock.normalised(f, {"R": "Red", "A": "Amber"}).alias("team"), clock.other_team(f, "R", "A").alias("other")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {TRK_SQL} SELECT label, frame, quarter, (frame - (quarter - 1) * 2700) / 30.0::DOUBLE AS elapsed FROM (SELECT DISTINCT 'c' AS label, frame, 1 + frame // 2700 AS quarter FROM trk WHERE frame < 8100)")
-def frame_quarter_lookup(spark, d):
-    frames = A.tracks(spark, d).select(F.lit("c").alias("label"), "frame").distinct()
-    spans = spark.range(3).select(F.lit("c").alias("camera"), (F.col("id") + 1).alias("quarter"), (F.col("id") * 2700).alias("first_frame"), (F.col("id") * 2700 + 2699).alias("last_frame"))
-    return tables.frame_quarter(frames, spans)
-
-
 @query(f"WITH {TRK_SQL} SELECT label, frame, quarter, (frame - (quarter - 1) * 2700) / 30.0::DOUBLE AS elapsed FROM (SELECT DISTINCT 'c' AS label, frame, 1 + frame // 2700 AS quarter FROM trk)")
-def frame_quarter_lookup_whole(spark, d):
+def frame_quarter_lookup(spark, d):
     t = A.tracks(spark, d)
     first = (F.col("quarter") - 1) * 2700
     spans = t.select("camera", "quarter", first.alias("first_frame"), (first + 2699).alias("last_frame")).distinct()
@@ -802,7 +869,8 @@ def whole(spark: SparkSession, d: str) -> DataFrame:
     p = replace(P, long_block_sec=8.0, split_buffer_sec=2.0)
     spine = A.spine(spark, d)
     defends = spine.select("game", "camera", "quarter", F.when(F.col("quarter") % 2 == 0, "A").otherwise("B").alias("def_team")).distinct()
-    found = analysis.detect_all(A.tracks(spark, d), spine, defends, CAL, ("A", "B"), p)
+    lines = spark.range(1).select(F.lit("g").alias("game"), F.lit("c").alias("camera"), F.lit(CAL.yard8_y).alias("yard8_y"), F.lit(CAL.yard30_y).alias("yard30_y"), F.lit(CAL.frame_height).alias("frame_height"))
+    found = analysis.detect_frames(A.tracks(spark, d).drop("quarter", "bucket"), A.quarters(spark, d), defends, lines, ("A", "B"), p)
     return analysis.with_records(found, records(spark, d), p)
 
 
@@ -817,8 +885,8 @@ pr AS (SELECT a.quarter, a.bucket, sum(sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.c
 sg AS (SELECT quarter, bucket, coalesce(off, 0) + coalesce(coff, 0) AS off, coalesce(def, 0) + coalesce(cdef, 0) AS def, coalesce(deep, 0) + coalesce(coff, 0) AS deep, coalesce(n >= 4 AND m / 40 < 20, false) AS hd
         FROM spine LEFT JOIN f USING (quarter, bucket) LEFT JOIN cr USING (quarter, bucket) LEFT JOIN on_ USING (quarter, bucket) LEFT JOIN pr USING (quarter, bucket)),
 loose AS (SELECT * FROM sg WHERE off >= 4 AND def >= 4 AND NOT hd), strict AS (SELECT * FROM sg WHERE off >= 4 AND def >= 4 AND deep >= 3),
-seg AS {islands_sql('loose', 'quarter', 'bucket', 1)}, run AS {islands_sql('strict', 'quarter', 'bucket', 0)}, du AS (SELECT quarter, count(*) * 0.5::DOUBLE AS dur FROM spine GROUP BY 1),
-b AS (SELECT DISTINCT seg.quarter, CASE WHEN seg.quarter % 2 = 0 THEN 'B' ELSE 'A' END AS team, CASE WHEN seg.quarter % 2 = 0 THEN 'A' ELSE 'B' END AS other, seg.s * 0.5::DOUBLE AS bs, least(seg.e * 0.5::DOUBLE + 4, dur) AS be
+seg AS {islands_sql('loose', 'quarter', 'bucket', 1)}, run AS {islands_sql('strict', 'quarter', 'bucket', 0)}, du AS (SELECT DISTINCT quarter, 2699 / 30.0::DOUBLE AS dur FROM spine),
+b AS (SELECT DISTINCT seg.quarter, CASE WHEN seg.quarter % 2 = 0 THEN 'B' ELSE 'A' END AS team, CASE WHEN seg.quarter % 2 = 0 THEN 'A' ELSE 'B' END AS other, seg.s * 0.5::DOUBLE AS bs, round(least(seg.e * 0.5::DOUBLE + 4, dur), 1) AS be
       FROM seg JOIN run ON seg.quarter = run.quarter AND least(seg.e, run.e) - greatest(seg.s, run.s) >= 3 JOIN du ON du.quarter = seg.quarter),
 rc AS (SELECT quarter, bucket, CASE WHEN (bucket + quarter) % 3 = 0 THEN 'A' ELSE 'B' END AS team, bucket * 0.5::DOUBLE AS s, bucket * 0.5::DOUBLE + 3 AS e, CASE WHEN bucket % 80 = 7 THEN 'goal' ELSE 'turnover' END AS why FROM spine WHERE bucket % 40 = 7),
 m AS (SELECT b.*, greatest(s, bs) AS s, least(e, be) AS e FROM b JOIN rc ON b.quarter = rc.quarter AND b.other = rc.team AND be - bs > 8 AND s >= bs - 2 AND e <= be + 2),
@@ -841,5 +909,71 @@ def possessions_checked(spark, d):
     return longs(analysis.checks(whole(spark, d), records(spark, d), replace(P, match_window_sec=15.0))["matched"], "n_matched")
 
 
+SPANS_SQL = f"""{WHOLE_SQL},
+sp AS (SELECT quarter, team, CASE team WHEN 'A' THEN 'B' ELSE 'A' END AS other, start_sec, end_sec, (quarter - 1) * 2700 + trunc(start_sec * 30)::BIGINT AS lo, (quarter - 1) * 2700 + trunc(end_sec * 30)::BIGINT AS hi FROM wh)"""
+SHAPES_SQL = f"""{SPANS_SQL},
+pf AS (SELECT sp.quarter, sp.team, start_sec, end_sec, frame, CASE WHEN trk.team = sp.team THEN 'off' ELSE 'def' END AS side, count(*) FILTER (zone = 'Behind Net') AS bn, count(*) FILTER (zone = 'Net-to-8') AS n8, count(*) FILTER (zone = 'Perimeter') AS pm
+        FROM sp JOIN trk ON frame BETWEEN lo AND hi WHERE zone <> 'Beyond 30' GROUP BY 1, 2, 3, 4, 5, 6),
+ph AS (SELECT quarter, team, start_sec, end_sec, side, bn, n8, pm, printf('(%d, %d, %d)', bn, n8, pm) AS k, count(*) AS cnt, min(frame) AS ff FROM pf WHERE bn + n8 + pm >= 3 GROUP BY 1, 2, 3, 4, 5, 6, 7, 8),
+pb AS (SELECT quarter, team, start_sec, end_sec, side, arg_min(k, -cnt * 100000000 + ff) AS formation, sum(cnt)::BIGINT AS n, '{{' || string_agg('"' || k || '":' || cnt, ',' ORDER BY k) || '}}' AS dist FROM ph GROUP BY 1, 2, 3, 4, 5),
+fn AS (SELECT sp.quarter, sp.team, start_sec, end_sec, count(*) AS n_frames FROM sp JOIN (SELECT DISTINCT event_id // 14 * 15 AS frame FROM events) f ON frame BETWEEN lo AND hi GROUP BY 1, 2, 3, 4),
+sh AS (SELECT sp.quarter, sp.team, sp.other, sp.start_sec, sp.end_sec, coalesce(n_frames, 0) AS n_frames, o.formation AS off_formation, o.dist AS off_distribution, coalesce(o.n, 0) AS off_n, f.formation AS def_formation, f.dist AS def_distribution, coalesce(f.n, 0) AS def_n
+        FROM sp LEFT JOIN fn USING (quarter, team, start_sec, end_sec) LEFT JOIN (SELECT * FROM pb WHERE side = 'off') o USING (quarter, team, start_sec, end_sec) LEFT JOIN (SELECT * FROM pb WHERE side = 'def') f USING (quarter, team, start_sec, end_sec))"""
+TEAM_CUTS_SQL = f"""{SPANS_SQL},
+gp AS (SELECT *, lead(frame) OVER w AS nf, lead(cx) OVER w AS ncx, lead(cy) OVER w AS ncy, lead(zone) OVER w AS nz FROM trk WINDOW w AS (PARTITION BY quarter, track_id ORDER BY frame)),
+gf AS (SELECT *, unnest(range(frame + 15, nf, 15)) AS fr FROM gp WHERE nf - frame BETWEEN 16 AND 150 AND sqrt((ncx - cx) * (ncx - cx) + (ncy - cy) * (ncy - cy)) <= 320),
+al AS (SELECT track_id, team, frame, zone FROM trk UNION ALL SELECT track_id, team, fr, CASE WHEN (fr - frame) / (nf - frame)::DOUBLE < 0.5 THEN zone ELSE nz END FROM gf),
+cw AS (SELECT sp.quarter, sp.team, start_sec, end_sec, track_id, frame, zone FROM sp JOIN al ON al.team = sp.team AND frame BETWEEN lo AND hi WHERE zone IN ('Net-to-8', 'Perimeter')),
+w1 AS (SELECT *, CASE WHEN zone = lag(zone) OVER w THEN 0 ELSE 1 END AS ch FROM cw WINDOW w AS (PARTITION BY quarter, team, start_sec, end_sec, track_id ORDER BY frame)),
+w2 AS (SELECT *, sum(ch) OVER (PARTITION BY quarter, team, start_sec, end_sec, track_id ORDER BY frame) AS run FROM w1),
+w3 AS (SELECT quarter, team, start_sec, end_sec, track_id, run, zone, min(frame) AS first, count(*) AS n FROM w2 GROUP BY 1, 2, 3, 4, 5, 6, 7),
+w4 AS (SELECT *, lag(zone) OVER (PARTITION BY quarter, team, start_sec, end_sec, track_id ORDER BY first) AS pz FROM w3 WHERE n >= 2),
+w5 AS (SELECT quarter, team, start_sec, end_sec, count(*) FILTER (zone = 'Net-to-8') AS n_in, count(*) FILTER (zone = 'Perimeter') AS n_out, string_agg(first || CASE zone WHEN 'Net-to-8' THEN 'in' ELSE 'out' END || track_id, ',' ORDER BY first, CASE zone WHEN 'Net-to-8' THEN 0 ELSE 1 END, track_id) AS cuts FROM w4 WHERE pz <> zone GROUP BY 1, 2, 3, 4),
+nt AS (SELECT quarter, team, start_sec, end_sec, count(DISTINCT track_id) AS n FROM cw GROUP BY 1, 2, 3, 4),
+pc_ AS (SELECT quarter, team, start_sec, end_sec, coalesce(n_in, 0) AS n_cuts_in, coalesce(n_out, 0) AS n_cuts_out, coalesce(n, 0) AS n_tracks, coalesce(cuts, '') AS cuts, coalesce(n_in + n_out, 0) = 0 AS suspect_zero_cuts FROM sp LEFT JOIN w5 USING (quarter, team, start_sec, end_sec) LEFT JOIN nt USING (quarter, team, start_sec, end_sec))"""
+
+
+def spans(spark: SparkSession, d: str) -> DataFrame:
+    """The possessions of possessions_whole, written: what is made of them reads them several times."""
+    return tables.staged(whole(spark, d).withColumn("other", clock.other_team(F.col("team"), "A", "B")).select(*formations.ID))
+
+
+def filled(spark: SparkSession, d: str) -> DataFrame:
+    t = A.tracks(spark, d)
+    return t.withColumn("interpolated", F.lit(False)).unionByName(tracking.interpolate(t, ["game", "camera", "quarter"], P), allowMissingColumns=True)
+
+
+def shapes(spark: SparkSession, d: str) -> DataFrame:
+    return formations.of_possessions(filled(spark, d), A.frames(spark, d), spans(spark, d), A.quarters(spark, d), P)
+
+
+@query(f"WITH {SHAPES_SQL} SELECT * FROM sh")
+def formations_by_possession(spark, d):
+    text = lambda s: F.when(F.col(f"{s}_formation").isNotNull(), F.format_string("(%d, %d, %d)", f"{s}_formation.bn", f"{s}_formation.n8", f"{s}_formation.pm")).alias(f"{s}_formation")
+    side = lambda s: [text(s), F.to_json(f"{s}_distribution").alias(f"{s}_distribution"), F.col(f"{s}_n_qualifying").alias(f"{s}_n")]
+    return shapes(spark, d).select("quarter", "team", "other", "start_sec", "end_sec", "n_frames", *side("off"), *side("def"))
+
+
+@query(f"WITH {SHAPES_SQL}, u AS (SELECT 'off' AS side, team, off_formation AS formation FROM sh UNION ALL SELECT 'def', other, def_formation FROM sh) SELECT side, team, formation, count(*) AS n, sum(count(*)) OVER (PARTITION BY side, team)::BIGINT AS total FROM u WHERE formation IS NOT NULL GROUP BY 1, 2, 3")
+def formations_by_side(spark, d):
+    got = formations.frequency_by_side(shapes(spark, d))
+    return got.withColumn("formation", F.format_string("(%d, %d, %d)", "formation.bn", "formation.n8", "formation.pm"))
+
+
+def team_cuts(spark: SparkSession, d: str) -> DataFrame:
+    return formations.cuts_of_possessions(filled(spark, d), spans(spark, d), A.quarters(spark, d), P)
+
+
+@query(f"WITH {TEAM_CUTS_SQL} SELECT * FROM pc_")
+def cuts_by_possession(spark, d):
+    text = F.array_join(F.transform("cuts", lambda c: F.concat(c["frame"], c["direction"], c["track_id"])), ",")
+    return team_cuts(spark, d).select("quarter", "team", "start_sec", "end_sec", "n_cuts_in", "n_cuts_out", "n_tracks", text.alias("cuts"), "suspect_zero_cuts")
+
+
+@query(f"WITH {TEAM_CUTS_SQL} SELECT team, sum(n_cuts_in)::BIGINT AS cuts_in, sum(n_cuts_out)::BIGINT AS cuts_out, count(*) FILTER (NOT suspect_zero_cuts) AS possessions_with_cuts, count(*) AS n_possessions FROM pc_ GROUP BY 1")
+def cuts_by_team(spark, d):
+    return formations.cuts_by_team(team_cuts(spark, d))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return possessions_detected(spark, "/root/testdata/sf0.001")

@@ -39,6 +39,23 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     return each.select("label", "frame", "det_ix", "d.*").withColumn("interpolated", F.coalesce("interpolated", F.lit(False)))
 
 
+def read_frame_lines(spark: SparkSession, path: str) -> DataFrame:
+    """As read_frames(), from files with a line for each frame: {"frame": 3, "detections": [...]}. Unlike
+    files of one object these are split over tasks, and no row is larger than a frame."""
+    kind = DETECTION.replace(" ", ":").replace(",:", ",")
+    raw = spark.read.schema(f"frame int, detections array<struct<{kind}>>").json(path)
+    each = raw.select(F.regexp_extract("_metadata.file_path", r"([^/]+?)(?:\.(?:tracks|detections))?\.jsonl$", 1).alias("label"), "frame", F.posexplode_outer("detections").alias("det_ix", "d"))
+    return each.select("label", "frame", "det_ix", "d.*").withColumn("interpolated", F.coalesce("interpolated", F.lit(False)))
+
+
+def write_frame_lines(frames: DataFrame, path: str) -> None:
+    """Files of read_frame_lines() under path/label=.../, frames in order."""
+    fields = [c for c in frames.columns if c not in ("label", "frame", "det_ix")]
+    per = frames.groupBy("label", "frame").agg(F.sort_array(F.collect_list(F.when(F.col("det_ix").isNotNull(), F.struct("det_ix", *fields)))).alias("d"))
+    rows = per.select("label", "frame", F.transform("d", lambda x: F.struct(*[x[c].alias(c) for c in fields])).alias("detections"))
+    rows.repartitionByRange("label", "frame").sortWithinPartitions("label", "frame").write.partitionBy("label").json(path)
+
+
 def detections(frames: DataFrame) -> DataFrame:
     return frames.filter("det_ix is not null")
 
@@ -123,10 +140,14 @@ def scaffold_config(team_a: str, team_b: str, cameras: list[str]) -> str:
 
 def staged(df: DataFrame) -> DataFrame:
     """df, written as Parquet and read again: what is used several times is made once, and what is
-    written outlives executors. The folder is the one that all machines share, spark.checkpoint.dir;
-    a temporary one only where the session names none, as on a single machine."""
+    written outlives executors. The folder is the one that all machines share, spark.checkpoint.dir.
+    Where the session names none, it is a temporary one on a single machine, and an error on a cluster."""
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = f"file://{tempfile.gettempdir()}"
     path = f"{shared.rstrip('/')}/fieldspan-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
