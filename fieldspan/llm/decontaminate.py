@@ -9,7 +9,9 @@ compared, not hashes, and each shared window has a fingerprint, the hits are exa
 Items shorter than a window are one window of their own; their longest word is the fingerprint.
 
 DataFrame operations only. Fingerprints of the benchmark are broadcast if it has at most
-BROADCAST_WORDS words (counted first), and joined by a shuffle beyond.
+BROADCAST_WORDS words (counted first), and joined by a shuffle beyond. Items that are shorter than a
+window are counted apart: any word of a document may be their fingerprint, and while they are few
+only the others' fingerprints, a fraction of the words, are shuffled.
 
 Defined cases: a null text has no words; an item without words has no window; a null item_id
 marks words but is not listed; documents alike in id and text are repeated in the result as
@@ -80,31 +82,39 @@ def find(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     """One row for each distinct (id, text): id_col, __hash (of the text), n_words, copies (rows
     alike), spans (start and end of the merged runs of hit words), items (ids as strings)."""
     tall = benchmark.select(F.size(item_words(F.col(item_text))).alias("n"))
-    of = tall.agg(F.sum("n").alias("words"), F.coalesce(F.sum(F.when(F.col("n").between(1, WINDOW - 1), 1).otherwise(0)), F.lit(0)).alias("short")).first()
+    of = tall.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words"), F.coalesce(F.sum(F.when(F.col("n") < WINDOW, F.col("n"))), F.lit(0)).alias("short")).first()
     index = benchmark_index(benchmark, item_id, item_text)
-    small = (of["words"] or 0) <= BROADCAST_WORDS
 
     docs = documents.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__hash"), item_words(F.col(text_col)).alias("__w"))
     docs = with_fingerprints(docs, "__w")
     # explode_outer, as the filter that Spark infers from explode would repeat the expressions above
     # for every place. Places of fingerprints; -1 stands for the document itself, -2 and below for single words.
-    places = F.concat(F.array(F.lit(-1)), F.col("__kept"))
-    if of["short"]:
-        single = F.when(F.size("__w") > 0, F.sequence(F.lit(-2), -1 - F.size("__w"), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-        places = F.concat(places, single)
-    rows = docs.withColumn("__n", F.size("__w")).withColumn("__places", places).select("__id", "__hash", "__w", "__grams", "__n", F.explode_outer("__places").alias("__x"))
-    word = -2 - F.col("__x")
-    key = F.when(F.col("__x") <= -2, _short(F.get("__w", word))).otherwise(F.get("__grams", F.col("__x")))
-    place = F.when(F.col("__x") <= -2, word).otherwise(F.col("__x"))
-    rows = rows.withColumn("__key", key).withColumn("__p", place).drop("__grams")
-    if small:
-        text, p, index = F.col("__w"), F.col("__p"), F.broadcast(index)
-    else:  # rows are shuffled: they take only the words about them along
-        low = F.greatest(F.col("__p") - WINDOW, F.lit(0))
-        rows = rows.withColumn("__near", F.when(F.col("__p") >= 0, F.slice("__w", low + 1, F.lit(3 * WINDOW)))).withColumn("__low", low).drop("__w")
-        text, p = F.col("__near"), F.col("__p") - F.col("__low")
-    # -1 has no key; it passes the outer join unmatched.
-    met = rows.join(index, F.col("__key") == F.col("hash"), "left").filter((F.col("__x") == -1) | F.col("hash").isNotNull())
+    long = F.concat(F.array(F.lit(-1)), F.col("__kept"))
+    single = F.when(F.size("__w") > 0, F.sequence(F.lit(-2), -1 - F.size("__w"), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+
+    def meet(places: Column, index: DataFrame, small: bool) -> DataFrame:
+        """Places of documents with the fingerprints they meet: text (all words, or those about the place)
+        and p, the place in it."""
+        rows = docs.withColumn("__n", F.size("__w")).withColumn("__places", places).select("__id", "__hash", "__w", "__grams", "__n", F.explode_outer("__places").alias("__x"))
+        word = -2 - F.col("__x")
+        key = F.when(F.col("__x") <= -2, _short(F.get("__w", word))).otherwise(F.get("__grams", F.col("__x")))
+        place = F.when(F.col("__x") <= -2, word).otherwise(F.col("__x"))
+        rows = rows.withColumn("__key", key).withColumn("__p", place).drop("__grams")
+        if small:
+            rows, index = rows.withColumn("__at", F.col("__p")), F.broadcast(index)
+        else:  # rows are shuffled: they take only the words about them along
+            low = F.greatest(F.col("__p") - WINDOW, F.lit(0))
+            rows = rows.withColumns({"__w": F.when(F.col("__p") >= 0, F.slice("__w", low + 1, F.lit(3 * WINDOW))), "__at": F.col("__p") - low})
+        # -1 has no key; it passes the outer join unmatched.
+        return rows.join(index, F.col("__key") == F.col("hash"), "left").filter((F.col("__x") == -1) | F.col("hash").isNotNull())
+
+    if of["words"] <= BROADCAST_WORDS:
+        met = meet(F.concat(long, single) if of["short"] else long, index, True)
+    else:
+        met = meet(long, index.filter("whole = 0"), False)
+        if of["short"]:
+            met = met.unionByName(meet(single, index.filter("whole > 0"), of["short"] <= BROADCAST_WORDS))
+    text, p = F.col("__w"), F.col("__at")
 
     same = lambda d: F.coalesce(F.get(text, p + d) == F.get("near", F.col("at") + d), F.lit(False))
     reach = W - 1

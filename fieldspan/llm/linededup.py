@@ -1,11 +1,19 @@
 """Operator 8: line dedup by pairwise alignment.
 
-Lines of ANCHOR_WORDS words or more are rare enough to tell that two documents overlap. For each
-such line, every document that holds it is paired with the first that does (documents are
-ordered by id), so that a line of n documents makes n - 1 pairs and not their square; whatever a
-later document shares with any earlier one it shares with the first holder of that line. Paired
-documents are aligned by patience diff over the hashes of all their lines, and aligned blocks of
-MIN_BLOCK_WORDS words or more are deleted from the later one.
+Documents (ordered by id) that overlap are found through shared hashes and aligned by patience diff
+over the hashes of all their lines; aligned blocks of MIN_BLOCK_WORDS words or more are deleted from
+the later one. There are two ways to find them.
+
+find_whole(), which the query takes, hashes runs: from each line on, and up to each line, the shortest
+stretch of lines that has MIN_BLOCK_WORDS words, so that every block that could be deleted has one
+and a run of so many words is rare as single lines needn't be. A document first meets the first
+holder of each of its runs, then, for runs that still have a line left, the next holders: it ends up
+as if aligned with every earlier document. A frequent run whose lines are gone makes no pairs: of n
+documents with it, n - 1 are paired with the first. A run that no alignment takes away (it stands
+twice on both sides, say) is looked for in all its earlier holders.
+
+find(), the default of report() and dedup(), takes lines of ANCHOR_WORDS words or more and their first
+holders only: one pass, but blocks that only a later holder has stay.
 
 Lines are compared without white space at their ends. Line hashes and pairs are shuffled; texts
 only once, to meet the numbers of their deleted lines.

@@ -4,7 +4,8 @@ A table of thresholds is compiled into one projection of counts over each text:
 function, no shuffle. Ratios are compared as products of whole numbers.
 
 Defined cases: a null or empty text has no words and fails; the counts cover the whole text,
-however long; repeated rows get the same verdict; extra columns stay as they are.
+however long; repeated rows get the same verdict; an empty table gives an empty result; extra
+columns stay as they are.
 """
 
 from __future__ import annotations

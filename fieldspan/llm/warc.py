@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import ship
 
@@ -134,7 +135,9 @@ def _writer(folder: str, date: str):
 
 
 def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = MIN_REVISIT_BYTES, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """A lazy table of the archives written: archive (path), n_records, n_bytes."""
+    """A lazy table of the archives written: archive (path), n_records, n_bytes. Ids are whole numbers."""
+    if not isinstance(pages.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"{id_col} must be of a whole-number type")
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("bytes"), F.sha1(payload).alias("sha1"))
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.octet_length(payload).cast("long").alias("bytes"), F.sha1(payload).alias("sha1"))

@@ -135,6 +135,21 @@ def test_decontamination_random(spark):
     decontaminate.BROADCAST_WORDS = 1_000_000
 
 
+def test_decontamination_with_many_items_of_which_few_are_short(spark):
+    """Short items are broadcast, the others' fingerprints shuffled."""
+    rng = np.random.Generator(np.random.PCG64(9))
+    text = lambda n: " ".join(rng.choice(["a", "b", "c", "d"], n))
+    items = [(k, text(int(n))) for k, n in enumerate([2, 3, 9, 10, 14, 30, 30])]
+    docs = [(k, text(int(rng.integers(0, 40))) + " " + items[int(rng.integers(0, 7))][1]) for k in range(60)] + [(60, None), (61, "")]
+    d, b = spark.createDataFrame([*docs, docs[3]], "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    decontaminate.BROADCAST_WORDS, before = 20, decontaminate.BROADCAST_WORDS
+    try:
+        got = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.report(d, b).collect())
+    finally:
+        decontaminate.BROADCAST_WORDS = before
+    assert got == sorted((k, *plain_hits(t, items)) for k, t in [*docs, docs[3]]) and any(r[2] for r in got)
+
+
 def test_decontamination_messy(spark, messy):
     b = spark.createDataFrame([(1, "cat sat on"), (2, None), (None, "on the mat")], "item_id int, text string")
     got = decontaminate.report(messy, b).collect()
@@ -175,6 +190,19 @@ def test_warc_standard_form_and_damage(spark, tmp_path):
         list(warc.records(f"file://{tmp_path}/cut.warc.gz"))
 
 
+def test_warc_messy(spark, messy, tmp_path):
+    """Nulls, clashing columns, repeated rows, very long payloads; equal payloads revisit the least id's record."""
+    path = str(tmp_path / "warc")
+    got = warc.report(warc.read(warc.write(messy, path, id_col="doc_id", payload_col="text"))).collect()
+    assert len(got) == 11 and sorted(((r.page_id, r.refers_to) for r in got if r.record_type == "revisit"), key=str) == [(2, 1), (4, 3), (None, 3)]
+    long = messy.filter("doc_id = 6").first().text.encode()
+    assert [(r.payload_bytes, r.payload_digest) for r in got if r.page_id == 6] == [(len(long), base64.b32encode(hashlib.sha1(long).digest()).decode())]
+    assert all(r.payload_bytes == 0 for r in got if r.page_id in (3, 4))
+    assert warc.read(warc.write(messy.limit(0), str(tmp_path / "none"), id_col="doc_id", payload_col="text")).count() == 0
+    with pytest.raises(ValueError):
+        warc.write(messy, path, id_col="source", payload_col="text")
+
+
 # --- 5 ----------------------------------------------------------------------------------------
 def plain_counts(text):
     t = text or ""
