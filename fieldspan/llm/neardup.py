@@ -3,11 +3,12 @@
 Each text is the set of its runs of SHINGLE words (lower case letters and digits; a text of fewer
 words is one run). Texts with equal sets are one class. A forest of TREES prefix tries over sorted
 labels holds DEPTH levels for each class. All tries are climbed together, from the leaves: first
-meet the classes below a common node at DEPTH, then the branches of the nodes a level higher, and
-so on. After each level the links found say how many pairs of their similarities such prefixes
-miss; prefixes are shortened until the share found reaches the target, and not beyond the depth
-at which a pair just at the threshold would reach it. A pair meets once, at its longest common
-prefix, and is verified there on the whole sets.
+meet the classes below a common node at DEPTH. The links found say, by their similarities, how many
+links such prefixes miss, and to which length prefixes must be shortened so that the share found
+reaches the target; there the branches of the nodes meet, and the links found by then are asked
+again, until the share is reached, and not beyond the depth at which a pair just at the threshold
+would reach it. A pair meets once, in the round in which its longest common prefix is reached, and
+is verified there on the whole sets.
 
 A node's classes are cut into tiles of TILE x TILE classes at most (fewer if sets are large). Labels
 come to a tile first; sets follow only for classes that have a pair to verify there. Only counts
@@ -58,13 +59,15 @@ def prefix_depth(threshold: float, target: float, trees: int = TREES, depth: int
     return 1
 
 
-def estimated_recall(bands: list[int], depth: int, threshold: float, trees: int = TREES) -> float:
+def estimated_recall(bands: list[int], depth: int, threshold: float, trees: int = TREES, at: int | None = None) -> float:
     """The share of all links that prefixes of this depth find, from those that they found: a link of
     similarity s is found with the chance p(s), so that each one found stands for 1 / p(s). A band's
-    similarity is its lower end. Without links nothing can be told: 0."""
-    seen = lambda s: 1 - (1 - s**depth) ** trees
-    every = sum(n / seen(threshold + (1 - threshold) * k / BANDS) for k, n in enumerate(bands))
-    return sum(bands) / every if every else 0.0
+    similarity is its lower end. Without links nothing can be told: 0. at: the share that prefixes
+    of that depth would find instead."""
+    seen = lambda s, r: 1 - (1 - s**r) ** trees
+    every = [(n / seen(s, depth), s) for n, s in ((n, threshold + (1 - threshold) * k / BANDS) for k, n in enumerate(bands))]
+    total = sum(n for n, _ in every)
+    return sum(n * seen(s, at or depth) for n, s in every) / total if total else 0.0
 
 
 def _prefix(label: str, depth: int) -> Column:
@@ -208,17 +211,19 @@ def shared_counts(a: _Side, b: _Side, wanted: np.ndarray) -> np.ndarray:
     return out
 
 
-def pairs_that_meet(a: _Side, b: _Side, tree: int, depth: int, num: int, den: int) -> np.ndarray:
-    """The pairs of a tile of a node of this tree whose longest prefix in any tree has just this depth,
-    and that have it in no tree before: each pair is met once, where it meets deepest. Pairs whose
-    sizes rule the threshold out are left aside."""
+def pairs_that_meet(a: _Side, b: _Side, tree: int, depth: int, num: int, den: int, done: int | None = None) -> np.ndarray:
+    """The pairs of a tile of a node of this tree whose longest prefix in any tree has this depth or
+    more, but less than done (the depth of the round before; one more, if not given), and that have
+    this depth in no tree before: each pair is met once. Pairs whose sizes rule the threshold out are
+    left aside."""
+    done = done or depth + 1
     small, large = np.minimum(a.n[:, None], b.n[None, :]), np.maximum(a.n[:, None], b.n[None, :])
     fits = small * den >= large * num
     if a is b:
         fits = np.triu(fits, 1)
     i, j = np.nonzero(fits)
     for t in range(TREES):
-        levels = depth if t < tree else depth + 1
+        levels = depth if t < tree else done
         if levels <= DEPTH and len(i):
             ok = (a.labels[i, t] ^ b.labels[j, t]) >> np.uint64(LEVEL_BITS * (DEPTH - levels)) != 0
             i, j = i[ok], j[ok]
@@ -240,25 +245,25 @@ def _sides(key: tuple, rows: list) -> tuple[_Side, _Side] | None:
     return a, a if key[2] == key[3] else _Side(sides[1])
 
 
-def _met(key: tuple, rows: list, depth: int, num: int, den: int) -> list[tuple]:
+def _met(key: tuple, rows: list, depth: int, done: int, num: int, den: int) -> list[tuple]:
     """The classes of a tile, by labels alone, that meet another one there: key, own, c."""
     sides = _sides(key, rows)
     if not sides:
         return []
     a, b = sides
-    wanted = pairs_that_meet(a, b, key[0], depth, num, den)
+    wanted = pairs_that_meet(a, b, key[0], depth, num, den, done)
     out = {(key[2], c) for c in a.c[wanted.any(axis=1)].tolist()} | {(key[3], c) for c in b.c[wanted.any(axis=0)].tolist()}
     return [(*key, own, c) for own, c in sorted(out)]
 
 
-def _tile(key: tuple, rows: list, depth: int, num: int, den: int) -> list[tuple]:
+def _tile(key: tuple, rows: list, depth: int, done: int, num: int, den: int) -> list[tuple]:
     """Rows c, links, link_docs, root of the classes that have links within the tile; with them,
     how many links lie in each band of similarity: rows with c = -1 - band."""
     sides = _sides(key, rows)
     if not sides:
         return []
     a, b = sides
-    wanted = pairs_that_meet(a, b, key[0], depth, num, den)
+    wanted = pairs_that_meet(a, b, key[0], depth, num, den, done)
     both = shared_counts(a, b, wanted)
     either = a.n[:, None] + b.n[None, :] - both
     linked = wanted & (both * den >= num * either)
@@ -294,7 +299,7 @@ MET = ("tree", "prefix", "i", "j", "own", "c")
 LINKS = ("c", "links", "link_docs", "root")
 
 
-def _by_tile(work, names: tuple, depth: int, num: int, den: int):
+def _by_tile(work, names: tuple, *how: int):
     """work over the rows of each tile; rows come sorted by tile."""
 
     def flush(out: list) -> pa.RecordBatch:
@@ -311,14 +316,14 @@ def _by_tile(work, names: tuple, depth: int, num: int, den: int):
             for i, at in enumerate(keys):
                 if at != key:
                     if rows:
-                        out += work(key, rows, depth, num, den)
+                        out += work(key, rows, *how)
                     key, rows = at, []
                     if len(out) > 5000:
                         yield flush(out)
                         out = []
                 rows.append((own[i], c[i], copies[i], flat[i * TREES : (i + 1) * TREES].copy(), sets[i].as_buffer().to_pybytes() if sets else n[i]))
         if rows:
-            out += work(key, rows, depth, num, den)
+            out += work(key, rows, *how)
         yield flush(out)
 
     return run
@@ -359,14 +364,17 @@ class Join:
             full = stage(sets.join(classes.select("c", "copies", "n", "labels"), "c"), "sets")
 
         self.recall, bands, parts = 0.0, [0] * BANDS, []
-        for depth in range(DEPTH, floor - 1, -1):
-            found = self._round(members, full, depth, num, den, tile, tile_bytes)
+        depth, done = DEPTH, DEPTH + 1
+        while True:
+            found = self._round(members, full, depth, done, num, den, tile, tile_bytes)
             for r in found.filter("c < 0").groupBy("c").agg(F.sum("links").alias("n")).collect():  # BANDS rows at most
                 bands[-1 - r["c"]] += r["n"]
             parts.append(found.filter("c >= 0"))
             self.depth, self.recall = depth, estimated_recall(bands, depth, num / den)
-            if self.recall >= target_recall:
+            if self.recall >= target_recall or depth == floor:
                 break
+            enough = lambda r: estimated_recall(bands, self.depth, num / den, at=r) >= target_recall
+            done, depth = depth, next(r for r in range(depth - 1, floor - 1, -1) if r == floor or enough(r))
         found = parts[0]
         for one in parts[1:]:
             found = found.unionByName(one)
@@ -383,11 +391,11 @@ class Join:
         self.docs, self.df, self.names = docs, df, (id_col, text_col)
 
     @staticmethod
-    def _round(members: DataFrame, full: DataFrame, depth: int, num: int, den: int, tile: int, tile_bytes: int) -> DataFrame:
-        """The links of all pairs that meet deepest at this depth."""
+    def _round(members: DataFrame, full: DataFrame, depth: int, done: int, num: int, den: int, tile: int, tile_bytes: int) -> DataFrame:
+        """The links of all pairs that meet at this depth, but not at that of the round before (done)."""
         spark = members.sparkSession
         rows = members.withColumn("prefix", _prefix("label", depth))
-        child = _prefix("label", depth + 1) if depth < DEPTH else F.col("c")
+        child = _prefix("label", done) if done <= DEPTH else F.col("c")
         node = rows.groupBy("tree", "prefix").agg(
             F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"), F.min(child).alias("low"), F.max(child).alias("high"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y")
         )
@@ -406,8 +414,8 @@ class Join:
 
         with arrow_batches(spark):
             # Labels alone tell which classes of a tile have a pair to look at; only their sets travel.
-            wanted = stage(tiles(dealt).mapInArrow(_by_tile(_met, MET, depth, num, den), kinds(MET)), "met")
-            found = stage(tiles(wanted, "s").mapInArrow(_by_tile(_tile, LINKS, depth, num, den), kinds(LINKS)), "links")
+            wanted = stage(tiles(dealt).mapInArrow(_by_tile(_met, MET, depth, done, num, den), kinds(MET)), "met")
+            found = stage(tiles(wanted, "s").mapInArrow(_by_tile(_tile, LINKS, depth, done, num, den), kinds(LINKS)), "links")
         drop(wanted)
         return found
 

@@ -273,6 +273,36 @@ def test_pairs_meet_once():
     assert len(met) == 30 * 29 / 2 and set(met.values()) == {1}
 
 
+def test_pairs_meet_once_over_wider_steps():
+    """Rounds at 8, 5 and 1: all pairs of a round meet once, and those of the rounds before don't again."""
+    rng = np.random.Generator(np.random.PCG64(17))
+    marks = rng.integers(0, 2, (30, neardup.TREES, neardup.DEPTH)).astype(np.uint64)
+    labels = np.zeros((30, neardup.TREES), dtype=np.uint64)
+    for k in range(neardup.DEPTH):
+        labels = (labels << np.uint64(neardup.LEVEL_BITS)) | marks[:, :, k]
+    rows = [(k, 1, x.view(np.int64), b"\0" * 80) for k, x in enumerate(labels)]
+    common = lambda i, j: max(next((d for d in range(neardup.DEPTH) if marks[i, t, d] != marks[j, t, d]), neardup.DEPTH) for t in range(neardup.TREES))
+    done = neardup.DEPTH + 1
+    for depth in (8, 5, 1):
+        met = Counter()
+        for tree in range(neardup.TREES):
+            nodes = defaultdict(list)
+            for r, x in zip(rows, labels, strict=True):
+                nodes[int(x[tree]) >> (neardup.LEVEL_BITS * (neardup.DEPTH - depth))].append(r)
+            for held in nodes.values():
+                side = neardup._Side(held)
+                met.update((int(side.c[i]), int(side.c[j])) for i, j in zip(*np.nonzero(neardup.pairs_that_meet(side, side, tree, depth, 4, 5, done)), strict=True))
+        assert set(met) == {(i, j) for i in range(30) for j in range(i + 1, 30) if depth <= common(i, j) < done} and set(met.values()) <= {1}
+        done = depth
+
+
+def test_recall_that_shorter_prefixes_would_have():
+    bands = [3, 0, 5] + [0] * (neardup.BANDS - 4) + [40]
+    at = [neardup.estimated_recall(bands, 8, 0.8, at=r) for r in (8, 7, 6, 5)]
+    assert at[0] == neardup.estimated_recall(bands, 8, 0.8) and at == sorted(at) and at[-1] > 0.9999
+    assert neardup.estimated_recall([0] * neardup.BANDS, 8, 0.8, at=5) == 0
+
+
 def test_shared_counts_both_ways():
     rng = np.random.Generator(np.random.PCG64(2))
     sets = [np.unique(rng.integers(0, 300, int(n)).astype(np.uint64)) for n in rng.integers(1, 120, 40)]
