@@ -69,19 +69,22 @@ def offscreen_credit(tracks: DataFrame, off: Team, deff: Team, frame_height: flo
 def bucket_signal(tracks: DataFrame, spine: DataFrame, off: Team, deff: Team, credit: DataFrame | None = None, huddle: DataFrame | None = None) -> DataFrame:
     """KEYS, bucket, off, def, deep, huddled for every bucket of the spine: the largest counts of its
     frames, plus credit; a bucket without frames is 0 and false."""
-    top = frame_counts(tracks, off, deff).groupBy(*KEYS, "bucket").agg(*[F.max(c).alias(c) for c in ("off", "def", "deep")])
-    out = spine.join(top, [*KEYS, "bucket"], "left")
+    names = ("off", "def", "deep")
+    none, no = {c: F.lit(0).cast("long") for c in names}, F.lit(False)
+
+    def part(df: DataFrame, seen: dict, more: dict, close: Column) -> DataFrame:
+        return df.select(*KEYS, "bucket", *[seen[c].alias(c) for c in names], *[more[c].alias(f"__{c}") for c in names], close.alias("huddled"))
+
+    # Counts, credit and huddles in one table: one aggregate and one join with the spine.
+    own = {c: F.col(c) for c in names}
+    rows = part(frame_counts(tracks, off, deff), own, none, no)
     if credit is not None:
-        more = credit.select(*KEYS, "bucket", *[F.col(c).alias(f"__{c}") for c in ("off", "def", "deep")])
-        out = out.join(more, [*KEYS, "bucket"], "left")
-    plus = lambda c: F.coalesce(F.col(c), F.lit(0)) + (F.coalesce(F.col(f"__{c}"), F.lit(0)) if credit is not None else 0)
-    out = out.withColumns({c: plus(c) for c in ("off", "def", "deep")})
+        rows = rows.unionByName(part(credit, none, own, no))
     if huddle is not None:
-        flags = huddle.groupBy(*KEYS, "bucket").agg(F.bool_or("huddled").alias("huddled"))
-        out = out.join(flags, [*KEYS, "bucket"], "left").withColumn("huddled", F.coalesce("huddled", F.lit(False)))
-    else:
-        out = out.withColumn("huddled", F.lit(False))
-    return out.select(*KEYS, "bucket", "off", "def", "deep", "huddled")
+        rows = rows.unionByName(part(huddle, none, none, F.col("huddled")))
+    got = rows.groupBy(*KEYS, "bucket").agg(*[(F.max(c) + F.sum(f"__{c}")).alias(c) for c in names], F.bool_or("huddled").alias("huddled"))
+    out = spine.join(got, [*KEYS, "bucket"], "left")
+    return out.select(*KEYS, "bucket", *[F.coalesce(c, F.lit(0)).alias(c) for c in names], F.coalesce("huddled", no).alias("huddled"))
 
 
 def detect(signal: DataFrame, team: str, p: Params = DEFAULTS, duration: DataFrame | None = None) -> DataFrame:

@@ -23,6 +23,27 @@ def test_sessions_and_buckets(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
 
 
+def test_closed_sessions_are_those_of_the_batch(spark, tmp_path):
+    """A later event moves the watermark on: every session before it comes out, as the batch has it, once."""
+    kind = "user_id int, ts string, event_type string"
+    make = lambda rows: spark.createDataFrame(rows, kind).withColumn("ts", F.col("ts").cast("timestamp"))
+    first = make([(1, f"2024-01-01 00:00:{s:04.1f}", "a") for s in (0, 5, 14.5, 30)] + [(2, "2024-01-01 00:00:01.0", "a")])
+    first.coalesce(1).write.parquet(str(tmp_path / "in"))
+    for minute in (20, 40):
+        make([(3, f"2024-01-01 00:{minute}:00.0", "a")]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = live.grace_sessions(stream).writeStream.format("memory").queryName("closed").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    key = lambda r: (r.user_id, str(r.start), str(r.end), r.n)
+    want = sorted(map(key, live.grace_sessions(first).collect()))
+    assert sorted(key(r) for r in spark.table("closed").collect() if r.user_id != 3) == want and len(want) == 3
+    q = live.bucket_counts(stream).writeStream.format("memory").queryName("closed_buckets").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sum(r.n for r in spark.table("closed_buckets").collect()) >= 5
+
+
 def test_tracker_keeps_its_state(spark, tmp_path):
     import random
 
