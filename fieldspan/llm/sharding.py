@@ -38,50 +38,108 @@ def row_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long")
 
 
-def min_cost_flow(supply: list[int], demand: list[int], cost) -> dict[tuple[int, int], int]:
-    """Amounts (i, j) -> bytes that bring every supply to the demands at the least total cost.
-
-    sum(supply) <= sum(demand). Shortest augmenting paths with potentials over the graph of old
-    and new shards; cost(i, j) >= 0."""
-    n, m = len(supply), len(demand)
-    left, room = list(supply), list(demand)
-    flow: dict[tuple[int, int], int] = defaultdict(int)
-    pot = [0.0] * (n + m)
-    price = [[cost(i, j) for j in range(m)] for i in range(n)]
-    while True:
-        far, back = [float("inf")] * (n + m), [-1] * (n + m)
-        heap = [(0.0, i) for i in range(n) if left[i]]
-        if not heap:
-            return {k: v for k, v in flow.items() if v}
-        for _, i in heap:
-            far[i] = 0.0
+def cheapest_flow(excess: list[int], arcs: list[tuple[int, int, float]]) -> dict[tuple[int, int], int]:
+    """Amounts (u, v) on arcs (u, v, cost), cost >= 0, that bring what each node has in excess (above 0)
+    to nodes that have room (below 0) at the least total cost; there must be room for all of it.
+
+    Primal-dual: a search from all nodes with excess gives the cost of the cheapest way to room, and
+    every way of that cost is filled before the next search. So there is about one search for each
+    different cost of a way, however many nodes there are."""
+    left, most = list(excess), sum(e for e in excess if e > 0)
+    out: list[list[int]] = [[] for _ in left]
+    to, price, room = [], [], []
+    for u, v, c in arcs:  # arc k is edge 2 k, and edge 2 k + 1 the way back
+        for x, y, k, r in ((u, v, c, most), (v, u, -c, 0)):
+            out[x].append(len(to))
+            to.append(y)
+            price.append(k)
+            room.append(r)
+    pot = [0.0] * len(left)
+
+    def way(v: int) -> list[int] | None:
+        """Edges without reduced cost from v to room, by depth first search."""
+        path: list[int] = []
+        seen[v] = True
+        while left[v] >= 0:
+            while tried[v] < len(out[v]):
+                e = out[v][tried[v]]
+                if room[e] and not seen[to[e]] and abs(price[e] + pot[v] - pot[to[e]]) < 1e-9:
+                    break
+                tried[v] += 1
+            if tried[v] < len(out[v]):
+                path.append(e)
+                v = to[e]
+                seen[v] = True
+            elif path:
+                v = to[path.pop() ^ 1]
+                tried[v] += 1
+            else:
+                return None
+        for e in path:
+            seen[to[e]] = seen[to[e ^ 1]] = False
+        return path
+
+    while any(e > 0 for e in left):
+        far = [0.0 if e > 0 else float("inf") for e in left]
+        heap = [(0.0, v) for v, e in enumerate(left) if e > 0]
         while heap:
             d, v = heapq.heappop(heap)
             if d > far[v]:
                 continue
-            if v < n:
-                steps = ((n + j, price[v][j]) for j in range(m))
-            else:
-                steps = ((i, -price[i][v - n]) for i in range(n) if flow.get((i, v - n)))
-            for u, c in steps:
-                e = d + max(0.0, c + pot[v] - pot[u])
-                if e < far[u]:
-                    far[u], back[u] = e, v
-                    heapq.heappush(heap, (e, u))
-        end = min((n + j for j in range(m) if room[j]), key=lambda u: far[u])
-        pot = [p + min(d, far[end]) for p, d in zip(pot, far, strict=True)]
-        path, v = [], end
-        while back[v] >= 0:
-            path.append((back[v], v))
-            v = back[v]
-        most = min(left[v], room[end - n], *(flow[w, u - n] for u, w in path if u >= n))
-        for u, w in path:
-            if u < n:
-                flow[u, w - n] += most
-            else:
-                flow[w, u - n] -= most
-        left[v] -= most
-        room[end - n] -= most
+            for e in out[v]:
+                if room[e]:
+                    u, there = to[e], d + max(0.0, price[e] + pot[v] - pot[to[e]])
+                    if there < far[u]:
+                        far[u] = there
+                        heapq.heappush(heap, (there, u))
+        nearest = min((far[v] for v, e in enumerate(left) if e < 0), default=float("inf"))
+        if nearest == float("inf"):
+            raise ValueError("there is no room for all of it")
+        pot = [p + min(d, nearest) for p, d in zip(pot, far, strict=True)]
+        tried, seen = [0] * len(left), [False] * len(left)
+        for s in [v for v, e in enumerate(left) if e > 0]:
+            while left[s] > 0 and (path := way(s)):
+                end = to[path[-1]]
+                n = min(left[s], -left[end], *(room[e] for e in path))
+                for e in path:
+                    room[e] -= n
+                    room[e ^ 1] += n
+                left[s] -= n
+                left[end] += n
+    return {(u, v): room[2 * k + 1] for k, (u, v, _) in enumerate(arcs) if room[2 * k + 1]}
+
+
+def min_cost_flow(supply: list[int], demand: list[int], cost) -> dict[tuple[int, int], int]:
+    """Amounts (i, j) that bring every supply to the demands at the least total cost.
+
+    sum(supply) <= sum(demand); cost(i, j) >= 0."""
+    n = len(supply)
+    flow = cheapest_flow([*supply, *(-d for d in demand)], [(i, n + j, cost(i, j)) for i in range(n) for j in range(len(demand))])
+    return {(i, j - n): v for (i, j), v in flow.items()}
+
+
+def transfers(olds: list[int], supply: list[int], demand: list[int]) -> dict[tuple[int, int], int]:
+    """min_cost_flow() where bytes that stay cost nothing and those that move cost 1 each: (old, new) -> bytes.
+
+    As all moves cost alike they run through one node between, so that there are as many arcs as
+    shards and not as pairs of them. What goes in there and what comes out are matched in order;
+    none of it comes back to where it was, as staying would have cost less."""
+    n, m = len(olds), len(demand)
+    between = n + m
+    arcs = [(i, n + old, 0.0) for i, old in enumerate(olds) if 0 <= old < m]
+    arcs += [(i, between, 1.0) for i in range(n)] + [(between, n + j, 0.0) for j in range(m)]
+    flow = cheapest_flow([*supply, *(-d for d in demand), 0], arcs)
+    out = {(olds[u], v - n): x for (u, v), x in flow.items() if between not in (u, v)}
+    to = iter(sorted((v - n, x) for (u, v), x in flow.items() if u == between))
+    j, room = None, 0
+    for u, x in sorted((u, x) for (u, v), x in flow.items() if v == between):
+        while x:
+            if not room:
+                j, room = next(to)
+            part = min(x, room)
+            out[olds[u], j] = part
+            x, room = x - part, room - part
+    return out
 
 
 def levelled(loads: list[int], amount: int) -> list[int]:
@@ -125,15 +183,15 @@ def plan_bytes(blocks: list[tuple[int, int, int, int]], large: list[tuple[int, i
     supply = [0] * len(olds)
     for b in blocks:
         supply[place[b[0]]] += b[2]
-    flow = min_cost_flow(supply, levelled(load, sum(supply)), lambda i, j: 0.0 if olds[i] == j else 1.0)
+    flow = transfers(olds, supply, levelled(load, sum(supply)))
     pieces: dict[tuple[int, int], list[dict]] = defaultdict(list)
     for k, (old, block, _) in enumerate(large):
         own = pieces[old, block]
         own.append({"from": len(own) + 1, "shard": big[k], "slot": count[big[k]]})
         count[big[k]] += 1
     want: dict[int, list[list[int]]] = defaultdict(list)
-    for (i, j), n in sorted(flow.items()):
-        want[olds[i]].append([j, n])
+    for (old, j), n in sorted(flow.items()):
+        want[old].append([j, n])
     for old in want:
         want[old].sort(key=lambda x: (x[0] != old, x[0]))
     for old, block, size, n in sorted(blocks):

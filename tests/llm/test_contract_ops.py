@@ -65,6 +65,28 @@ def test_flow_goes_back_over_costs():
     assert flow == {(0, 1): 1, (1, 0): 1}
 
 
+def test_transfers_move_as_little_as_the_flow_over_all_pairs():
+    rng = np.random.Generator(np.random.PCG64(2))
+    for _ in range(200):
+        n, m = rng.integers(1, 7, 2)
+        supply, olds = rng.integers(0, 50, n).tolist(), sorted(rng.choice(9, n, replace=False).tolist())
+        room = sharding.levelled([0] * m, sum(supply))
+        moves = sharding.transfers(olds, supply, room)
+        plain = sharding.min_cost_flow(supply, room, lambda i, j: 0.0 if olds[i] == j else 1.0)
+        assert [sum(v for (o, _), v in moves.items() if o == k) for k in olds] == supply
+        assert all(sum(v for (_, j), v in moves.items() if j == k) <= room[k] for k in range(m))
+        assert sum(v for (o, j), v in moves.items() if o != j) == sum(v for (i, j), v in plain.items() if olds[i] != j)
+    supply = rng.integers(1, 10**9, 5000).tolist()
+    room = sharding.levelled([0] * 6000, sum(supply))
+    moves = sharding.transfers(list(range(5000)), supply, room)
+    assert sum(v for (o, j), v in moves.items() if o == j) == sum(map(min, supply, room)) and len(moves) < 3 * 6000
+
+
+def test_flow_without_room():
+    with pytest.raises(ValueError):
+        sharding.min_cost_flow([3], [2], lambda i, j: 1.0)
+
+
 def test_rewrite_touches_changed_shards_only(spark, tmp_path):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"), (F.col("id") % 4).alias("old"))
     got = sharding.reshard(df.filter("not (old = 3 and doc_id < 2000)"), F.col("old"), n_new=4, n_blocks=64)
