@@ -48,7 +48,8 @@ def targets(sizes: list[int], weights: list[float], cap: float = CAP) -> list[fl
         for i in over:
             out[i] = float(cap * sizes[i])
         left -= sum(out[i] for i in over)
-        active = [i for i in active if i not in set(over)]
+        stopped = set(over)
+        active = [i for i in active if i not in stopped]
     return out
 
 
@@ -65,14 +66,12 @@ def shard_counts(slots: list[int], n_shards: int, seed: int) -> np.ndarray:
     counts = np.array([rng.multinomial(n, p) for n in length], dtype=np.int64)
     over = counts.sum(axis=0) - np.array(slots)
     for k in rng.permutation(n_shards).tolist() * 2:
-        for a in np.flatnonzero(over > 0):
-            for b in np.flatnonzero(over < 0):
-                n = min(int(counts[k, a]), int(over[a]), int(-over[b]))
-                if n > 0:
-                    counts[k, a] -= n
-                    counts[k, b] += n
-                    over[a] -= n
-                    over[b] += n
+        give, take = np.minimum(counts[k], np.maximum(over, 0)), np.maximum(-over, 0)
+        n = min(give.sum(), take.sum())
+        # The first ones in order give and take until n are handed over.
+        change = sum(sign * np.clip(n - (x.cumsum() - x), 0, x) for sign, x in ((1, take), (-1, give)))
+        counts[k] += change
+        over += change
     return counts
 
 

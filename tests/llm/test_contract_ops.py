@@ -382,6 +382,11 @@ def test_permutation_is_one(spark):
 def test_shard_counts():
     c = mixing.shard_counts([500, 30, 1], 8, 3)
     assert c.sum(axis=0).tolist() == [500, 30, 1] and set(c.sum(axis=1)) <= {66, 67}
+    rng = np.random.Generator(np.random.PCG64(3))
+    for n in (1, 7, 10_000):  # as many sources as there may be
+        slots = rng.integers(0, 500, n).tolist()
+        c = mixing.shard_counts(slots, 64, 3)
+        assert (c >= 0).all() and c.sum(axis=0).tolist() == slots and np.ptp(c.sum(axis=1)) <= 1
 
 
 def test_mix(spark, data, docs):
