@@ -9,9 +9,10 @@ compared, not hashes, and each shared window has a fingerprint, the hits are exa
 Items shorter than a window are one window of their own; their longest word is the fingerprint.
 
 DataFrame operations only. Fingerprints of the benchmark are broadcast if it has at most
-BROADCAST_WORDS words (counted first), and joined by a shuffle beyond. Items that are shorter than a
-window are counted apart: any word of a document may be their fingerprint, and while they are few
-only the others' fingerprints, a fraction of the words, are shuffled.
+BROADCAST_WORDS words (counted first), and joined by a shuffle beyond: of documents' fingerprints
+alone, without words, which only those take along that the benchmark has as well. Items that are
+shorter than a window are counted apart: any word of a document may be their fingerprint, and while
+they are few only the others' fingerprints, a fraction of the words, are shuffled.
 
 Defined cases: a null text has no words; an item without words has no window; a null item_id
 marks words but is not listed; documents alike in id and text are repeated in the result as
@@ -85,35 +86,51 @@ def find(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     of = tall.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words"), F.coalesce(F.sum(F.when(F.col("n") < WINDOW, F.col("n"))), F.lit(0)).alias("short")).first()
     index = benchmark_index(benchmark, item_id, item_text)
 
-    docs = documents.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__hash"), item_words(F.col(text_col)).alias("__w"))
-    docs = with_fingerprints(docs, "__w")
+    texts = documents.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__hash"), item_words(F.col(text_col)).alias("__w"))
+    docs = with_fingerprints(texts, "__w")
     # explode_outer, as the filter that Spark infers from explode would repeat the expressions above
     # for every place. Places of fingerprints; -1 stands for the document itself, -2 and below for single words.
     long = F.concat(F.array(F.lit(-1)), F.col("__kept"))
     single = F.when(F.size("__w") > 0, F.sequence(F.lit(-2), -1 - F.size("__w"), F.lit(-1))).otherwise(F.array().cast("array<int>"))
 
-    def meet(places: Column, index: DataFrame, small: bool) -> DataFrame:
-        """Places of documents with the fingerprints they meet: text (all words, or those about the place)
-        and p, the place in it."""
+    def with_keys(places: Column) -> DataFrame:
+        """A row for each of these places: __x, its fingerprint __key, and __p, the place in the text."""
         rows = docs.withColumn("__n", F.size("__w")).withColumn("__places", places).select("__id", "__hash", "__w", "__grams", "__n", F.explode_outer("__places").alias("__x"))
         word = -2 - F.col("__x")
         key = F.when(F.col("__x") <= -2, _short(F.get("__w", word))).otherwise(F.get("__grams", F.col("__x")))
         place = F.when(F.col("__x") <= -2, word).otherwise(F.col("__x"))
-        rows = rows.withColumn("__key", key).withColumn("__p", place).drop("__grams")
-        if small:
-            rows, index = rows.withColumn("__at", F.col("__p")), F.broadcast(index)
-        else:  # rows are shuffled: they take only the words about them along
-            low = F.greatest(F.col("__p") - WINDOW, F.lit(0))
-            rows = rows.withColumns({"__w": F.when(F.col("__p") >= 0, F.slice("__w", low + 1, F.lit(3 * WINDOW))), "__at": F.col("__p") - low})
+        return rows.withColumn("__key", key).withColumn("__p", place).drop("__grams")
+
+    def at_hand(places: Column, index: DataFrame) -> DataFrame:
+        """Places of documents with the fingerprints they meet, by broadcast; __w: all words, __at: the
+        place in them."""
+        rows = with_keys(places).withColumn("__at", F.col("__p"))
         # -1 has no key; it passes the outer join unmatched.
-        return rows.join(index, F.col("__key") == F.col("hash"), "left").filter((F.col("__x") == -1) | F.col("hash").isNotNull())
+        return rows.join(F.broadcast(index), F.col("__key") == F.col("hash"), "left").filter((F.col("__x") == -1) | F.col("hash").isNotNull())
+
+    def shuffled(places: Column, index: DataFrame) -> DataFrame:
+        """As at_hand(), by a shuffle of fingerprints without words; those that are in the index then
+        take the words about them along (__w, with __at the place in these)."""
+        # Joined by another key than it was grouped by, so that a frequent fingerprint's rows can be split over tasks.
+        known = index.select("hash").distinct().select(F.bitwise_not("hash").alias("__known"))
+        slim = with_keys(places).select("__id", "__hash", "__x", "__p", "__key")
+        slim = slim.join(known, F.bitwise_not("__key") == F.col("__known"), "left_semi")
+        per = slim.groupBy("__id", "__hash").agg(F.collect_set(F.struct("__x", "__p", "__key")).alias("__hits")).withColumnsRenamed({"__id": "__own", "__hash": "__own_hash"})
+        own = texts.join(per, F.col("__id").eqNullSafe(F.col("__own")) & F.col("__hash").eqNullSafe(F.col("__own_hash")))
+        rows = own.select("__id", "__hash", "__w", F.size("__w").alias("__n"), F.explode_outer("__hits").alias("__hit")).select("__id", "__hash", "__n", "__w", "__hit.*")
+        low = F.greatest(F.col("__p") - WINDOW, F.lit(0))
+        rows = rows.withColumns({"__w": F.slice("__w", low + 1, F.lit(3 * WINDOW)), "__at": F.col("__p") - low})
+        return rows.join(index, F.col("__key") == F.col("hash"))
 
     if of["words"] <= BROADCAST_WORDS:
-        met = meet(F.concat(long, single) if of["short"] else long, index, True)
+        met = at_hand(F.concat(long, single) if of["short"] else long, index)
     else:
-        met = meet(long, index.filter("whole = 0"), False)
+        # Each document's own row needs no join.
+        met = texts.select("__id", "__hash", F.size("__w").alias("__n"), F.lit(-1).alias("__x"))
+        met = met.unionByName(shuffled(F.col("__kept"), index.filter("whole = 0")), allowMissingColumns=True)
         if of["short"]:
-            met = met.unionByName(meet(single, index.filter("whole > 0"), of["short"] <= BROADCAST_WORDS))
+            way = at_hand if of["short"] <= BROADCAST_WORDS else shuffled
+            met = met.unionByName(way(single, index.filter("whole > 0")), allowMissingColumns=True)
     text, p = F.col("__w"), F.col("__at")
 
     same = lambda d: F.coalesce(F.get(text, p + d) == F.get("near", F.col("at") + d), F.lit(False))

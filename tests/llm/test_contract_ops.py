@@ -172,6 +172,20 @@ def test_decontamination_with_many_items_of_which_few_are_short(spark):
     assert got == sorted((k, *plain_hits(t, items)) for k, t in [*docs, docs[3]]) and any(r[2] for r in got)
 
 
+def test_decontamination_is_the_same_by_broadcast_and_by_shuffle(spark, data, messy):
+    """The whole tables, and rows with null ids and texts and rows alike."""
+    d, b = (spark.read.parquet(f"{data}/{x}.parquet") for x in ("documents", "benchmark"))
+    rows = lambda d, b: sorted(map(str, map(tuple, decontaminate.report(d, b).collect())))
+    some = spark.createDataFrame([(1, "cat sat on"), (2, None), (None, "on the mat"), (3, " ".join(["and a long item"] * 5))], "item_id int, text string")
+    messy = messy.unionByName(messy).select("doc_id", "text").unionByName(spark.createDataFrame([(None, " ".join(["and a long item"] * 4))], "doc_id int, text string"))
+    want = rows(d, b), rows(messy, some)
+    before, decontaminate.BROADCAST_WORDS = decontaminate.BROADCAST_WORDS, 0
+    try:
+        assert (rows(d, b), rows(messy, some)) == want
+    finally:
+        decontaminate.BROADCAST_WORDS = before
+
+
 def test_decontamination_messy(spark, messy):
     b = spark.createDataFrame([(1, "cat sat on"), (2, None), (None, "on the mat")], "item_id int, text string")
     got = decontaminate.report(messy, b).collect()
