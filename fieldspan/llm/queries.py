@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licence, linededup, mixing, neardup, pii, quality, sharding, tokencount, warc
+from . import decontaminate, fim, licence, linededup, mixing, neardup, pii, quality, sharding, tokenalign, tokencount, warc
 from .common import new_path
 
 
@@ -61,6 +61,14 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_read(spark, sf_dir, "documents"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.report(_read(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenalign.report(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_reshard": op1_reshard,
@@ -73,6 +81,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_personal_data": op9_personal_data,
         "op10_mix": op10_mix,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
@@ -81,4 +91,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_decontaminate": decontaminate.oracle(),
         "op4_warc": warc.oracle(),
         "op5_quality": quality.oracle(),
+        "op12_fill_in_middle": fim.oracle(),
     }
