@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fim, licence, linededup, mixing, neardup, pii, quality, sharding, tokenalign, tokencount, warc
+from . import ann, decontaminate, fim, licence, linededup, mixing, neardup, pii, quality, sharding, tokenalign, tokencount, warc
 from .common import new_path
 
 
@@ -61,6 +61,10 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_read(spark, sf_dir, "documents"))
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.report(_read(spark, sf_dir, "embeddings"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.report(_read(spark, sf_dir, "documents"))
 
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_personal_data": op9_personal_data,
         "op10_mix": op10_mix,
+        "op11_nearest": op11_nearest,
         "op12_fill_in_middle": op12_fill_in_middle,
         "op13_token_alignment": op13_token_alignment,
     }

@@ -130,3 +130,87 @@ def test_alignment_messy(spark, messy):
     rows = got.collect()
     assert len(rows) == 11 and all(r.groups_sha256 == "" for r in rows if r.n_a == 0) and sum(r.n_a == 0 for r in rows) == 3
     assert tokenalign.report(messy.limit(0)).count() == 0
+
+
+# --- 11 ---------------------------------------------------------------------------------------
+def plain_nearest(rows, every=20, k=20):
+    """rows: distinct (id, vector as a tuple of doubles)."""
+    import numpy as np
+
+    own = {(i, v) for i, v in rows if v is not None and v and None not in v and np.isfinite(v).all() and any(v)}
+    sizes = Counter(len(v) for _, v in own)
+    size = max(sizes, key=lambda n: (sizes[n], n)) if sizes else 0
+    own = [r for r in own if len(r[1]) == size]
+    x = np.array([v for _, v in own])
+    out = []
+    for at, (i, v) in enumerate(own):
+        if i is not None and i % every == 0:
+            s = (x * np.array(v)).sum(axis=1)
+            best = sorted((-s[j], own[j][0] is None, own[j][0] or 0, j) for j in range(len(own)) if j != at)[:k]
+            out += [(i, r + 1, own[j][0], float(-neg)) for r, (neg, _, _, j) in enumerate(best)]
+    return out
+
+
+def vector_rows(seed=9):
+    import numpy as np
+
+    rng = np.random.Generator(np.random.PCG64(seed))
+    few = rng.integers(-1, 2, (500, 8)).astype(float)  # many equal scores, repeated vectors, zeros
+    rows = [(k, tuple(v)) for k, v in enumerate(few.tolist())]
+    rows += [(1000 + k, (1.0,) * 8) for k in range(90)] + [(20, (1.0,) * 8), (20, (1.0,) * 8), (None, (1.0,) * 8), (None, (2.0,) * 8)]
+    rows += [(2000, None), (2020, ()), (2040, (0.0,) * 8), (2060, (float("nan"),) * 8), (2080, (1.0, None) * 4), (2100, (float("inf"),) * 8), (2120, (1.0,) * 7), (2140, (-0.0, 0.5) * 4)]
+    return rows
+
+
+@pytest.mark.parametrize("tiles", [(4096, 1024), (16, 4)])
+def test_nearest_of_all_parts_is_exact(spark, monkeypatch, tiles):
+    from pyspark.sql import functions as F
+
+    from fieldspan.llm import ann
+
+    monkeypatch.setattr(ann, "TILE", tiles[0])
+    monkeypatch.setattr(ann, "QUERY_TILE", tiles[1])
+    rows = vector_rows()
+    df = spark.createDataFrame(rows * 2, "vec_id bigint, embedding array<double>").withColumns({"v": F.lit("x"), "part": F.lit(1), "id": F.lit(None).cast("int"), "__v": F.lit(2)})
+    got = ann.search(df, lambda c: F.pmod(c, F.lit(20)) == 0, parts=6, probes=6).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, plain_nearest(rows)))
+
+
+def test_few_rows_and_few_probes_still_fill_the_list(spark):
+    from pyspark.sql import functions as F
+
+    from fieldspan.llm import ann
+
+    rows = vector_rows()
+    some = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = ann.search(some, lambda c: F.pmod(c, F.lit(20)) == 0, parts=40, probes=1).groupBy("query_id").count().collect()
+    assert all(r["count"] >= 20 for r in got)
+    rows = [(0, [1.0, 2.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])]
+    got = ann.report(spark.createDataFrame(rows, "vec_id int, embedding array<double>")).collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, 1.5), (0, 2, 2, -1.0)]
+    assert ann.report(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+    assert ann.report(spark.createDataFrame([(20, None), (40, [0.0])], "vec_id bigint, embedding array<float>")).count() == 0
+
+
+def test_recall_is_measured_and_held(spark):
+    """Clusters of clusters: a few of the parts hold nearly all neighbours."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from fieldspan.llm import ann
+
+    rng = np.random.Generator(np.random.PCG64(3))
+    at = rng.normal(size=(12, 24))[rng.integers(0, 12, 6000)] + 0.35 * rng.normal(size=(200, 24))[rng.integers(0, 200, 6000)] + 0.1 * rng.normal(size=(6000, 24))
+    x = at / np.linalg.norm(at, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
+    got = ann.search(df, lambda c: F.pmod(c, F.lit(20)) == 0, parts=12).collect()
+    s = x[::20] @ x.T
+    s[np.arange(300), np.arange(0, 6000, 20)] = -9
+    true = {(20 * i, int(j)) for i, r in enumerate(np.argsort(-s, axis=1)[:, :20]) for j in r}
+    assert len(true & {(r.query_id, r.vec_id) for r in got}) >= 0.93 * len(true)
+    model = ann.fit(x[:3000], 12)
+    counts = np.bincount(ann.scores(model, x).argmax(axis=1), minlength=12)
+    assert counts.min() > 0 and counts.max() < 2.5 * 500
+    near = ann.neighbours(x[:3000], 16)
+    label = ann.balanced_parts(x[:3000], near, 12)
+    assert np.ptp(np.bincount(label)) <= 12 and (label[near] == label[:, None]).mean() > 0.7
