@@ -216,7 +216,25 @@ def track_summary(spark, d):
     return tracking.summary(A.tracks(spark, d), K)
 
 
-@query()
+#: One step of the recursion for each frame: pairs within reach, the closest first, folded into those that are joined.
+TRACKER_SQL = f"""WITH RECURSIVE {TRK_SQL},
+fr AS (SELECT quarter, frame, row_number() OVER (PARTITION BY quarter ORDER BY frame) AS i, list({{'r': r, 'ix': ix, 'team': team, 'x': cx, 'y': cy}} ORDER BY r) AS dets
+  FROM (SELECT quarter, frame, track_id AS ix, team, cx, cy, row_number() OVER (PARTITION BY quarter, frame ORDER BY track_id) AS r FROM trk) GROUP BY quarter, frame),
+walk(quarter, i, n, live, ids) AS (
+  SELECT DISTINCT quarter, 0::BIGINT, 0::BIGINT, []::STRUCT(id BIGINT, team VARCHAR, x BIGINT, y BIGINT, seen BIGINT)[], []::BIGINT[] FROM fr
+  UNION ALL
+  SELECT quarter, i, n + len(list_filter(ids, lambda k: k > n)), list_concat(list_filter(kept, lambda t: NOT list_contains(ids, t.id)), list_transform(dets, lambda d: {{'id': ids[d.r], 'team': d.team, 'x': d.x, 'y': d.y, 'seen': frame}})), ids
+  FROM (SELECT *, list_transform(dets, lambda d: coalesce(picked.k[list_position(picked.r, d.r)], n + len(list_filter(dets, lambda o: o.r <= d.r AND NOT list_contains(picked.r, o.r))))) AS ids
+    FROM (SELECT *, coalesce(list_reduce(list_transform(pairs, lambda q: {{'r': [q.r], 'k': [q.k]}}), lambda a, b: CASE WHEN list_contains(a.r, b.r[1]) OR list_contains(a.k, b.k[1]) THEN a ELSE {{'r': list_concat(a.r, b.r), 'k': list_concat(a.k, b.k)}} END), {{'r': []::BIGINT[], 'k': []::BIGINT[]}}) AS picked
+      FROM (SELECT *, CASE WHEN len(within) = 0 THEN NULL ELSE list_sort(within) END AS pairs
+        FROM (SELECT *, flatten(list_transform(dets, lambda d: list_transform(list_filter(kept, lambda t: t.team = d.team AND sqrt((d.x - t.x) * (d.x - t.x) + (d.y - t.y) * (d.y - t.y)) <= least((12.0 * (frame - t.seen) + 40.0) * (2000.0 / 3840.0), 500.0 * (2000.0 / 3840.0))),
+            lambda t: {{'far': sqrt((d.x - t.x) * (d.x - t.x) + (d.y - t.y) * (d.y - t.y)), 'r': d.r, 'k': t.id}}))) AS within
+          FROM (SELECT w.quarter, fr.i, w.n, fr.frame, fr.dets, list_filter(w.live, lambda t: fr.frame - t.seen <= 90) AS kept FROM walk w JOIN fr ON fr.quarter = w.quarter AND fr.i = w.i + 1))))))
+SELECT quarter, frame, unnest(list_transform(dets, lambda d: d.ix)) AS det_ix, unnest(list_transform(dets, lambda d: d.team)) AS team, unnest(list_transform(dets, lambda d: d.x)) AS cx, unnest(list_transform(dets, lambda d: d.y)) AS cy, unnest(ids) AS track_id
+FROM walk JOIN fr USING (quarter, i)"""
+
+
+@query(TRACKER_SQL)
 def tracker_assign(spark, d):
     dets = A.tracks(spark, d).drop("track_id").select("quarter", "frame", "det_ix", "team", "cx", "cy")
     return tracking.track(dets, K, ["A", "B", "Goalie"], 2000.0, P)

@@ -3,6 +3,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from fieldspan.functions import clock, spatial
@@ -130,8 +131,10 @@ def test_tracker_reach_and_retirement(spark):
 
 def plain_tracks(dets, p=Params()):
     live, out, n = {}, {}, 0
-    for f in sorted({d[0] for d in dets}):
-        now = [d for d in dets if d[0] == f]
+    frames = {}
+    for d in dets:
+        frames.setdefault(d[0], []).append(d)
+    for f, now in sorted(frames.items()):
         live = {k: v for k, v in live.items() if f - v[3] <= p.track_max_gap}
         pairs = sorted((math.hypot(d[3] - x, d[4] - y), i, k) for i, d in enumerate(now) for k, (team, x, y, seen) in live.items() if team == d[2] and math.hypot(d[3] - x, d[4] - y) <= min(12 * (f - seen) + 40, 500))
         took, used = {}, set()
@@ -148,7 +151,8 @@ def plain_tracks(dets, p=Params()):
     return out
 
 
-def test_tracker_in_segments_is_the_whole(spark):
+@pytest.mark.parametrize("cut", [{}, {"chunk": 91, "warm_up": 0}, {"chunk": 120, "warm_up": 40}, {"chunk": 300, "warm_up": 270}])
+def test_tracker_in_chunks_is_the_whole(spark, cut):
     rng = random.Random(5)
     data, want = [], {}
     for k in range(12):
@@ -159,10 +163,31 @@ def test_tracker_in_segments_is_the_whole(spark):
         data += [(k, *d) for d in dets]
         want |= {(k, *key): v for key, v in plain_tracks(dets).items()}
     df = spark.createDataFrame(data, "k int, frame int, det_ix int, team string, cx int, cy int")
-    got = {(r.k, r.frame, r.det_ix): r.track_id for r in tracking.track(df, ["k"], ["A", "B"]).collect()}
+    got = {(r.k, r.frame, r.det_ix): r.track_id for r in tracking.track(df, ["k"], ["A", "B"], **cut).collect()}
     assert got == want
 
 
+def test_tracker_over_one_long_stretch(spark):
+    """A hundred thousand frames without a pause, in 34 chunks: players move, cross, are missed now and then, and leave for a while."""
+    rng = random.Random(6)
+    at = [(t, rng.uniform(0, 3800), rng.uniform(0, 2100)) for t in "AAAAABBBBB"]
+    dets = []
+    for f in range(0, 100_000, 3):
+        at = [(t, min(3800, max(0, x + rng.gauss(0, 9))), min(2100, max(0, y + rng.gauss(0, 9)))) for t, x, y in at]
+        dets += [(f, i, t, int(x), int(y)) for i, (t, x, y) in enumerate(at) if rng.random() > 0.08 and ((f // 900 + i) % 7 or f % 900 > 120)]
+    want = plain_tracks(dets)
+    df = spark.createDataFrame([("k", *d) for d in dets], "k string, frame int, det_ix int, team string, cx int, cy int").repartition(8)
+    got = tracking.track(df, ["k"], ["A", "B"]).collect()
+    assert {(r.frame, r.det_ix): r.track_id for r in got} == want and max(want.values()) > 10
+
+
+def test_tracker_on_nothing(spark):
+    df = spark.createDataFrame([], "k string, frame int, det_ix int, team string, cx int, cy int")
+    assert tracking.track(df, ["k"], ["A"]).count() == 0
+    df = spark.createDataFrame([("k", 5, 0, "Unknown", 1, 1), ("k", 3005, 0, None, 1, 1)], df.schema)
+    assert [r.track_id for r in tracking.track(df, ["k"], ["A"]).collect()] == [None, None]
+
+
 def test_zones(spark):
     cal = spatial.Calibration(1000.0, 600.0, 200.0, ((900.0, 1000.0), (1100.0, 1000.0), (800.0, 700.0), (1200.0, 700.0)))
     points = {(1000, 1001): "Behind Net", (1000, 800): "Key", (1000, 650): "Key", (1000, 630): "Net-to-8", (600, 800): "Net-to-8", (1000, 599): "Perimeter", (1000, 199): "Beyond 30"}
