@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +32,12 @@ def steps(spark: SparkSession, folder: str, game: str, p: Params = DEFAULTS) ->
     and goalie_team_....json (readings of who defends), the log and, if there is one,
     possession_results.json. On the driver are the configuration and a calibration for each camera."""
     config = tables.read_config(spark, f"{folder}/game_config.json")
-    names = config.select("team_a", "team_b", "team_aliases", "playbyplay_txt", F.expr("transform(cameras, c -> c.label)").alias("cameras")).first()
+    names = config.select("team_a", "team_b", "team_aliases", "playbyplay_txt", "fps", "period_length_sec", F.expr("transform(cameras, c -> c.label)").alias("cameras")).first()
     a, b, cameras = names["team_a"], names["team_b"], names["cameras"]
     aliases = names["team_aliases"] or {}
+    # Seconds and frames are turned into each other as the game has them. What is given in frames (the
+    # stride, the gaps of tracks) stays in frames.
+    p = replace(p, fps=float(names["fps"]), period_sec=float(names["period_length_sec"]))
     cal = calibrations(spark, folder, cameras)
     quarters = tables.quarters(config).withColumn("game", F.lit(game))
     lines = spark.createDataFrame([(game, c, x.yard8_y, x.yard30_y, x.frame_height) for c, x in cal.items()], "game string, camera string, yard8_y double, yard30_y double, frame_height int")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import intervals
+from . import frames as frame_files
 
 DETECTION = "l int, t int, r int, b int, cx int, cy int, team string, zone string, track_id int, interpolated boolean"
 POSSESSION = "quarter int, team string, camera string, start_sec double, end_sec double, duration_sec double, end_reason string, boundary_source string"
@@ -32,7 +33,14 @@ def label(path: Column) -> Column:
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """label, frame, det_ix and the detection's fields; a frame without detections is one row of nulls.
 
-    A file is one object, frame number to list of detections: it is parsed as a map and exploded."""
+    A file is one object, frame number to list of detections. Its byte ranges are read side by side; where only
+    Spark's readers reach the files, each is parsed as a map and exploded."""
+    split = frame_files.read_frames(spark, path)
+    return whole_frames(spark, path) if split is None else split
+
+
+def whole_frames(spark: SparkSession, path: str) -> DataFrame:
+    """read_frames() with a file as one row."""
     kind = DETECTION.replace(" ", ":").replace(",:", ",")
     raw = spark.read.text(path, wholetext=True).select(label(F.col("_metadata.file_path")).alias("label"), F.from_json("value", f"map<string,array<struct<{kind}>>>").alias("m"))
     each = raw.select("label", F.explode("m").alias("frame", "d")).select("label", F.col("frame").cast("int").alias("frame"), F.posexplode_outer("d").alias("det_ix", "d"))
