@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import spatial
 from ..params import DEFAULTS, GOALIE, NEAR_NET_ZONES, Params
 from . import intervals, sequence
+from .possessions import QUARTER_BIN
 
 for _name in (__name__, Params.__module__):  # executors need no copy of the package
     cloudpickle.register_pickle_by_value(sys.modules[_name])
@@ -35,7 +36,7 @@ def timeline(signals: DataFrame, quarters: DataFrame, p: Params = DEFAULTS) -> D
     hold a frame the first counts. A bucket is a whole number of frames."""
     step = int(p.fps * p.bucket_sec)
     own = quarters.select("game", "camera", "quarter", "first_frame", "last_frame")
-    met = signals.join(own, ["game", "camera"]).filter(F.col("frame").between(F.col("first_frame"), F.col("last_frame")))
+    met = intervals.binned_join(signals, own, ["game", "camera"], "frame", "first_frame", "last_frame", QUARTER_BIN)
     first = met.groupBy("game", "camera", "frame").agg(F.min(F.struct("quarter", "first_frame")).alias("q"), F.first(F.struct("near", "huddled")).alias("v"))
     first = first.select("game", "camera", "q.quarter", (F.col("frame") - F.col("q.first_frame")).alias("t"), "v")
     grid = sequence.resample_nearest(first, ["game", "camera", "quarter"], "t", "v", step)

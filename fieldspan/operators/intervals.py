@@ -98,17 +98,18 @@ def merges(old: DataFrame, new: DataFrame, keys: list[str], width: float = 600.0
     return got.filter("n_old >= 2")
 
 
-def split_blocks(blocks: DataFrame, hidden: DataFrame, keys: list[str], long_sec: float, buffer_sec: float, carry: Sequence[str] = ()) -> DataFrame:
+def split_blocks(blocks: DataFrame, hidden: DataFrame, keys: list[str], long_sec: float, buffer_sec: float, carry: Sequence[str] = (), width: float = 600.0) -> DataFrame:
     """Cut long blocks where windows of the other team lie within them.
 
     blocks: keys, carry, team, other, start_sec, end_sec; hidden: keys, team, start_sec, end_sec. A block
     above long_sec that holds windows of its other team (to within buffer_sec) becomes its own
     remainders and those windows, cut to the block; every other block stays. Pieces have the columns
-    of carry (a camera) from their block."""
+    of carry (a camera) from their block. Blocks and windows meet over bins of a width."""
     b = blocks.withColumn("__long", F.col("end_sec") - F.col("start_sec") > long_sec)
     h = hidden.select(*keys, F.col("team").alias("other"), F.col("start_sec").alias("__hs"), F.col("end_sec").alias("__he"))
-    inside = (F.col("__hs") >= F.col("start_sec") - buffer_sec) & (F.col("__he") <= F.col("end_sec") + buffer_sec)
-    met = b.filter("__long").join(h, [*keys, "other"]).filter(inside)
+    low, high = F.col("start_sec") - buffer_sec, F.col("end_sec") + buffer_sec
+    spans = b.filter("__long").withColumns({"__low": low, "__high": high})
+    met = binned_join(h, spans, [*keys, "other"], "__hs", "__low", "__high", width).filter("__he <= __high").drop("__low", "__high")
     met = met.withColumns({"__s": F.greatest("__hs", "start_sec"), "__e": F.least("__he", "end_sec")})
     kept = [*keys, *carry]
     own = [*kept, "team", "other", "start_sec", "end_sec"]

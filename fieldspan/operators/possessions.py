@@ -11,14 +11,17 @@ from ..params import BEHIND_NET, DEEP_ZONES, DEFAULTS, GOALIE, PLAY_ZONES, Param
 from . import intervals, sequence
 
 KEYS = ["game", "camera", "quarter"]
+#: Frames of a bin in which frames and quarters meet.
+QUARTER_BIN = 3000
 Team = str | Column  # a name, or a column that has it for each row
 
 
 def in_buckets(frames: DataFrame, quarters: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """frames (game, camera, frame, ...) with quarter and bucket, the number of bucket_sec steps since the
-    quarter began. quarters: KEYS, first_frame, last_frame; a frame in two of them counts in both."""
+    quarter began. quarters: KEYS, first_frame, last_frame; a frame in two of them counts in both. Frames and
+    quarters meet over bins, so that a camera's many quarters make no pairs with all of its frames."""
     own = quarters.select(*KEYS, F.col("first_frame").alias("__first"), F.col("last_frame").alias("__last"))
-    met = frames.join(own, ["game", "camera"]).filter(F.col("frame").between(F.col("__first"), F.col("__last")))
+    met = intervals.binned_join(frames, own, ["game", "camera"], "frame", "__first", "__last", QUARTER_BIN)
     return met.withColumn("bucket", F.floor((F.col("frame") - F.col("__first")) / p.fps / p.bucket_sec)).drop("__first", "__last")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources import workbook
 from . import sequence
 
 UNTAGGED = "Untagged"
@@ -99,3 +100,10 @@ def write_sheets(rows: DataFrame, path: str) -> list[str]:
     for name, table in sheets(rows).items():
         table.write.mode("overwrite").option("header", True).csv(f"{path}/{name.lower().replace(' ', '_')}")
     return [f"{path}/{name.lower().replace(' ', '_')}" for name in SHEETS]
+
+
+def write_workbook(rows: DataFrame, path: str) -> None:
+    """Write the sheets as one workbook; Result Breakdown stands below Game Averages."""
+    made = sheets(rows)
+    below = {"Game Averages": ["Result Breakdown"]}
+    workbook.write({name: [made[x] for x in (name, *below.get(name, []))] for name in SHEETS}, path, label="Team")

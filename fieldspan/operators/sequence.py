@@ -23,11 +23,13 @@ def islands(df: DataFrame, keys: list[str], pos: str, max_gap: int = 0) -> DataF
     return marked.groupBy(*keys, "__island").agg(F.min("__p").alias("start"), (F.max("__p") + 1).alias("end"), F.count(F.lit(1)).alias("n")).drop("__island")
 
 
-def sustained(segments: DataFrame, strict: DataFrame, keys: list[str], pos: str, least: int) -> DataFrame:
-    """The segments that hold so many consecutive positions of strict."""
-    runs = islands(strict, keys, pos).select(*keys, F.col("start").alias("__s"), F.col("end").alias("__e"))
+def sustained(segments: DataFrame, strict: DataFrame, keys: list[str], pos: str, least: int, width: int = 512) -> DataFrame:
+    """The segments that hold so many consecutive positions of strict. Segments and runs are dealt over bins of
+    a width; as neither overlap among themselves, there are no more pairs than segments, runs and bins."""
+    bins = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / width), F.floor((F.col(e) - 1) / width)))
+    runs = islands(strict, keys, pos).filter(F.col("n") >= least).select(*keys, F.col("start").alias("__s"), F.col("end").alias("__e")).withColumn("__bin", bins("__s", "__e"))
     within = F.least("__e", "end") - F.greatest("__s", "start") >= least
-    return segments.join(runs, keys).filter(within).select(*segments.columns).distinct()
+    return segments.withColumn("__bin", bins("start", "end")).join(runs, [*keys, "__bin"]).filter(within).select(*segments.columns).distinct()
 
 
 def runs(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import clock, spatial
 from ..operators import align, formations, pbp, possessions, reconcile, report, sequence, tracking
 from ..params import DEFAULTS, GOALIE, Params
-from ..sources import tables
+from ..sources import frames, tables
 from . import analysis, pipeline
 from .pipeline import Step
 
@@ -44,7 +44,7 @@ def steps(spark: SparkSession, folder: str, game: str, p: Params = DEFAULTS) ->
     named = lambda df: df.withColumn("team", clock.normalised(F.col("team"), aliases))
     by_camera = lambda df, f: _union([f(df.filter(F.col("camera") == c), cal[c]) for c in cameras])
 
-    def frames(_spark, _inputs) -> DataFrame:
+    def read(_spark, _inputs) -> DataFrame:
         got = tables.read_frames(spark, f"{folder}/*.detections.json")
         return got.withColumnRenamed("label", "camera").withColumn("game", F.lit(game)).select(*GAME_COLUMNS)
 
@@ -93,7 +93,7 @@ def steps(spark: SparkSession, folder: str, game: str, p: Params = DEFAULTS) ->
         return got.withColumns({"result": F.coalesce("result", F.lit(report.UNTAGGED)), "formation": text("off_formation"), "def_formation": text("def_formation"), "cuts_in": F.coalesce("n_cuts_in", F.lit(0)), "cuts_out": F.coalesce("n_cuts_out", F.lit(0))})
 
     made: list[tuple[str, Callable, list[str]]] = [
-        ("frames", frames, []),
+        ("frames", read, []),
         ("tracked", tracked, ["frames"]),
         ("filled", filled, ["tracked"]),
         ("zoned", zoned, ["filled"]),
@@ -123,7 +123,14 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def run(spark: SparkSession, folder: str, game: str, out: str, p: Params = DEFAULTS, force: bool = False) -> dict[str, str]:
-    """Run the chain into out, a folder of Parquet tables, and write the sheets to out/sheets."""
+    """Run the chain into out, a folder of Parquet tables. out/sheets has the sheets as CSV, out/game_report.xlsx the
+    workbook, where Python can write to out's file system, and out/checks how detected and recorded possessions agree."""
     told = pipeline.run(spark, steps(spark, folder, game, p), out, force)
-    report.write_sheets(spark.read.parquet(f"{out}/report"), f"{out}/sheets")
+    rows = spark.read.parquet(f"{out}/report")
+    report.write_sheets(rows, f"{out}/sheets")
+    if "://" not in out or out.split("://")[0] in frames.OPENED:
+        report.write_workbook(rows, f"{out}/game_report.xlsx")
+    official = spark.read.parquet(f"{out}/official")
+    for name, table in analysis.checks(spark.read.parquet(f"{out}/final"), official, p).items():
+        table.write.mode("overwrite").parquet(f"{out}/checks/{name}")
     return told
