@@ -10,7 +10,9 @@ and a run of so many words is rare as single lines needn't be. A document first
 holder of each of its runs, then, for runs that still have a line left, the next holders: it ends up
 as if aligned with every earlier document. A frequent run whose lines are gone makes no pairs: of n
 documents with it, n - 1 are paired with the first. A run that no alignment takes away (it stands
-twice on both sides, say) is looked for in all its earlier holders.
+twice on both sides, say) is looked for in its earlier holders: in all of them up to TIED, and beyond in those
+with which the document shares its first line, its last one, or a line that each has once, as without such a
+tie a patience diff aligns nothing.
 
 find(), the default of report() and dedup(), takes lines of ANCHOR_WORDS words or more and their first
 holders only: one pass, but blocks that only a later holder has stay.
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WS, WS_CHARS, ship, stage
+from .common import WS, WS_CHARS, apart, drop, ship, stage
 
 ship(__name__)
 
@@ -187,6 +189,24 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: A round looks at so many times the holders of the round before.
 WIDER = 4
+#: Runs of more holders than this are looked for in those alone that a document has a tie with.
+TIED = 16
+
+
+def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, th, h -> id, th, t: hashes of what a patience diff can start from: a document's first line, its
+    last one, and each line that it has once."""
+    base = np.uint64(0x9E3779B97F4A7C15)
+    for batch in batches:
+        for start in range(0, batch.num_rows, 512):
+            part = batch.slice(start, 512)
+            for k in range(part.num_rows):
+                h = part.column(2)[k].values.to_numpy().view(np.uint64)
+                if not len(h):
+                    continue
+                value, times = np.unique(h, return_counts=True)
+                t = np.concatenate([value[times == 1] * base, h[:1] * base + np.uint64(1), h[-1:] * base + np.uint64(2)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.repeat(part.column(0)[k], len(t)), pa.repeat(part.column(1)[k], len(t)), pa.array(t)], names=["id", "th", "t"])
 
 
 def find_whole(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,6 +247,7 @@ def find_whole(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # alone and a frequent run's rows can be split over tasks.
     met = stage(runs.withColumn("nk", F.bitwise_not("k")).join(held, "nk").filter("key <> first").select("key", "k", "first", "n"), "met")
     tried = stage(met.select("key", "first").distinct(), "pairs")
+    seen = [tried]
     gone = stage(merged(aligned(tried)), "gone")
 
     def left_of(rows: DataFrame) -> DataFrame:
@@ -235,21 +256,33 @@ def find_whole(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     left = stage(left_of(met.filter("n > 2")), "left")
     if not left.isEmpty():
-        # Holders after the first, numbered; those of runs that nobody looks for are left out.
+        # Holders after the first, numbered; those of runs that nobody looks for are left out. Runs of many holders
+        # are looked for tie by tie: two documents that have neither their first nor their last line in common,
+        # nor a line that each has once, have no aligned lines at all, however often both have the run.
         asked = left.select("k").distinct()
-        rank = F.row_number().over(Window.partitionBy("k").orderBy("key"))
-        holders = stage(met.filter("n > 2").join(asked, "k", "left_semi").select("key", "k", rank.alias("r")), "holders")
-        left = stage(left.join(holders, ["key", "k"]), "left")
+        later = met.filter("n > 2").join(asked, "k", "left_semi").select("key", "k", "n")
+        many = later.filter(F.col("n") > TIED)
+        tied = many.select("key").distinct().join(every, "key").select("key.id", "key.th", "h").mapInArrow(_ties, f"id {kind}, th bigint, t bigint").select(key.alias("key"), "t")
+        grouped = later.filter(F.col("n") <= TIED).select("key", "k", F.lit(0).cast("bigint").alias("t")).unionByName(many.join(tied, "key").select("key", "k", "t"))
+        rank = F.row_number().over(Window.partitionBy("k", "t").orderBy("key"))
+        holders = stage(grouped.select("key", "k", "t", rank.alias("r")), "holders")
+        left = stage(left.join(holders, ["key", "k"]).filter("r > 1"), "left")
         low, high = 1, 1
         while not left.filter(F.col("r") > low).isEmpty():
-            partners = holders.filter(F.col("r").between(low, high)).select("k", F.col("key").alias("first"), F.col("r").alias("fr"))
-            pairs = left.join(partners, "k").filter("fr < r").select("key", "first").distinct().join(tried, ["key", "first"], "left_anti")
+            partners = holders.filter(F.col("r").between(low, high)).select("k", "t", F.col("key").alias("first"), F.col("r").alias("fr"))
+            pairs = left.join(partners, ["k", "t"]).filter("fr < r").select("key", "first").distinct().join(tried, ["key", "first"], "left_anti")
             pairs = stage(pairs, "pairs")
+            seen.append(pairs)
             tried = tried.unionByName(pairs)
-            gone = stage(merged(gone.unionByName(aligned(pairs))), "gone")
+            before, gone = gone, stage(merged(gone.unionByName(aligned(pairs))), "gone")
+            drop(before)
             low, high = high + 1, high + WIDER * (high - low + 1)
-            left = left.filter(F.col("r") > low)
-            left = stage(left_of(left).join(left, ["key", "k"]), "left")
+            still = left.filter(F.col("r") > low)
+            before, left = left, stage(left_of(still.select("key", "k").distinct()).join(still, ["key", "k"]), "left")
+            drop(before)
+        seen.append(holders)
+    for table in (*seen, runs, met, left):
+        drop(table)
     found = gone.join(copies.select("key"), "key", "left_anti").unionByName(copies)
     return found.select("key.id", "key.th", "lines")
 
@@ -258,15 +291,17 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=fi
     """df with the deleted lines gone from its texts, and n_lines, n_deleted, deleted (places).
     find: find_whole for all blocks, find for those with first holders."""
     own = ["n_lines", "n_deleted", "deleted"]
-    keep = [c for c in df.columns if c not in own]
-    found = find(df, id_col, text_col).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("lines").alias("__lines"))
-    keyed = df.select(*keep, F.xxhash64(F.col(text_col)).alias("__own"))
-    met = keyed.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th")), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
+    rows, names, _ = apart(df)
+    ident, text = names[id_col], names[text_col]
+    found = find(rows, ident, text).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("lines").alias("__lines"))
+    keyed = rows.withColumn("__own", F.xxhash64(text))
+    met = keyed.join(found, F.col(ident).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th")), "left")
+    lines = F.split(F.col(text), "\n", -1)
     rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__lines", i)), "\n")
+    left = F.when(F.col("__lines").isNull(), F.col(text)).otherwise(rest)
     return met.select(
-        *[F.when(F.col("__lines").isNull(), F.col(c)).otherwise(rest).alias(c) if c == text_col else F.col(c) for c in keep],
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
+        *[(left if c == text_col else F.col(names[c])).alias(c) for c in df.columns if c not in own],
+        F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
         F.when(F.col("__lines").isNull(), 0).otherwise(F.size("__lines")).alias("n_deleted"),
         F.coalesce("__lines", F.array().cast("array<int>")).alias("deleted"),
     )
