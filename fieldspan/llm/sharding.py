@@ -219,10 +219,12 @@ def reshard(df: DataFrame, old: Column, *, id_col: str = "doc_id", text_col: str
     """df with size, law ("bytes"), old_shard, shard, slot (gapless from 0 in each shard), moved."""
     spark: SparkSession = df.sparkSession
     own = ["size", "law", "old_shard", "shard", "slot", "moved"]
-    keep = [c for c in df.columns if c not in own]
+    # The old layout is an expression over df's own names; everything after works under others.
+    names = {c: f"__input_{k}" for k, c in enumerate(df.columns)}
+    back = [F.col(names[c]).alias(c) for c in df.columns if c not in own]
     text, ident = F.col(text_col), F.col(id_col)
     block = F.pmod(F.xxhash64(ident, text), F.lit(n_blocks)).cast("int")
-    at = df.select(*keep, row_size(text).alias("size"), old.cast("int").alias("old_shard"), block.alias("__block"), F.xxhash64(text).alias("__hash"), ident.alias("__id"))
+    at = df.select(*[F.col(c).alias(n) for c, n in names.items()], row_size(text).alias("size"), old.cast("int").alias("old_shard"), block.alias("__block"), F.xxhash64(text).alias("__hash"), ident.alias("__id"))
     sums = at.groupBy("old_shard", "__block").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.max("size").alias("most")).collect()
     least = sum(r["bytes"] for r in sums) // (n_new * LARGE)
     first = [F.desc("size"), F.asc("__id"), F.asc("__hash")]
@@ -243,7 +245,7 @@ def reshard(df: DataFrame, old: Column, *, id_col: str = "doc_id", text_col: str
     met = at.withColumn("__rank", rank).join(F.broadcast(table), ["old_shard", "__block"])
     met = met.withColumn("__piece", F.element_at(F.filter("__pieces", lambda p: p["from"] <= F.col("__rank")), -1))
     return met.select(
-        *keep,
+        *back,
         "size",
         F.lit("bytes").alias("law"),
         "old_shard",
@@ -259,30 +261,74 @@ def rewrite(resharded: DataFrame, path: str, every: bool = False) -> list[int]:
     Shards whose rows stay the same keep the files that they have there; every=True is for a path
     without any, and writes those too. Changed shards are written to a folder of their own under
     path and swapped in once all are there, so that resharded may read from path; a shard without
-    rows left is gone afterwards. old_shard and moved in a shard's files are those of its last
+    rows left is gone afterwards. A journal tells what is being swapped: recover(), read() and the next rewrite()
+    finish what was broken off. old_shard and moved in a shard's files are those of its last
     rewrite."""
     spark = resharded.sparkSession
     moved = resharded.filter("moved")
     changed = moved.select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct()
     known = sorted(r["s"] for r in changed.collect())  # a row for each shard
-    made = f"{path.rstrip('/')}/_made-{uuid.uuid4().hex}"
+    path = path.rstrip("/")
+    made = f"{path}/_made-{uuid.uuid4().hex}"
+    recover(spark, path)
     (resharded if every else resharded.filter(F.col("shard").isin(known))).write.partitionBy("shard").parquet(f"{made}/new")
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, at = _files(spark, path)
     fs.mkdirs(at(f"{made}/old"))
     fresh = {x.getPath().getName() for x in fs.listStatus(at(f"{made}/new")) if x.isDirectory()}
+    # From the moment that the journal has its name, the new shards are the layout: what follows only moves folders.
+    spark.createDataFrame([(made, sorted(fresh | {f"shard={s}" for s in known}))], "made string, shards array<string>").coalesce(1).write.json(f"{made}/journal")
+    _rename(fs, at, f"{made}/journal", f"{path}/{JOURNAL}")
+    recover(spark, path)
+    return known
 
-    def rename(a: str, b: str) -> None:
-        if not fs.rename(at(a), at(b)):
-            raise OSError(f"{a} can't be renamed to {b}")
 
-    for name in sorted(fresh | {f"shard={s}" for s in known}):
-        if fs.exists(at(f"{path}/{name}")):
-            rename(f"{path}/{name}", f"{made}/old/{name}")
-        if name in fresh:
-            rename(f"{made}/new/{name}", f"{path}/{name}")
-    fs.delete(at(made), True)
-    return known
+#: The folder, among the shards, that says which of them are being swapped, and from where.
+JOURNAL = "_journal"
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _rename(fs, at, a: str, b: str) -> None:
+    if not fs.rename(at(a), at(b)):
+        raise OSError(f"{a} can't be renamed to {b}")
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """Finish a rewrite that was broken off; tells whether there was one. A layout has one writer at a time.
+
+    A shard's new folder is moved in once its old one has moved out, so whatever was done before is seen from what
+    is where, and doing this again, or breaking off here too, does no harm. A rewrite that hadn't come as far as its
+    journal has changed nothing, and its folder goes."""
+    path = path.rstrip("/")
+    fs, at = _files(spark, path)
+    there = lambda p: fs.exists(at(p))
+    if not there(path):
+        return False
+    told = spark.read.schema("made string, shards array<string>").json(f"{path}/{JOURNAL}").first() if there(f"{path}/{JOURNAL}") else None
+    if told:
+        made = told["made"]
+        for name in told["shards"]:
+            new, old, own = f"{made}/new/{name}", f"{made}/old/{name}", f"{path}/{name}"
+            fresh = there(new)
+            if there(own) and not there(old) and (fresh or not there(f"{made}/done/{name}")):
+                _rename(fs, at, own, old)
+            if fresh:
+                fs.mkdirs(at(f"{made}/done/{name}"))  # a shard without an old folder looks the same before and after
+                _rename(fs, at, new, own)
+        fs.delete(at(f"{path}/{JOURNAL}"), True)
+    for x in fs.listStatus(at(path)):
+        if x.getPath().getName().startswith("_made-"):
+            fs.delete(x.getPath(), True)
+    return told is not None
+
+
+def read(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """The layout, after a rewrite that was broken off, if any, is finished."""
+    recover(spark, path)
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
 def hashed(col: Column, n: int = N_OLD) -> Column:
