@@ -86,6 +86,18 @@ def arrow_batches(spark: SparkSession, size: int = 8 << 20, rows: int = 2000):
             spark.conf.set(k, v)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Tables written in this block leave no shuffle files behind: what follows reads the tables."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def small_table(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
     """A table of control values (one row for each shard, source, rule ...) held by the driver."""
     data = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{_typed(ddl)}>>")
@@ -105,6 +117,13 @@ def _typed(ddl: str) -> str:
     return ",".join(out)
 
 
+def apart(df: DataFrame) -> tuple[DataFrame, dict[str, str], list[Column]]:
+    """df under names that no operator uses for its own columns, those names by df's, and columns that give
+    df's names back: whatever an input's columns are called, none is taken for another."""
+    names = {c: f"__input_{k}" for k, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names, [F.col(new).alias(old) for old, new in names.items()]
+
+
 def words(text: Column) -> Column:
     """array<string>: the maximal runs of other characters than white space; null gives none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(WS_CHARS))

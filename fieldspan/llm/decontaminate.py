@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import apart, let
 
 WINDOW = 10
 K = 5
@@ -191,10 +191,12 @@ def report(documents: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
     """The documents without a hit, in their columns."""
-    ident, text = names.get("id_col", "doc_id"), names.get("text_col", "text")
-    bad = find(documents, benchmark, **names).filter(F.size("spans") > 0).select(F.col(ident).alias("__bad"), F.col("__hash").alias("__bad_hash"))
-    keyed = documents.withColumn("__key_hash", F.xxhash64(F.col(text)))
-    return keyed.join(bad, keyed[ident].eqNullSafe(F.col("__bad")) & (F.col("__key_hash") == F.col("__bad_hash")), "left_anti").select(*documents.columns)
+    rows, own, back = apart(documents)
+    ident, text = own[names.get("id_col", "doc_id")], own[names.get("text_col", "text")]
+    found = find(rows, benchmark, **(names | {"id_col": ident, "text_col": text}))
+    bad = found.filter(F.size("spans") > 0).select(F.col(ident).alias("__bad"), F.col("__hash").alias("__bad_hash"))
+    keyed = rows.withColumn("__key_hash", F.xxhash64(F.col(text)))
+    return keyed.join(bad, F.col(ident).eqNullSafe(F.col("__bad")) & (F.col("__key_hash") == F.col("__bad_hash")), "left_anti").select(*back)
 
 
 def oracle() -> str:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_batches, drop, ship, stage
+from .common import apart, arrow_batches, drop, ship, stage
 from .components import components
 
 ship(__name__)
@@ -430,9 +430,10 @@ class Join:
     def keep_one(self) -> DataFrame:
         """The rows of the table without those that a row before them, by least id, stands for."""
         rep = self.classes.select("root_rep").distinct().select(F.col("root_rep.id").alias("__rid"), F.col("root_rep.th").alias("__rth"))
-        ident, text = (F.col(c) for c in self.names)
-        keyed = self.df.withColumn("__th", F.xxhash64(text))
-        kept = keyed.join(rep, ident.eqNullSafe(F.col("__rid")) & (F.col("__th") == F.col("__rth")), "left_semi")
+        rows, names, back = apart(self.df)
+        ident, text = (names[c] for c in self.names)
+        keyed = rows.withColumn("__th", F.xxhash64(text))
+        kept = keyed.join(rep, F.col(ident).eqNullSafe(F.col("__rid")) & (F.col("__th") == F.col("__rth")), "left_semi")
         # Rows alike in id and text: one stays.
-        own = Window.partitionBy(self.names[0], "__th").orderBy(F.xxhash64(*self.df.columns))
-        return kept.withColumn("__row", F.row_number().over(own)).filter("__row = 1").select(*self.df.columns)
+        own = Window.partitionBy(ident, "__th").orderBy(F.xxhash64(*rows.columns))
+        return kept.withColumn("__row", F.row_number().over(own)).filter("__row = 1").select(*back)

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, let, words
+from .common import WS, apart, let, words
 
 #: Frequent words of the four languages (fixed values).
 STOP_WORDS = (
@@ -50,7 +50,7 @@ WINDOW = 3
 
 
 def with_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with the counts as columns prefixed by two underscores."""
+    """df with the counts as columns prefixed by two underscores, which df's own names must not be."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     first = df.withColumns({"__words": words(text), "__lines": lines})
@@ -117,7 +117,8 @@ def judge(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES
 
 def keep_good(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of df that pass, in its columns."""
-    return judge(df, text_col).filter("__kept").select(*df.columns)
+    rows, names, back = apart(df)
+    return judge(rows, names[text_col]).filter("__kept").select(*back)
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
