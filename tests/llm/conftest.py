@@ -20,6 +20,7 @@ def messy(spark):
         (8, "###", ""),
     ]
     own = "size bigint, shard int, law string, slot bigint, pieces string, words string, id string, th bigint, c string, h string, key string, n int, n_chars int, target double, taken bigint, kept boolean, lines string, pass string, parts string, block string, hash string, ids string, copies int, labels string, spans string, url string, payload string"
+    own += "".join(f", __{c} string" for c in "th n_words counts words lines grams kept id block own rid rth row key_hash hash bad uid size piece rank pieces input_0 input_1 w".split())
     names = [x.split(" ")[0] for x in own.split(", ")]
     return spark.createDataFrame([(*r, *[None] * len(names)) for r in rows], f"doc_id bigint, text string, source string, {own}")
 

@@ -29,16 +29,35 @@ def test_licence_unknown(spark):
     assert got[101].n_candidates == 0 and got[102].n_candidates == 0 and got[100].n_unknown == 1
 
 
-def test_licence_held_out():
-    assert licence.train()["held_out_accuracy"] > 0.9
+@pytest.fixture(scope="module")
+def trained():
+    return licence.train()
 
 
-def test_licence_calibration_is_measured_on_unseen_phrases():
-    model, again = licence.load_model(), licence.train()
-    assert abs(model["held_out_accuracy"] - again["held_out_accuracy"]) < 0.02 and max(model["calibration_error"], again["calibration_error"]) < 0.05
+def test_licence_calibration_is_measured_on_unseen_phrases(trained):
+    model = licence.load_model()
+    assert model["held_out_accuracy"] > 0.78 and abs(model["held_out_accuracy"] - trained["held_out_accuracy"]) < 0.02 and max(model["calibration_error"], trained["calibration_error"]) < 0.08
     seen = set(licence.PHRASES[0]) | set(licence.PHRASES[1])
-    assert not seen & set(licence.PHRASES[2]) and not set(licence.HOUSE[0] + licence.HOUSE[1]) & set(licence.HOUSE[2])
+    assert not seen & set(licence.PHRASES[2]) and not set(licence.HOUSE[0] + licence.HOUSE[1]) & set(licence.HOUSE[2]) and not set(licence.MENTIONS[0] + licence.MENTIONS[1]) & set(licence.MENTIONS[2])
     assert np.argmax(model["bias"]) == len(licence.FAMILIES) - 1
+    assert set(model["by_class"]) == set(licence.FAMILIES) and min(x["found"] for x in model["by_class"].values()) > 0.6
+    again = licence.measured(model)
+    assert again["by_class"] == model["by_class"]
+
+
+def test_licence_of_neighbours_and_mentions(spark):
+    """Licences that share most of their words with another, notices of no known family, and prose that names licences."""
+    cases = {
+        "Eclipse Public License - v 2.0": "epl", "This work is licensed under CC BY-NC-SA 4.0": "cc-by-nc-sa", "Licensed under CC BY-ND 4.0": "cc-by-nd", "Licensed under CC BY-NC 4.0": "cc-by-nc", "Licensed under CC BY 4.0": "cc-by",
+        "Creative Commons Attribution-NoDerivatives 4.0 International License": "cc-by-nd", "Lizenziert unter der MIT-Lizenz": "mit", "SPDX-License-Identifier: GPL-3.0-or-later": "gpl", "Released under the GPL": "gpl",
+        "Under no circumstances and under no legal theory, whether tort (including negligence), contract, or otherwise, shall any Contributor be liable to You": "mpl",
+        "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE": "?", "Licensed under the Moonlight License, version 7": "?",
+        "The GNU project was begun in 1983 and the GPL was written for it by Richard Stallman.": "", "He compared the Apache helicopter with the BSD conference badge.": "", "She studied at MIT for years": "", "GPL": "?",
+    }
+    rows = list(enumerate(cases))
+    got = {r.doc_id: r for r in licence.report(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    told = {t: got[k].families or ("?" if got[k].n_unknown else "") for k, t in rows}
+    assert told == cases
 
 
 def plain_scan(text, model):
@@ -411,6 +430,46 @@ def test_line_dedup_with_all_holders_random(spark):
     assert whole(spark.createDataFrame(rows, "doc_id int, text string")) == plain_whole(rows)
 
 
+def pairs_of(df, monkeypatch):
+    """Texts left, and how many pairs of documents were aligned."""
+    made, stage = [], linededup.stage
+
+    def counted(table, tag):
+        out = stage(table, tag)
+        made.append(out.count() if tag == "pairs" else 0)
+        return out
+
+    monkeypatch.setattr(linededup, "stage", counted)
+    return whole(df), sum(made)
+
+
+@pytest.mark.parametrize("ends", ["unequal", "some equal", "once"])
+def test_line_dedup_of_headers_and_footers(spark, monkeypatch, ends):
+    """A menu at the top and the bottom of every page, and nothing else in common: nothing is deleted, and pairs grow with the
+    pages, not with their square. Where some pages have an end or a line in common, those are aligned."""
+    menu = "home products about us contact imprint privacy search login"
+    counts = []
+    for n in (40, 80):
+        first = lambda k: "same start" if ends == "some equal" and k % 10 == 3 else f"title {k}"  # noqa: E731, B023
+        once = lambda k: f"\nonce {k // 4}\n{menu}" if ends == "once" and k < 12 else ""  # noqa: E731, B023
+        rows = [(k, f"{first(k)}\n{menu}\nbody {k} a{once(k)}\nbody {k} b\n{menu}\nend {k}") for k in range(n)]
+        got, pairs = pairs_of(spark.createDataFrame(rows, "doc_id int, text string"), monkeypatch)
+        monkeypatch.undo()
+        assert got == plain_whole(rows)
+        counts.append(pairs)
+    assert counts[1] < 3 * counts[0] and counts[1] < 80 * 16, counts
+
+
+def test_line_dedup_with_many_holders_random(spark, monkeypatch):
+    """As the random test above, with ties asked for from the second holder on."""
+    monkeypatch.setattr(linededup, "TIED", 2)
+    rng = np.random.Generator(np.random.PCG64(18))
+    parts = ["", "a", "b c", "d e f g", *(" ".join([c] * 8) for c in "pqrs")]
+    rows = [(k, "\n".join(rng.choice(parts, int(n)))) for k, n in enumerate(rng.integers(1, 9, 150))]
+    rows += [(1000 + k, "\n".join(rng.choice(parts[4:] + [f"u{k}", f"v{k}"], 6))) for k in range(60)]
+    assert whole(spark.createDataFrame(rows, "doc_id int, text string")) == plain_whole(rows)
+
+
 def test_line_dedup_of_short_lines(spark):
     verse = "so much depends\nupon\n\na red wheel\nbarrow\nglazed with rain"
     rows = [(1, f"one\n{verse}\ntwo"), (2, f"three\n{verse}\nfour"), (3, "a red wheel\nbarrow\nonly"), (4, f"{verse}\n{verse}")]
