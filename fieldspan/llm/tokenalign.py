@@ -31,26 +31,29 @@ import json
 import os
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import filterfalse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, ship, stage
+from .common import drop, ship, shuffles_dropped, stage
 
 ship(__name__)
 
 TOKENIZER_A = "/opt/tokenizers/byte_bpe_50k.json"
 TOKENIZER_B = "/opt/tokenizers/piece_bpe_32k.model"
-HOT = 1 << 18
+HOT = 225_000
 SHORT = 64
 MAX_PAIRS = 1 << 18
 #: Distinct segments that a task counts before it hands its counts on.
-HELD = 400_000
+HELD = 250_000
 SLICE = 4 << 20
 #: White space of any of the libraries, as a class of a pattern.
 ANY_SPACE = r"\s᠎"
+#: One that Python doesn't split at.
+SPECIAL_SPACE = "\u180e"
 SPACE_MARK = "▁"
 FIELDS = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint"
 
@@ -70,6 +73,7 @@ class Pair:
         self.a = Tokenizer.from_str(a_file.decode())
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_proto=b_file)
+        self.as_is = normalizer_of(b_file) == (b"", 1, 0, 1)
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves
         rest = [b for b in range(256) if b not in set(plain)]
         to_byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
@@ -104,6 +108,8 @@ class Pair:
 
     def whole(self, text: str) -> bool:
         """Whether B gives back the text: it spells what its normalizer leaves."""
+        if self.as_is:
+            return SPACE_MARK not in text
         return self.b.normalize(text).replace(SPACE_MARK, " ") == " " + text
 
     def segments(self, text: str) -> list[str]:
@@ -111,8 +117,12 @@ class Pair:
         out of its key unless more white space follows; keys that begin with white space have it all."""
         if not self.cuts:
             return [_key(" " + text)]
-        keys: list[str] = []
         lines = "\n" in self.cuts
+        words = text.split()
+        if SPECIAL_SPACE not in text and " ".join(words) == (text.replace("\n", " ") if lines else text):
+            # One space or line break between any two words, and none at the ends: by far most texts.
+            return text.replace("\n", " \n").split(" ") if "\n" in text else words
+        keys: list[str] = []
         for k, part in enumerate(self.odd.split(" " + text)):
             if k % 2:
                 if part[0] in self.cuts:
@@ -145,26 +155,60 @@ def _key(segment: str) -> str:
 def aligned(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) -> tuple[str, int, list[int]]:
     """Groups as text, their number, and links (a times 2 ** 32 plus b) of two encodings of the same bytes."""
     links, groups = [], []
-    i = j = i0 = j0 = 0
-    a_end, b_end = a_size[a[0]], b_size[b[0]]
+    i = j = 0
+    own_a, own_b = [a[0]], [b[0]]
+    ahead = a_size[a[0]] - b_size[b[0]]  # how much further A's token ends than B's
     while True:
         links.append(a[i] << 32 | b[j])
-        if a_end == b_end:
-            i += 1
+        if ahead > 0:
             j += 1
-            groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-            if i == len(a) or j == len(b):
-                break
-            i0, j0 = i, j
-            a_end += a_size[a[i]]
-            b_end += b_size[b[j]]
-        elif a_end < b_end:
+            own_b.append(b[j])
+            ahead -= b_size[b[j]]
+        elif ahead < 0:
             i += 1
-            a_end += a_size[a[i]]
+            own_a.append(a[i])
+            ahead += a_size[a[i]]
         else:
+            groups.append(f"{own_a[0]}|{own_b[0]}" if len(own_a) == len(own_b) == 1 else f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
+            i += 1
             j += 1
-            b_end += b_size[b[j]]
-    return ";".join(groups), len(groups), links
+            if i == len(a) or j == len(b):
+                return ";".join(groups), len(groups), links
+            own_a, own_b = [a[i]], [b[j]]
+            ahead = a_size[a[i]] - b_size[b[j]]
+
+
+def normalizer_of(model: bytes) -> tuple[bytes, int, int, int]:
+    """A model file's normalizer: its character map (empty: texts stay as they are), and whether it puts a space
+    before a text, takes out extra white space, and marks spaces. The file is a protocol buffer: the
+    normalizer is field 3, and these are its fields 2 to 5."""
+
+    def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+        i = 0
+
+        def number() -> int:
+            nonlocal i
+            n = shift = 0
+            while True:
+                b = data[i]
+                i += 1
+                n |= (b & 127) << shift
+                shift += 7
+                if b < 128:
+                    return n
+
+        while i < len(data):
+            tag = number()
+            kind = tag & 7
+            if kind == 0:
+                yield tag >> 3, number()
+            else:
+                size = number() if kind == 2 else {1: 8, 5: 4}[kind]
+                yield tag >> 3, data[i : i + size]
+                i += size
+
+    own = dict(fields(dict(fields(model)).get(3, b"")))
+    return own.get(2, b""), own.get(3, 1), own.get(4, 1), own.get(5, 1)
 
 
 _loaded: dict[bytes, Pair] = {}
@@ -253,18 +297,33 @@ def _scorer(pairs):
     return run
 
 
+#: Sums of a text are made of all its segments' numbers at once: each has so many bits of one whole number.
+BITS = 64
+
+
+def packed(numbers: Iterable[int]) -> int:
+    out = 0
+    for k, n in enumerate(numbers):
+        out |= n << (BITS * k)
+    return out
+
+
+def unpacked(n: int, many: int) -> list[int]:
+    return [n >> (BITS * k) & ((1 << BITS) - 1) for k in range(many)]
+
+
 def _rare(files, hot):
     """Which segments that aren't broadcast a row's text has."""
-    kind = pa.schema([("seg", pa.string()), ("row_key", pa.int64())])
+    kind = pa.schema([("seg", pa.string()), ("row_key", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, known = _pair(files.value), hot.value
+        pair, known = _pair(files.value), hot.value[0]
 
         def rows() -> Iterator[tuple[str, int]]:
             for batch, k, text in _texts(batches, 1):
                 if text and pair.whole(text):
                     key = batch.column(0)[k].as_py()
-                    for seg in set(pair.segments(text)).difference(known):
+                    for seg in set(filterfalse(known.__contains__, pair.segments(text))):
                         yield seg, key
 
         yield from _parts(rows(), kind)
@@ -275,30 +334,42 @@ def _rare(files, hot):
 def _composer(files, hot, id_kind: pa.DataType):
     """Rows of a key in order: alignments of rare segments, then texts."""
     kind = pa.schema([("id", id_kind), *((c.split(" ")[0], pa.int64()) for c in FIELDS.split(", ")), ("groups", pa.string())])
-    numbers = kind.names[1:-1]
+    many = len(kind) - 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, known = _pair(files.value), hot.value
-        own_key, own, rows, size = None, {}, [], 0
+        pair, (numbers, groups) = _pair(files.value), hot.value
+        own: list[str] = []
+
+        def forget() -> None:
+            for seg in own:
+                del numbers[seg], groups[seg]
+            own.clear()
+
+        try:
+            yield from composed(batches, pair, numbers, groups, own, forget)
+        finally:  # the broadcast tables stay as they came
+            forget()
+
+    def composed(batches, pair: Pair, numbers: dict, groups: dict, own: list[str], forget) -> Iterator[pa.RecordBatch]:
+        own_key, rows, size = None, [], 0
         for batch in batches:
-            keys, ids, texts = (batch.column(c) for c in ("row_key", "id", "text"))
-            is_text = batch.column("side").to_pylist()
-            segs = batch.column("seg").to_pylist()
-            values = list(zip(batch.column("groups").to_pylist(), *(batch.column(c).to_pylist() for c in numbers), strict=True))
-            for k, key in enumerate(keys.to_pylist()):
-                if key != own_key:
-                    own_key, own = key, {}
-                if not is_text[k]:
-                    own[segs[k]] = values[k]
-                    continue
+            ids, texts, is_text = batch.column("id"), batch.column("text"), batch.column("side").to_pylist()
+            for k, key in enumerate(batch.column("row_key").to_pylist()):
+                if key != own_key:  # what the last key's texts had besides goes again
+                    forget()
+                    own_key = key
                 text = texts[k].as_py()
-                if text and pair.whole(text):
-                    found = [known.get(s) or own[s] for s in pair.segments(text)]
-                    groups, *rest = zip(*found, strict=True)
-                    rows.append((ids[k].as_py(), *map(sum, rest), ";".join(groups)))
+                if not is_text[k]:
+                    told, group, seg = text.split("\t", 2)
+                    if seg not in numbers:
+                        own.append(seg)
+                        numbers[seg], groups[seg] = packed(map(int, told.split(","))), group
+                elif text and pair.whole(text):
+                    segs = pair.segments(text)
+                    rows.append((ids[k].as_py(), *unpacked(sum(map(numbers.__getitem__, segs)), many), ";".join(map(groups.__getitem__, segs))))
                     size += len(text) * 3
                 else:
-                    rows.append((ids[k].as_py(), 0, 0, 0, 0, 0, 0, ""))
+                    rows.append((ids[k].as_py(), *[0] * many, ""))
                 if size >= SLICE or len(rows) >= 2000:
                     yield _table(rows, kind)
                     rows, size = [], 0
@@ -351,8 +422,9 @@ def align(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", a: str
 
     spark = df.sparkSession
     files = _load(spark, a, b)
-    segments = stage(segment_table(df, text_col, a, b), "segments")
-    pairs = stage(pair_counts(segments), "pairs")
+    with shuffles_dropped(spark):
+        segments = stage(segment_table(df, text_col, a, b), "segments")
+        pairs = stage(pair_counts(segments), "pairs")
     columns = ["seg", *(c.split(" ")[0] for c in FIELDS.split(", ")), "groups"]
     few = pairs.count() <= max_pairs
     if few:
@@ -368,16 +440,18 @@ def align(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", a: str
     kind = df.schema[id_col].dataType
     least, n_rare = _hot_from(segments, hot)
     is_hot = (F.col("n") >= least) & (F.length("seg") <= SHORT)
-    known_segs = spark.sparkContext.broadcast({r["seg"]: (r["groups"], *r[1:-1]) for r in scored(segments.filter(is_hot)).collect()})
-    # Rows alike have the same segments: that they share a key does no harm, nor do keys that are alike by chance.
-    key = F.when(F.length(text_col) > 0, F.xxhash64(id_col, text_col)).otherwise(F.xxhash64(F.monotonically_increasing_id()))
+    frequent = scored(segments.filter(is_hot)).select(*columns).toArrow()
+    values = zip(*(frequent.column(c).to_pylist() for c in columns[1:-1]), strict=True)
+    segs = frequent.column("seg").to_pylist()
+    known_segs = spark.sparkContext.broadcast((dict(zip(segs, map(packed, values), strict=True)), dict(zip(segs, frequent.column("groups").to_pylist(), strict=True))))
+    # Rows with the same key have each other's segments at hand too, which does no harm: a key of four bytes will do.
+    key = F.when(F.length(text_col) > 0, F.hash(id_col, text_col)).otherwise(F.hash(F.monotonically_increasing_id()))
     rows = df.select(key.alias("row_key"), F.lit(True).alias("side"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    empty = {c: F.lit(None).cast("string" if c in ("seg", "groups") else "long") for c in columns}
-    rows = rows.select("*", *[v.alias(c) for c, v in empty.items()])
     if n_rare:
-        wanted = df.select(F.xxhash64(id_col, text_col).alias("row_key"), F.col(text_col).alias("text")).mapInArrow(_rare(files, known_segs), "seg string, row_key bigint")
-        back = wanted.join(scored(segments.filter(~is_hot)).hint("merge"), "seg")
-        back = back.select("row_key", F.lit(False).alias("side"), F.lit(None).cast(kind).alias("id"), F.lit(None).cast("string").alias("text"), *columns)
+        wanted = df.select(F.hash(id_col, text_col).alias("row_key"), F.col(text_col).alias("text")).mapInArrow(_rare(files, known_segs), "seg string, row_key int")
+        told = F.concat_ws("\t", F.concat_ws(",", *columns[1:-1]), "groups", "seg")
+        rare = scored(segments.filter(~is_hot)).select("seg", told.alias("told"))
+        back = wanted.join(rare.hint("merge"), "seg").select("row_key", F.lit(False).alias("side"), F.lit(None).cast(kind).alias("id"), F.col("told").alias("text"))
         rows = rows.unionByName(back).repartition("row_key").sortWithinPartitions("row_key", "side")
     out = rows.mapInArrow(_composer(files, known_segs, to_arrow_type(kind)), f"id {kind.simpleString()}, {FIELDS}, groups string")
     if few:
