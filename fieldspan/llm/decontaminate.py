@@ -76,7 +76,9 @@ def benchmark_index(benchmark: DataFrame, item_id: str = "item_id", text_col: st
     length = F.transform("w", lambda x: F.length(x))
     short = items.filter(F.size("w") < WINDOW).withColumn("at", F.array_position(length, F.array_max(length)).cast("int") - 1)
     short = short.select(_short(F.get("w", F.col("at"))).alias("hash"), "ids", F.col("w").alias("near"), "at", F.size("w").alias("whole"))
-    return long.unionByName(short)
+    # What items share word for word (a preamble of thousands of them, say) is one row with all of their ids.
+    every = long.unionByName(short).groupBy("hash", "near", "at", "whole").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+    return every.select("hash", "ids", "near", "at", "whole")
 
 
 def find(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -241,6 +241,21 @@ def test_decontamination_is_the_same_by_broadcast_and_by_shuffle(spark, data, me
         decontaminate.BROADCAST_WORDS = before
 
 
+def test_decontamination_of_a_shared_preamble(spark, monkeypatch):
+    """Items that begin alike share the index's rows, and a document with the preamble has them all."""
+    start = " ".join(f"pre{k}" for k in range(60))
+    items = [(f"i{k}", f"{start} own{k} " + " ".join(f"w{k}x{j}" for j in range(15))) for k in range(200)]
+    b = spark.createDataFrame(items, "item_id string, text string")
+    index = decontaminate.benchmark_index(b)
+    assert index.agg(F.max(F.size("ids"))).first()[0] == 200 and index.count() < 200 * 16
+    d = spark.createDataFrame([(1, f"x {start} y"), (2, items[3][1]), (3, "nothing of it")], "doc_id int, text string")
+    want = [(1, 62, 60, 200, True), (2, 76, 76, 200, True), (3, 3, 0, 0, False)]
+    for bound in (decontaminate.BROADCAST_WORDS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", bound)
+        got = decontaminate.report(d, b).select("doc_id", "n_words", "n_hit", "n_items", "contaminated").collect()
+        assert sorted(map(tuple, got)) == want
+
+
 def test_decontamination_messy(spark, messy):
     b = spark.createDataFrame([(1, "cat sat on"), (2, None), (None, "on the mat")], "item_id int, text string")
     got = decontaminate.report(messy, b).collect()
