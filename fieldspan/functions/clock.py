@@ -37,6 +37,32 @@ def to_frame(second: Column, first_frame: Column, fps: float = 30.0) -> Column:
     return first_frame + (second * F.lit(float(fps))).cast("int")
 
 
+def rounded(x: Column, digits: int = 1) -> Column:
+    """x to so many decimals as its exact binary value asks for, halves to even: 0.25 gives 0.2, 0.35 (a little less in binary)
+    0.3, 2.675 2.67. round() goes by the shortest decimal that stands for x, and takes halves up.
+
+    x times a power of ten is a double and what it lost, found without error by cutting both factors in halves;
+    which side of the middle it lies on follows from both."""
+    p = float(10**digits)
+    x = x.cast("double")
+
+    def halves(v: Column) -> tuple[Column, Column]:
+        c = v * 134217729.0  # 2 ** 27 + 1
+        high = c - (c - v)
+        return high, v - high
+
+    (xh, xl), t = halves(x), x * p
+    c = p * 134217729.0
+    ph = c - (c - p)
+    pl = p - ph
+    lost = ((xh * ph - t) + xh * pl + xl * ph) + xl * pl
+    low = F.floor(t).cast("double")
+    beyond = (t - low - 0.5) + lost
+    up = (beyond > 0) | ((beyond == 0) & (F.pmod(low, F.lit(2.0)) == 1.0))
+    # From 2 ** 52 on there is nothing behind the point to round; nor in what isn't a finite number.
+    return F.when(F.abs(t) < 4503599627370496.0, F.when(up, low + 1.0).otherwise(low) / p).otherwise(x)
+
+
 def interval_id(quarter: Column, team: Column, start: Column, end: Column) -> Column:
     """Q1_TEAM_12.5_60.0"""
     return F.concat_ws("_", F.concat(F.lit("Q"), quarter.cast("string")), team, start.cast("double").cast("string"), end.cast("double").cast("string"))

@@ -92,23 +92,24 @@ def steps(spark: SparkSession, folder: str, game: str, p: Params = DEFAULTS) ->
         got = t["final"].join(t["formations"].drop("n_frames"), formations.ID, "left").join(t["cuts"], formations.ID, "left")
         return got.withColumns({"result": F.coalesce("result", F.lit(report.UNTAGGED)), "formation": text("off_formation"), "def_formation": text("def_formation"), "cuts_in": F.coalesce("n_cuts_in", F.lit(0)), "cuts_out": F.coalesce("n_cuts_out", F.lit(0))})
 
-    made: list[tuple[str, Callable, list[str]]] = [
-        ("frames", read, []),
-        ("tracked", tracked, ["frames"]),
-        ("filled", filled, ["tracked"]),
-        ("zoned", zoned, ["filled"]),
-        ("defenders", defenders, []),
-        ("events", events, []),
-        ("official", official, ["filled", "frames", "events"]),
-        ("detected", detected, ["filled", "defenders", "official"]),
-        ("final", final, ["detected"]),
-        ("formations", shapes, ["zoned", "frames", "final"]),
-        ("cuts", cuts, ["zoned", "final"]),
-        ("report", rows, ["final", "formations", "cuts"]),
+    given = (p, a, b, cameras, aliases, game)
+    configured = [f"{folder}/game_config.json", f"{folder}/*.calibration.json"]
+    made: list[tuple[str, Callable, list[str], list[str]]] = [
+        ("frames", read, [], [f"{folder}/*.detections.json"]),
+        ("tracked", tracked, ["frames"], configured),
+        ("filled", filled, ["tracked"], []),
+        ("zoned", zoned, ["filled"], configured),
+        ("defenders", defenders, [], [f"{folder}/goalie_team_*.json"]),
+        ("events", events, [], [f"{folder}/{names['playbyplay_txt']}"]),
+        ("official", official, ["filled", "frames", "events"], configured),
+        ("detected", detected, ["filled", "defenders", "official"], configured),
+        ("final", final, ["detected"], [f"{folder}/possession_results.json"]),
+        ("formations", shapes, ["zoned", "frames", "final"], configured),
+        ("cuts", cuts, ["zoned", "final"], configured),
+        ("report", rows, ["final", "formations", "cuts"], []),
     ]
-    # Tags change by hand, apart from the chain: what follows from them is always made anew.
-    after = {"final", "formations", "cuts", "report"}
-    return [Step(name, make, inputs, always=name in after) for name, make, inputs in made]
+    # Files, tags that change by hand among them, and parameters are part of a step's fingerprint.
+    return [Step(name, make, inputs, reads=reads, params=given) for name, make, inputs, reads in made]
 
 
 def _spine(frames: DataFrame) -> DataFrame:

@@ -875,6 +875,20 @@ def stream_grace_sessions(spark, d):
     return got.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
+@query(f"WITH {DETECT_SQL} SELECT * EXCLUDE (team) FROM det")
+def stream_possessions(spark, d):
+    return live.possessions_of(signal(spark, d), possessions.KEYS, P).select("quarter", "start_sec", "end_sec")
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, printf('%.1f', l_extendedprice / 8)::DOUBLE AS tenths, printf('%.2f', l_extendedprice * l_discount)::DOUBLE AS hundredths, printf('%.1f', CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END * (l_quantity + 0.25 * (l_orderkey % 4)))::DOUBLE AS ties FROM lineitem"
+)
+def exact_rounding(spark, d):
+    price, off = F.col("l_extendedprice").cast("double"), F.col("l_discount").cast("double")
+    tie = F.when(F.col("l_linenumber") % 2 == 0, -1).otherwise(1) * (F.col("l_quantity").cast("double") + 0.25 * (F.col("l_orderkey") % 4))
+    return A.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", clock.rounded(price / 8).alias("tenths"), clock.rounded(price * off, 2).alias("hundredths"), clock.rounded(tie).alias("ties"))
+
+
 # --- the whole --------------------------------------------------------------------------------
 def records(spark: SparkSession, d: str) -> DataFrame:
     """Invented records of both teams: a short one in every 40 buckets of the spine."""

@@ -158,11 +158,12 @@ class FrameSource(DataSource):
         return FrameReader([tuple(x) for x in json.loads(self.options["files"])], int(self.options.get("range", RANGE)))
 
 
-def files_of(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """Full paths and lengths of the files that a path or pattern names, as Spark's file systems list them."""
+def files_of(spark: SparkSession, path: str, times: bool = False) -> list[tuple]:
+    """Full paths and lengths (and times, in milliseconds) of the files that a path or pattern names, as Spark's
+    file systems list them."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
-    return [(f.getPath().toUri().toString(), f.getLen()) for f in (found or []) if f.isFile()]
+    return [(f.getPath().toUri().toString(), f.getLen(), *([f.getModificationTime()] if times else [])) for f in (found or []) if f.isFile()]
 
 
 def read_frames(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame | None:

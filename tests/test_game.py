@@ -25,13 +25,14 @@ def detection(team, cx, cy, zone):
     return {"l": cx - 20, "r": cx + 20, "t": cy - 40, "b": cy + 40, "cx": cx, "cy": cy, "team": team, "zone": zone}
 
 
-def folder(tmp_path):
+def folder(tmp_path, fps=30, period=900):
     """Two cameras and a quarter of 60 s. On c1 team A attacks from second 10 to second 40: three on the
     perimeter (two from second 24 on, as one cuts in), four near the net, the goalie behind it."""
     files = {}
     for camera in ("c1", "c2"):
         frames = {}
-        for f in range(0, 1801, 3):
+        k30 = fps // 30
+        for f in range(0, 1801, 3):  # in thirtieths of a second
             play = camera == "c1" and 300 <= f <= 1200
             y = lambda near: (near if play else 100)
             zone = lambda name: name if play else "Beyond 30"
@@ -41,15 +42,16 @@ def folder(tmp_path):
                 dets.append(detection("A", 150 + 250 * k, y(620 if inside else 550), zone("Net-to-8" if inside else "Perimeter")))
             dets += [detection("B", 200 + 280 * k, y(620), zone("Net-to-8")) for k in range(6)]
             dets.append(detection("Goalie", 1000, y(1050), zone("Behind Net")))
-            frames[f] = dets[1:] if f % 60 == 30 else dets  # once in two seconds a player is missed
-        frames[1797] = []
+            frames[k30 * f] = dets[1:] if f % 60 == 30 else dets  # once in two seconds a player is missed
+        frames[k30 * 1797] = []
         files[f"{camera}.detections.json"] = json.dumps(frames)
         files[f"{camera}.calibration.json"] = json.dumps({"points": POINTS, "point_names": [], "video_path": "", "frame_width": 3840, "frame_height": 1200, "calibration_frame": 0, "timestamp": ""})
     files["goalie_team_c1.json"] = json.dumps({"1": {"dominant": "B", "gap": 0.4}})
     files["goalie_team_c2.json"] = json.dumps({"1": {"dominant": "A", "gap": 0.3}})
-    cameras = [{"label": c, "video": f"{c}.mp4", "quarter_frames": {"1": [0, 1800]}} for c in ("c1", "c2")]
-    files["game_config.json"] = json.dumps({"team_a": "A", "team_b": "B", "team_aliases": {"AA": "A"}, "playbyplay_txt": "log.txt", "period_length_sec": 900, "fps": 30.0, "cameras": cameras})
-    files["log.txt"] = "12:30 AA Draw control by AA P1\n05:00 AA GOAL by AA P1\n04:00 B Draw control by B P2\n00:00 0 End-of-period\n"
+    cameras = [{"label": c, "video": f"{c}.mp4", "quarter_frames": {"1": [0, 60 * fps]}} for c in ("c1", "c2")]
+    files["game_config.json"] = json.dumps({"team_a": "A", "team_b": "B", "team_aliases": {"AA": "A"}, "playbyplay_txt": "log.txt", "period_length_sec": period, "fps": float(fps), "cameras": cameras})
+    clock = lambda second: "%02d:%02d" % divmod(period - period * second // 60, 60)
+    files["log.txt"] = f"{clock(10)} AA Draw control by AA P1\n{clock(40)} AA GOAL by AA P1\n{clock(44)} B Draw control by B P2\n00:00 0 End-of-period\n"
     for name, text in files.items():
         (tmp_path / name).write_text(text)
 
@@ -88,6 +90,26 @@ def test_chain(spark, tmp_path):
     assert (row.end_sec, row.duration_sec, row.result, row.cuts_in) == (40.0, 30.0, "Goal", 1) and table("formations").first().n_frames == 301
     sheet = spark.read.option("header", True).csv(str(tmp_path / "out" / "sheets" / "formations_by_result")).first()
     assert tuple(sheet) == ("A", "Goal", "(0, 5, 2)", "1", "100.0")
+    assert (tmp_path / "out" / "game_report.xlsx").exists()
+    assert rows(spark.read.parquet(str(tmp_path / "out" / "checks" / "matched")), "team", "n_official", "n_matched") == [("A", 1, 1), ("B", 1, 0)]
+
+    # With nothing changed all is kept; a step whose table is gone is made again, and what hangs on it; another log
+    # remakes what hangs on the log.
+    assert set(game.run(spark, str(tmp_path / "in"), "g", str(tmp_path / "out"), P).values()) == {"kept"}
+    (tmp_path / "in" / "log.txt").write_text((tmp_path / "in" / "log.txt").read_text() + "\n")
+    told = game.run(spark, str(tmp_path / "in"), "g", str(tmp_path / "out"), P)
+    assert {k for k, v in told.items() if v == "kept"} == {"frames", "tracked", "filled", "zoned", "defenders"}
+
+
+def test_chain_at_another_frame_rate(spark, tmp_path):
+    """The same minute at 60 frames a second, and periods of 720 s: both come from the configuration."""
+    (tmp_path / "in").mkdir()
+    folder(tmp_path / "in", fps=60, period=720)
+    game.run(spark, str(tmp_path / "in"), "g", str(tmp_path / "out"), Params(stride=6, max_interp_gap=60))
+    table = lambda name: spark.read.parquet(str(tmp_path / "out" / name))
+    assert rows(table("official"), "team", "start_sec", "end_sec", "end_reason") == [("A", 10.0, 40.0, "goal"), ("B", 44.0, 60.0, "period_end")]
+    assert rows(table("final"), "camera", "team", "start_sec", "end_sec", "end_reason") == [("c1", "A", 10.0, 44.5, "goal")]
+    assert table("formations").first().n_frames == 346 and table("cuts").first().cuts[0].frame == 1440
 
 
 def test_quarter_ends_with_its_last_frame(spark):

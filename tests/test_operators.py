@@ -302,3 +302,19 @@ def test_sheets_and_small_ones(spark, tmp_path):
     f = spark.createDataFrame([("c", i) for i in range(4)], "k string, f int")
     v = spark.createDataFrame([("c", 1, "x"), ("c", 3, "y")], "k string, f int, v string")
     assert rows(diagnostics.with_last_seen(f, v, ["k"], "f", "v").filter("f > 0"), "f", "v") == [(1, "x"), (2, "x"), (3, "y")]
+
+
+def test_rounding_is_that_of_the_exact_value(spark):
+    """A million doubles: ties, neighbours of ties, small and large ones, with both signs."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.Generator(np.random.PCG64(1))
+    ties = (rng.integers(-(10**7), 10**7, 250_000) + 0.5) / 10
+    x = np.concatenate([ties, np.nextafter(ties, np.inf), rng.integers(-(10**6), 10**6, 200_000) / 8, rng.normal(0, 1, 100_000) * 10.0 ** rng.integers(-6, 14, 100_000), rng.integers(-(10**5), 10**5, 190_000) / 1000, [0.25, 0.35, 2.675, 2.5, 1e300, -1e300, 4503599627370495.5, 0.0, 5e-324]])
+    df = spark.createDataFrame(pd.DataFrame({"i": np.arange(len(x)), "x": x}))
+    got = df.select("i", *[clock.rounded(F.col("x"), n).alias(f"r{n}") for n in (0, 1, 2)]).toPandas().sort_values("i")
+    for n in (0, 1, 2):
+        assert (got[f"r{n}"].to_numpy() == np.array([round(v, n) for v in x.tolist()])).all()
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,)], "x double").select(clock.rounded(F.col("x")).alias("r")).collect()
+    assert math.isnan(odd[0].r) and odd[1].r == math.inf and odd[2].r is None

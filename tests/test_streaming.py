@@ -145,3 +145,12 @@ def test_steps_are_kept(spark, tmp_path):
     assert run(spark, steps, str(tmp_path)) == {"a": "ran", "b": "ran", "c": "ran"}
     assert run(spark, steps, str(tmp_path)) == {"a": "kept", "b": "kept", "c": "ran"}
     assert spark.read.parquet(str(tmp_path / "c")).count() == 2
+    # A step that is made again makes those again that hang on it, and so do other parameters or files.
+    (tmp_path / "a" / "_SUCCESS").unlink()
+    assert run(spark, steps, str(tmp_path)) == {"a": "ran", "b": "ran", "c": "ran"}
+    steps[1].params = 3
+    assert run(spark, steps, str(tmp_path)) == {"a": "kept", "b": "ran", "c": "ran"}
+    (tmp_path / "x.txt").write_text("1")
+    steps[0].reads = [str(tmp_path / "*.txt")]
+    assert run(spark, steps, str(tmp_path)) == {"a": "ran", "b": "ran", "c": "ran"}
+    assert run(spark, steps, str(tmp_path)) == {"a": "kept", "b": "kept", "c": "ran"}
