@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import sys
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spatial
@@ -14,9 +12,6 @@ from ..params import DEFAULTS, GOALIE, NEAR_NET_ZONES, Params
 from . import intervals, sequence
 from .possessions import QUARTER_BIN
 
-for _name in (__name__, Params.__module__):  # executors need no copy of the package
-    cloudpickle.register_pickle_by_value(sys.modules[_name])
-
 
 def near_net(tracks: DataFrame, frames: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """game, camera, frame, near, huddled for every row of frames: how many players are near the net, and
@@ -59,68 +54,72 @@ def windows(samples: DataFrame, keys: list[str], t: str, p: Params = DEFAULTS, s
     return kind("quiet", F.col("near") <= p.quiet_count, p.quiet_samples).unionByName(kind("huddle", F.col("huddled"), p.huddle_samples))
 
 
-def _greedy(pdf: pd.DataFrame, radius: float) -> pd.DataFrame:
-    """Markers in time order take the nearest window that is left (of those as near, the first) if it is
-    near enough. A row is a marker (is_marker, t, guess) or a window (mid)."""
-    marks = pdf[pdf["is_marker"]].sort_values(["t", "guess"], kind="stable")
-    mids = sorted(pdf.loc[~pdf["is_marker"], ["seq", "mid"]].itertuples(index=False, name=None))
-    left, out = [m for _, m in mids], []
-    for t, guess in marks[["t", "guess"]].itertuples(index=False, name=None):
-        best = min(range(len(left)), key=lambda k: abs(left[k] - guess), default=None)
-        if best is not None and abs(left[best] - guess) < radius:
-            out.append((t, left.pop(best)))
-    return pd.DataFrame(out, columns=["at", "to"]).astype("float64")
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _greedy(marks: Column, left: Column, radius: float) -> Column:
+    """Array of structs at, to. marks: structs t, guess, in the order in which they choose; left: structs seq, mid.
+    A marker takes the nearest window that is left (of those as near, the first) if it is near enough."""
+
+    def choose(state: Column, m: Column) -> Column:
+        nearest = F.array_min(F.transform(state["left"], lambda w, i: F.struct(F.abs(w["mid"] - m["guess"]).alias("far"), i.alias("i"))))
+
+        def take(n: Column) -> Column:
+            rest = F.filter(state["left"], lambda _, i: i != n["i"])
+            made = F.struct(m["t"].alias("at"), F.get(state["left"], n["i"])["mid"].alias("to"))
+            return F.when(n["far"] < radius, F.struct(rest.alias("left"), F.array_append(state["out"], made).alias("out"))).otherwise(state)
+
+        return _let(nearest, take)
+
+    none = F.array().cast("array<struct<at:double,to:double>>")
+    return F.aggregate(marks, F.struct(left.alias("left"), none.alias("out")), choose, lambda state: state["out"])
 
 
 def match_markers(markers: DataFrame, spans: DataFrame, keys: list[str], duration: str = "duration", p: Params = DEFAULTS) -> DataFrame:
     """keys, at (marker time), to (middle of its window). markers: keys, elapsed_sec, delay, duration.
 
-    One-to-one and in order of time, so each of keys (a quarter) is a group of its own."""
-    guess = (F.col("elapsed_sec") + F.col("delay")) / p.period_sec * F.col(duration)
-    m = markers.select(*keys, F.lit(True).alias("is_marker"), F.col("elapsed_sec").alias("t"), guess.alias("guess"), F.lit(None).cast("double").alias("mid"), F.lit(0.0).alias("seq"))
-    mid = (F.col("start_sec") + F.col("end_sec")) / 2
-    s = spans.select(*keys, F.lit(False).alias("is_marker"), F.lit(None).cast("double").alias("t"), F.lit(None).cast("double").alias("guess"), mid.cast("double").alias("mid"), F.col("start_sec").cast("double").alias("seq"))
-    radius = p.anchor_radius_sec
-    kinds = {f.name: f.dataType.simpleString() for f in markers.schema}
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        got = _greedy(pdf, radius)
-        for k, name in enumerate(keys):
-            got.insert(k, name, key[k])
-        return got
-
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", at double, to double"
-    return m.unionByName(s).groupBy(*keys).applyInPandas(run, schema)
-
-
-def _drop_bad(points: list[tuple[float, float]], scale: float, ratio: float) -> list[tuple[float, float]]:
-    """Take out the first inner anchor whose slopes on both sides are off, and look again from the start."""
-    off = lambda s: s > scale * ratio or s < scale / ratio
-    while len(points) > 2:
-        for i in range(1, len(points) - 1):
-            (t0, v0), (t1, v1), (t2, v2) = points[i - 1 : i + 2]
-            if t1 > t0 and t2 > t1 and off((v1 - v0) / (t1 - t0)) and off((v2 - v1) / (t2 - t1)):
-                points = points[:i] + points[i + 1 :]
-                break
-        else:
-            break
-    return points
+    One-to-one and in order of time: a row for each of keys (a quarter) holds its markers and windows, and a fold
+    over the markers takes windows away. A marker without a time or a guess and a window without a middle match nothing."""
+    t, length, delay = (F.col(c).cast("double") for c in ("elapsed_sec", duration, "delay"))
+    guess = (t + delay) / p.period_sec * length
+    mid = ((F.col("start_sec") + F.col("end_sec")) / 2).cast("double")
+    mark, window = "struct<t:double,guess:double>", "struct<seq:double,mid:double>"
+    m = markers.select(*keys, F.struct(t.alias("t"), guess.alias("guess")).alias("mark"), F.lit(None).cast(window).alias("window")).filter("mark.guess IS NOT NULL")
+    s = spans.select(*keys, F.lit(None).cast(mark).alias("mark"), F.struct(F.col("start_sec").cast("double").alias("seq"), mid.alias("mid")).alias("window")).filter("window.mid IS NOT NULL")
+    both = m.unionByName(s).groupBy(*keys).agg(F.sort_array(F.collect_list("mark")).alias("marks"), F.sort_array(F.collect_list("window")).alias("windows"))
+    return both.select(*keys, F.inline(_greedy(F.col("marks"), F.col("windows"), p.anchor_radius_sec)))
+
+
+def _bends(a: Column, b: Column, c: Column, scale: Column, ratio: float) -> Column:
+    """Whether the slopes before and after b, the anchor between a and c, are both off by more than ratio."""
+    off = lambda s: (s > scale * ratio) | (s < scale / ratio)
+    ahead = lambda u, v: (v["to"] - u["to"]) / F.nullif(v["at"] - u["at"], F.lit(0.0))
+    return F.coalesce(off(ahead(a, b)) & off(ahead(b, c)), F.lit(False))
+
+
+def _straightened(points: Column, scale: Column, ratio: float) -> Column:
+    """points without inner ones that bend both their segments, the first of these always taken out first.
+
+    Points are laid on a pile. A new one may make those below it bend, from the top down: taking one out changes
+    nothing but the triples around it, and those below were right."""
+
+    def lay(pile: Column, q: Column) -> Column:
+        top = lambda kept, k: F.get(kept, F.size(kept) - k)
+        cut = lambda kept: F.when((F.size(kept) > 1) & _bends(top(kept, 2), top(kept, 1), q, scale, ratio), F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+        return F.array_append(F.aggregate(pile, pile, lambda kept, _: cut(kept)), q)
+
+    return F.aggregate(points, F.array().cast("array<struct<at:double,to:double>>"), lay)
 
 
 def filter_anchors(anchors: DataFrame, keys: list[str], duration: str = "duration", p: Params = DEFAULTS) -> DataFrame:
-    """Anchors without those that bend both their segments. anchors: keys, at, to, duration."""
-    ratio, period = p.bad_anchor_ratio, p.period_sec
-    kinds = {f.name: f.dataType.simpleString() for f in anchors.schema}
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        points = sorted(set(pdf[["at", "to"]].itertuples(index=False, name=None)))
-        got = pd.DataFrame(_drop_bad(points, float(pdf[duration].iloc[0]) / period, ratio), columns=["at", "to"]).astype("float64")
-        for k, name in enumerate(keys):
-            got.insert(k, name, key[k])
-        return got
-
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", at double, to double"
-    return anchors.groupBy(*keys).applyInPandas(run, schema)
+    """Anchors without those that bend both their segments. anchors: keys, at, to, duration. Equal ones count once,
+    those without a time or a value not at all; a quarter's are one row."""
+    point = F.struct(F.col("at").cast("double").alias("at"), F.col("to").cast("double").alias("to"))
+    known = anchors.filter("at IS NOT NULL AND `to` IS NOT NULL")
+    rows = known.groupBy(*keys).agg(F.sort_array(F.collect_set(point)).alias("points"), F.min(F.col(duration).cast("double")).alias("length"))
+    return rows.select(*keys, F.inline(_straightened(F.col("points"), F.col("length") / p.period_sec, p.bad_anchor_ratio)))
 
 
 def align(official: DataFrame, markers: DataFrame, spans: DataFrame, quarters: DataFrame, keys: list[str], p: Params = DEFAULTS) -> DataFrame:

@@ -101,6 +101,46 @@ def test_markers_take_windows_once(spark):
     assert rows(align.match_markers(m, w, ["q"]), "at", "to") == [(100.0, 102.0), (110.0, 132.0)]
 
 
+def greedy(marks, windows, radius=90.0):
+    left, out = sorted(windows), []
+    for t, guess in sorted(marks):
+        near = sorted((abs((a + b) / 2 - guess), i) for i, (a, b) in enumerate(left))
+        if near and near[0][0] < radius:
+            a, b = left.pop(near[0][1])
+            out.append((t, (a + b) / 2))
+    return out
+
+
+def unbent(points, scale, ratio=1.6):
+    """The first inner point whose slopes are both off goes, again and again."""
+    points = sorted(set(points))
+    off = lambda p, q: q[0] > p[0] and not scale / ratio <= (q[1] - p[1]) / (q[0] - p[0]) <= scale * ratio
+    while bad := [i for i in range(1, len(points) - 1) if off(points[i - 1], points[i]) and off(points[i], points[i + 1])]:
+        del points[bad[0]]
+    return points
+
+
+def test_markers_and_anchors_as_in_plain_loops(spark):
+    """Many groups at once, with ties, repeated rows, groups with one side only, and nulls that match nothing."""
+    rng = random.Random(7)
+    marks = {g: [(float(rng.randrange(0, 900, 30)), 0.0) for _ in range(g % 9)] for g in range(40)}
+    windows = {g: [(float(a), float(a + rng.choice([4, 4, 20]))) for a in (rng.randrange(0, 900, 10) for _ in range(g % 7))] for g in range(40)}
+    m = spark.createDataFrame([(g, t, d, 900.0) for g, x in marks.items() for t, d in x] + [(3, None, 0.0, 900.0), (4, 10.0, 0.0, None)], "g int, elapsed_sec double, delay double, duration double")
+    w = spark.createDataFrame([(g, a, b) for g, x in windows.items() for a, b in x] + [(5, None, 10.0)], "g int, start_sec double, end_sec double")
+    want = sorted((g, at, to) for g in marks for at, to in greedy([(t, t) for t, _ in marks[g]], windows[g]))
+    assert rows(align.match_markers(m, w, ["g"]), "g", "at", "to") == want and len(want) > 40
+
+    # Enough wild points that taking one out makes the ones before it bend.
+    points = {g: [(float(rng.randrange(0, 900, 20)), float(rng.randrange(0, 900, 20))) for _ in range(g)] for g in range(40)}
+    a = spark.createDataFrame([(g, x, y, 900.0) for g, v in points.items() for x, y in v] + [(2, None, 1.0, 900.0), (2, 1.0, None, 900.0)], "g int, at double, to double, duration double")
+    want = sorted((g, x, y) for g, v in points.items() for x, y in unbent(v, 1.0))
+    assert rows(align.filter_anchors(a, ["g"]), "g", "at", "to") == want and len(want) < 600 < 780 == sum(map(len, points.values()))
+    for made in (align.match_markers(m, w, ["g"]), align.filter_anchors(a, ["g"])):
+        assert "Python" not in made._jdf.queryExecution().executedPlan().toString()
+        assert made.limit(0).count() == 0
+    assert align.match_markers(m.limit(0), w.limit(0), ["g"]).count() == align.filter_anchors(a.limit(0), ["g"]).count() == 0
+
+
 def test_reconcile(spark):
     read = {"cam1": [("A", 0.2), ("A", 0.5), ("B", 0.9), (None, None)], "cam2": [("B", 0.5), ("B", 0.3), ("A", 0.1), ("B", 0.2)]}
     data = [("g", c, q + 1, t, gap) for c, x in read.items() for q, (t, gap) in enumerate(x)]
