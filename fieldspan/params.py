@@ -65,6 +65,10 @@ class Params:
     low_count: int = 4
     low_count_sec: float = 3.0
     sibling_gap_sec: float = 15.0
+    unmatched_pad_sec: float = 20.0
+    probe_within_sec: float = 15.0
+    probe_step_sec: float = 5.0
+    probe_pad_sec: float = 10.0
 
 
 DEFAULTS = Params()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clock, spatial
-from ..operators import align, formations, pbp, possessions, reconcile, report, sequence, tracking
+from ..operators import align, diagnostics, formations, pbp, possessions, reconcile, report, sequence, tracking
 from ..params import DEFAULTS, GOALIE, Params
 from ..sources import frames, tables
 from . import analysis, pipeline
@@ -92,6 +92,13 @@ def steps(spark: SparkSession, folder: str, game: str, p: Params = DEFAULTS) ->
         got = t["final"].join(t["formations"].drop("n_frames"), formations.ID, "left").join(t["cuts"], formations.ID, "left")
         return got.withColumns({"result": F.coalesce("result", F.lit(report.UNTAGGED)), "formation": text("off_formation"), "def_formation": text("def_formation"), "cuts_in": F.coalesce("n_cuts_in", F.lit(0)), "cuts_out": F.coalesce("n_cuts_out", F.lit(0))})
 
+    def against_log(look) -> Callable:
+        return lambda _spark, t: look(t["official"], t["final"], t["filled"], quarters, t["defenders"], (a, b), p)
+
+    def fragments(_spark, t) -> DataFrame:
+        own = t["final"].select("game", "quarter", "team", "camera", "start_sec", "end_sec", "duration_sec")
+        return sequence.sibling_gaps(own, ["game", "quarter", "team"], "start_sec", "end_sec", p.sibling_gap_sec, ["camera"])
+
     given = (p, a, b, cameras, aliases, game)
     configured = [f"{folder}/game_config.json", f"{folder}/*.calibration.json"]
     made: list[tuple[str, Callable, list[str], list[str]]] = [
@@ -107,6 +114,9 @@ def steps(spark: SparkSession, folder: str, game: str, p: Params = DEFAULTS) ->
         ("formations", shapes, ["zoned", "frames", "final"], configured),
         ("cuts", cuts, ["zoned", "final"], configured),
         ("report", rows, ["final", "formations", "cuts"], []),
+        ("unmatched", against_log(diagnostics.unmatched_peaks), ["official", "final", "filled", "defenders"], configured),
+        ("missing_signal", against_log(diagnostics.missing_signal), ["official", "final", "filled", "defenders"], configured),
+        ("fragments", fragments, ["final"], []),
     ]
     # Files, tags that change by hand among them, and parameters are part of a step's fingerprint.
     return [Step(name, make, inputs, reads=reads, params=given) for name, make, inputs, reads in made]
@@ -125,7 +135,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def run(spark: SparkSession, folder: str, game: str, out: str, p: Params = DEFAULTS, force: bool = False) -> dict[str, str]:
     """Run the chain into out, a folder of Parquet tables. out/sheets has the sheets as CSV, out/game_report.xlsx the
-    workbook, where Python can write to out's file system, and out/checks how detected and recorded possessions agree."""
+    workbook, where Python can write to out's file system, out/checks how detected and recorded possessions agree, and
+    out/unmatched, out/missing_signal and out/fragments what cameras show where they don't."""
     told = pipeline.run(spark, steps(spark, folder, game, p), out, force)
     rows = spark.read.parquet(f"{out}/report")
     report.write_sheets(rows, f"{out}/sheets")

@@ -897,6 +897,43 @@ def records(spark: SparkSession, d: str) -> DataFrame:
     return s.select("game", "quarter", F.struct("quarter", "bucket").alias("seq"), team.alias("team"), (F.col("bucket") * 0.5).alias("start_sec"), (F.col("bucket") * 0.5 + 3).alias("end_sec"), F.when(F.col("bucket") % 80 == 7, "goal").otherwise("turnover").alias("end_reason"))
 
 
+# Records of a log, intervals found a second after some of them, and who defends on which of two cameras.
+LOOK_SQL = f"""{TRK_SQL}, {SPINE_SQL}, of AS (SELECT quarter, CASE WHEN (bucket + quarter) % 3 = 0 THEN 'A' ELSE 'B' END AS team, bucket * 0.5::DOUBLE AS s, bucket * 0.5::DOUBLE + 3 AS e FROM spine WHERE bucket % 40 = 7),
+fd AS (SELECT quarter, team, s + 1 AS s, e + 1 AS e FROM of WHERE (s * 2)::BIGINT % 60 = 7),
+cm AS (SELECT *, CASE WHEN (quarter % 2 = 0) = (team = 'B') THEN 0 ELSE 1 END AS ix, (quarter - 1) * 2700 AS f0, quarter * 2700 - 1 AS f1 FROM of)"""
+
+
+def looked_at(spark: SparkSession, d: str) -> tuple:
+    t, _, q = two_cameras(spark, d)
+    official = records(spark, d)
+    found = official.filter("seq.bucket % 60 = 7").withColumns({c: F.col(c) + 1 for c in ("start_sec", "end_sec")})
+    defends = q.select("game", "camera", "quarter", F.when((F.col("quarter") + F.col("camera_ix")) % 2 == 0, "A").otherwise("B").alias("def_team"))
+    p = replace(P, unmatched_pad_sec=4.0, probe_within_sec=1.0, probe_step_sec=0.5, probe_pad_sec=2.0)
+    return official, found, t, q, defends, ("A", "B"), p
+
+
+@query(
+    f"WITH {LOOK_SQL}, c AS (SELECT track_id % 2 AS ix, frame, count(*) FILTER (team = 'A') AS a, count(*) FILTER (team = 'B') AS b, count(*) FILTER (team = 'Goalie') AS g, "
+    "count(*) FILTER (team = 'A' AND zone = 'Behind Net') AS da, count(*) FILTER (team = 'B' AND zone = 'Behind Net') AS db FROM trk WHERE zone IN ('Behind Net', 'Perimeter') GROUP BY 1, 2), "
+    "un AS (SELECT * FROM cm WHERE NOT EXISTS (SELECT 1 FROM fd WHERE fd.quarter = cm.quarter AND fd.team = cm.team AND least(fd.e, cm.e) - greatest(fd.s, cm.s) > 0)) "
+    "SELECT quarter, team, s AS start_sec, e AS end_sec, 'c' || un.ix AS camera, coalesce(max(CASE WHEN team = 'A' THEN a ELSE b END), 0) AS peak_off, coalesce(max(CASE WHEN team = 'A' THEN b ELSE a END + g), 0) AS peak_def, "
+    "coalesce(max(CASE WHEN team = 'A' THEN da ELSE db END), 0) AS peak_deep FROM un LEFT JOIN c ON c.ix = un.ix AND frame BETWEEN f0 + trunc(greatest(s - 4, 0) * 30) AND least(f0 + trunc((e + 4) * 30), f1) GROUP BY 1, 2, 3, 4, 5"
+)
+def unmatched_peaks(spark, d):
+    return diagnostics.unmatched_peaks(*looked_at(spark, d)).drop("game")
+
+
+@query(
+    f"WITH {LOOK_SQL}, c AS (SELECT track_id % 2 AS ix, frame, count(*) FILTER (team = 'A') AS a, count(*) FILTER (team = 'B') AS b, count(*) FILTER (team = 'Goalie') AS g, "
+    "count(*) FILTER (team = 'A' AND zone <> 'Perimeter') AS da, count(*) FILTER (team = 'B' AND zone <> 'Perimeter') AS db FROM trk WHERE zone <> 'Beyond 30' GROUP BY 1, 2), "
+    "mi AS (SELECT *, s - 2 + k * 0.5::DOUBLE AS t FROM cm, range(0, 15) r(k) WHERE NOT EXISTS (SELECT 1 FROM fd WHERE fd.quarter = cm.quarter AND fd.team = cm.team AND fd.s <= cm.e + 1 AND cm.s <= fd.e + 1)) "
+    "SELECT quarter, team, s AS start_sec, e AS end_sec, 'c' || y.ix AS camera, y.ix = mi.ix AS assigned, t AS \"at\", t BETWEEN s AND e AS within, coalesce(CASE WHEN team = 'A' THEN a ELSE b END, 0) AS n_own, "
+    "coalesce(CASE WHEN team = 'A' THEN b ELSE a END, 0) AS n_other, coalesce(g, 0) AS n_goalie, coalesce(CASE WHEN team = 'A' THEN da ELSE db END, 0) AS n_deep FROM mi CROSS JOIN (VALUES (0), (1)) y(ix) LEFT JOIN c ON c.ix = y.ix AND frame = f0 + trunc(t * 30)"
+)
+def missing_signal(spark, d):
+    return diagnostics.missing_signal(*looked_at(spark, d)).drop("game")
+
+
 def whole(spark: SparkSession, d: str) -> DataFrame:
     p = replace(P, long_block_sec=8.0, split_buffer_sec=2.0)
     spine = A.spine(spark, d)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldspan.functions import spatial
-from fieldspan.operators import align, formations, intervals, possessions, reconcile, sequence
+from fieldspan.operators import align, diagnostics, formations, intervals, possessions, reconcile, sequence
 from fieldspan.params import Params
 from fieldspan.plans import analysis, game
 from fieldspan.sources import tables
@@ -93,6 +93,14 @@ def test_chain(spark, tmp_path):
     assert (tmp_path / "out" / "game_report.xlsx").exists()
     assert rows(spark.read.parquet(str(tmp_path / "out" / "checks" / "matched")), "team", "n_official", "n_matched") == [("A", 1, 1), ("B", 1, 0)]
 
+    # B's record has no interval, and c2, where B attacks, shows nobody in play. Probed every five seconds from 34 s on, c1
+    # has all until second 40.
+    assert rows(table("unmatched"), "team", "start_sec", "end_sec", "camera", "peak_off", "peak_def", "peak_deep") == [("B", 44.0, 60.0, "c2", 0, 0, 0)]
+    assert rows(diagnostics.peaks_by_team(table("unmatched")), "team", "n_unmatched", "avg_peak_off", "avg_peak_def") == [("B", 1, 0.0, 0.0)]
+    probes = rows(table("missing_signal"), "camera", "assigned", "at", "within", "n_own", "n_other", "n_goalie", "n_deep")
+    assert probes == [(c, c == "c2", 34.0 + 5 * k, 44 <= 34 + 5 * k <= 60, *((6, 7, 1, 6) if c == "c1" and k < 2 else (0, 0, 0, 0))) for c in ("c1", "c2") for k in range(8)]
+    assert rows(table("fragments"), "team", "gap_before", "gap_after", "near") == [("A", None, None, False)]
+
     # With nothing changed all is kept; a step whose table is gone is made again, and what hangs on it; another log
     # remakes what hangs on the log.
     assert set(game.run(spark, str(tmp_path / "in"), "g", str(tmp_path / "out"), P).values()) == {"kept"}
