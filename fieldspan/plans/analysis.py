@@ -45,9 +45,10 @@ def detect_frames(tracks: DataFrame, quarters: DataFrame, defends: DataFrame, li
 def with_records(found: DataFrame, official: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """found split where records of the other team lie within long blocks, with the reason of the
     nearest record and the camera of the block. official: game, quarter, seq, team, start_sec,
-    end_sec, end_reason."""
+    end_sec, end_reason. Blocks of a camera can overlap, as their ends are padded: a record that two of
+    them hold is one possession."""
     keys = ["game", "quarter"]
-    pieces = intervals.split_blocks(staged(found), official, [*keys], p.long_block_sec, p.split_buffer_sec, ["camera"])
+    pieces = intervals.split_blocks(staged(found), official, [*keys], p.long_block_sec, p.split_buffer_sec, ["camera"]).distinct()
     out = intervals.nearest_reason(pieces, official, [*keys, "team"])
     long = F.col("end_sec") - F.col("start_sec")
     return out.withColumns({"duration_sec": F.round(long, 1), "long": long > p.long_block_sec, "end_reason": F.coalesce("end_reason", F.lit("unknown"))})
