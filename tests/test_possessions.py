@@ -17,7 +17,7 @@ def overlapping(spark, tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["possessions_whole", "formations_by_possession", "formations_by_side", "cuts_by_possession"])
+@pytest.mark.parametrize("name", ["possessions_whole", "formations_by_possession", "formations_by_side", "cuts_by_possession", "cuts_by_team"])
 def test_a_record_in_two_blocks_is_one_possession(spark, overlapping, name):
     con = duckdb.connect()
     con.sql(f"create view events as select * from read_parquet('{overlapping}/events.parquet/*.parquet')")
