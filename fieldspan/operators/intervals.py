@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Rows on each side of a tile of dealt_join(), tiles to a task, and the most tasks that it asks for; beyond those, a task has
+#: more tiles, one after another.
+TILE, TASK_TILES, MOST_TASKS = 1024, 4, 10_000
+
 
 def closed_overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column, within: float = 0) -> Column:
     """Overlap, touching included, of intervals that lie within so much of each other."""
@@ -44,6 +48,34 @@ def binned_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, s
     return own.join(held, [*keys, "__bin"]).filter(F.col(at).between(F.col(start), F.col(end))).drop("__bin")
 
 
+def dealt_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, width: float, side: int = TILE) -> DataFrame:
+    """binned_join() where the spans of a key overlap, so that pairs grow with the square of the input.
+
+    A bin of more than side points or spans is cut into tiles of about side by side rows, by a hash of the row
+    (exactly equal rows stay together): points are repeated for each part of its spans, spans for each part of
+    its points, and every pair meets in one tile. There are as many tasks as pairs ask for; they are counted
+    beforehand, as the bytes that go in don't tell."""
+    held = spans.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
+    own = points.withColumn("__bin", F.floor(F.col(at) / width))
+    cell = [*keys, "__bin"]
+    both = own.select(*cell, F.lit(1).alias("p"), F.lit(0).alias("s")).unionByName(held.select(*cell, F.lit(0).alias("p"), F.lit(1).alias("s")))
+    cells = both.groupBy(*cell).agg(F.sum("p").alias("__p"), F.sum("s").alias("__s"))
+    work = cells.agg(F.sum(F.col("__p").cast("double") * F.col("__s") + F.col("__p") + F.col("__s"))).first()[0] or 0
+    tasks = int(min(work // (TASK_TILES * side * side) + 1, MOST_TASKS))
+    parts = lambda n: F.greatest(F.ceil(F.col(n) / side), F.lit(1)).alias(f"{n}_parts")
+    large = F.broadcast(cells.filter((F.col("__p") > 0) & (F.col("__s") > 0) & (F.greatest("__p", "__s") > side)).select(*cell, parts("__p"), parts("__s")))
+
+    def dealt(df: DataFrame, mine: str, other: str) -> DataFrame:
+        n = lambda c: F.coalesce(f"{c}_parts", F.lit(1).cast("long"))
+        row = F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind])
+        out = df.join(large, cell, "left").withColumns({f"{mine}_part": F.pmod(row, n(mine)), f"{other}_part": F.explode(F.sequence(F.lit(0).cast("long"), n(other) - 1))})
+        return out.drop("__p_parts", "__s_parts").repartition(tasks, *tile)
+
+    tile = [*cell, "__p_part", "__s_part"]
+    met = dealt(own, "__p", "__s").join(dealt(held, "__s", "__p"), tile)
+    return met.filter(F.col(at).between(F.col(start), F.col(end))).drop("__bin", "__p_part", "__s_part")
+
+
 def overlaps(a: DataFrame, b: DataFrame, keys: list[str], width: float) -> DataFrame:
     """a with other_start, other_end of each row of b that overlaps it, touching included.
 

@@ -84,7 +84,7 @@ def audit_lines(lines: DataFrame, spans: DataFrame, keys: list[str], tolerance:
 
     lines: keys, seq, remaining; spans: keys, span_id, remaining_start (the larger), remaining_end."""
     wide = spans.withColumns({"__low": F.col("remaining_end") - tolerance, "__high": F.col("remaining_start") + tolerance})
-    return intervals.binned_join(lines, wide, keys, "remaining", "__low", "__high", 60).drop("__low", "__high")
+    return intervals.dealt_join(lines, wide, keys, "remaining", "__low", "__high", 60).drop("__low", "__high")
 
 
 def blocks(lines: DataFrame, keys: list[str], seq: str = "seq", line: str = "line") -> DataFrame:
