@@ -1008,8 +1008,10 @@ def spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def filled(spark: SparkSession, d: str) -> DataFrame:
+    """Tracks with their gaps filled; not from or to a detection whose place isn't known."""
     t = A.tracks(spark, d)
-    return t.withColumn("interpolated", F.lit(False)).unionByName(tracking.interpolate(t, ["game", "camera", "quarter"], P), allowMissingColumns=True)
+    made = tracking.interpolate(t, ["game", "camera", "quarter"], P).dropna(subset=["cx", "cy"])
+    return t.withColumn("interpolated", F.lit(False)).unionByName(made, allowMissingColumns=True)
 
 
 def shapes(spark: SparkSession, d: str) -> DataFrame:
