@@ -46,6 +46,6 @@ def placeless(spark, tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["cuts_by_possession"])
+@pytest.mark.parametrize("name", ["cuts_by_possession", "cuts_by_team"])
 def test_no_gap_is_filled_from_or_to_an_unknown_place(spark, placeless, name):
     same_as_sql(spark, placeless, name)
